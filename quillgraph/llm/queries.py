@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op10_winnow import mark_contaminated
 from .op1_substrings import remove_repeated_substrings
 from .op2_windows import remove_repeated_windows
+from .op6_tokens import token_rows
 from .shared import table
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_substrings(table(spark, sf_dir, "documents"))
 
@@ -19,9 +27,20 @@ def op2_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mark_contaminated(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_window_dedup": op2_window_dedup,
+    "op6_token_files": op6_token_files,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}
