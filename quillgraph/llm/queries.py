@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op10_winnow import mark_contaminated
 from .op1_substrings import remove_repeated_substrings
 from .op2_windows import remove_repeated_windows
+from .op3_minhash import near_duplicates
 from .op6_tokens import token_rows
 from .shared import table
 
@@ -27,6 +28,10 @@ def op2_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -39,6 +44,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_window_dedup": op2_window_dedup,
+    "op3_near_duplicates": op3_near_duplicates,
     "op6_token_files": op6_token_files,
     "op10_decontaminate": op10_decontaminate,
 }
