@@ -10,6 +10,7 @@ from .op10_winnow import mark_contaminated
 from .op1_substrings import remove_repeated_substrings
 from .op2_windows import remove_repeated_windows
 from .op3_minhash import near_duplicates
+from .op4_quality import score_quality
 from .op6_tokens import token_rows
 from .shared import table
 
@@ -32,6 +33,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_window_dedup": op2_window_dedup,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_quality": op4_quality,
     "op6_token_files": op6_token_files,
     "op10_decontaminate": op10_decontaminate,
 }
