@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op9_mix
 from .op10_winnow import mark_contaminated
 from .op1_substrings import remove_repeated_substrings
 from .op2_windows import remove_repeated_windows
@@ -41,6 +42,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_mix.choose(op9_mix.counted(table(spark, sf_dir, "documents")))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return mark_contaminated(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -52,7 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_quality": op4_quality,
     "op6_token_files": op6_token_files,
+    "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_mix_sources": op9_mix.oracle()}
