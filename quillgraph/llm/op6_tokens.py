@@ -12,9 +12,10 @@ Spark's text writer makes the files (one row a document, the end id as line
 separator), so a shard is committed like any other Spark output: a lost task leaves
 nothing behind and is run again. ``binaryFile`` reads them from any store.
 
-Encoding splits a text only at single spaces between characters that cannot be white
-space, where the pre-tokenizer starts a new piece in any case; each different chunk
-goes through the tokenizers library once and its ids are reused.
+Encoding splits a text only where the pre-tokenizer starts a new piece in any case: at
+single spaces between characters that cannot be white space, on both sides of a single
+line feed between such characters, and between an ASCII letter and a comma or full stop.
+Each different chunk goes through the tokenizers library once and its ids are reused.
 """
 
 from __future__ import annotations
@@ -145,10 +146,49 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _WORKER.update(path=path, tokenizer=Tokenizer.from_file(path), ids={})
+        tokenizer = Tokenizer.from_file(path)
+        # In a byte-level vocabulary a token has a character for each byte it stands for.
+        sizes = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+            sizes[i] = len(token)
+        for i, token in tokenizer.get_added_tokens_decoder().items():
+            sizes[i] = len(token.content.encode())
+        _WORKER.update(path=path, tokenizer=tokenizer, sizes=sizes, ids={})
     return _WORKER["tokenizer"], _WORKER["ids"]
 
 
+def _learn(chunks: list[bytes], width: int) -> None:
+    """Remember the ids of the chunks.
+
+    Chunks that may follow each other (spaced ones as they are, others around a line feed) are
+    encoded many at a time; the tokens' sizes say where each ends. Where a token crosses an
+    end, and for other chunks, each is encoded by itself.
+    """
+    tokenizer, known, sizes = _WORKER["tokenizer"], _WORKER["ids"], _WORKER["sizes"]
+    kind = np.dtype(f"<u{width}")
+    spaced, plain, alone = [], [], []
+    for x in chunks:
+        head = x[1:3] if x[0] == 0x20 else x[:2]
+        ends = head and (_VISIBLE[head[0]] or _LEAD[head[0]]) and (_VISIBLE[x[-1]] or (x[-1] >= 0x80 and _LEAD[x[-2]]))
+        (alone if not ends else spaced if x[0] == 0x20 else plain).append(x)
+    for group, between in ((spaced, b""), (plain, b"\n")):
+        parts = [group[i : i + 2000] for i in range(0, len(group), 2000)]
+        for part, got in zip(parts, tokenizer.encode_batch_fast([between.join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, dtype=kind)
+            reach = np.append(0, np.cumsum(sizes[ids]))
+            own = np.array([len(x) for x in part], dtype=np.int64)
+            start = np.cumsum(own + len(between)) - own - len(between)
+            a, z = np.searchsorted(reach, start), np.searchsorted(reach, start + own)
+            fits = (reach[np.minimum(a, len(reach) - 1)] == start) & (reach[np.minimum(z, len(reach) - 1)] == start + own)
+            for x, i, j, fit in zip(part, a.tolist(), z.tolist(), fits.tolist(), strict=True):
+                if fit:
+                    known[x] = ids[i:j].tobytes()
+                else:
+                    alone.append(x)
+    for x, got in zip(alone, tokenizer.encode_batch_fast([x.decode() for x in alone], add_special_tokens=False), strict=True):
+        known[x] = np.array(got.ids, dtype=kind).tobytes()
+
+
 #: Characters that are no white space: visible ASCII, and what two UTF-8 bytes write from U+00C0 on.
 _VISIBLE = np.zeros(256, dtype=bool)
 _VISIBLE[0x21:0x7F] = True
@@ -156,17 +196,28 @@ _LEAD = np.zeros(256, dtype=bool)
 _LEAD[0xC3:0xE0] = True
 
 
+_ASCII_LETTER = np.zeros(256, dtype=bool)
+_ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
+
+
 def chunk_starts(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the texts may be cut: at their starts, and at single spaces between characters that are no white space."""
-    space = np.flatnonzero(flat == 0x20)
-    space = space[(space >= 2) & (space < len(flat) - 1)]
-    before, lead, after = flat[space - 1], flat[space - 2], flat[space + 1]
-    space = space[(_VISIBLE[before] | ((before >= 0x80) & _LEAD[lead])) & (_VISIBLE[after] | _LEAD[after])]
-    row = np.searchsorted(offsets, space, "right") - 1
+    """Where the texts may be cut (see above): their starts, and places inside them."""
+    n = len(flat)
+    place = np.flatnonzero((flat == 0x20) | (flat == 0x0A))
+    place = place[(place >= 2) & (place < n - 1)]
+    before, lead, after = flat[place - 1], flat[place - 2], flat[place + 1]
+    place = place[(_VISIBLE[before] | ((before >= 0x80) & _LEAD[lead])) & (_VISIBLE[after] | _LEAD[after])]
+    row = np.searchsorted(offsets, place, "right") - 1
     # Both neighbours are of the same text.
-    space = space[(space - 2 >= offsets[row]) & (space + 1 < offsets[row + 1])]
-    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
-    return np.unique(np.concatenate([heads, space]))
+    place = place[(place - 2 >= offsets[row]) & (place + 1 < offsets[row + 1])]
+    cut = np.zeros(n + 1, dtype=bool)
+    cut[place] = True
+    cut[place[flat[place] == 0x0A] + 1] = True
+    mark = np.flatnonzero((flat == 0x2C) | (flat == 0x2E))
+    mark = mark[mark >= 1]
+    cut[mark[_ASCII_LETTER[flat[mark - 1]]]] = True  # across texts too, where a cut is anyway
+    cut[offsets[:-1]] = True
+    return np.flatnonzero(cut[:n])
 
 
 def encode(flat: np.ndarray, offsets: np.ndarray, path: str, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,11 +233,8 @@ def encode(flat: np.ndarray, offsets: np.ndarray, path: str, width: int) -> tupl
     if len(known) + len(new) > CHUNKS:
         known.clear()
         new = different
+    _learn(new, width)
     kind = np.dtype(f"<u{width}")
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for x, got in zip(part, tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-            known[x] = np.array(got.ids, dtype=kind).tobytes()
     ids = [known[x] for x in different]
     sizes = np.array([len(x) for x in ids], dtype=np.int64) // width
     pool = np.frombuffer(b"".join(ids), dtype=kind)
@@ -201,7 +249,7 @@ def encode(flat: np.ndarray, offsets: np.ndarray, path: str, width: int) -> tupl
 def _write(path: str, width: int, end: bytes):
     def run(batches) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
-        for b in shared.blocks(batches, most=4 << 20):
+        for b in shared.blocks(batches, most=2 << 20):
             flat, offsets = shared.text_array(b.column("text"))
             ids, n = encode(flat, offsets, path, width)
             raw, edge = ids.tobytes(), np.append(0, np.cumsum(n)) * width
