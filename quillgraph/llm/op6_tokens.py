@@ -153,7 +153,7 @@ def _tokenizer(path: str):
             sizes[i] = len(token)
         for i, token in tokenizer.get_added_tokens_decoder().items():
             sizes[i] = len(token.content.encode())
-        _WORKER.update(path=path, tokenizer=tokenizer, sizes=sizes, ids={})
+        _WORKER.update(path=path, tokenizer=tokenizer, sizes=sizes, ids={}, older={})
     return _WORKER["tokenizer"], _WORKER["ids"]
 
 
@@ -229,13 +229,20 @@ def encode(flat: np.ndarray, offsets: np.ndarray, path: str, width: int) -> tupl
     ends = np.append(starts, len(flat)).astype(np.int64)
     chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
     different = chunks.dictionary.to_pylist()
-    new = [x for x in different if x not in known]
-    if len(known) + len(new) > CHUNKS:
-        known.clear()
-        new = different
+    # Two generations: what the younger one lacks is taken over from the older one or learned.
+    older = _WORKER["older"]
+    new = []
+    for x in different:
+        if x not in known:
+            if x in older:
+                known[x] = older[x]
+            else:
+                new.append(x)
     _learn(new, width)
     kind = np.dtype(f"<u{width}")
     ids = [known[x] for x in different]
+    if len(known) > CHUNKS // 2:
+        _WORKER.update(older=known, ids={})
     sizes = np.array([len(x) for x in ids], dtype=np.int64) // width
     pool = np.frombuffer(b"".join(ids), dtype=kind)
     which = chunks.indices.to_numpy()
