@@ -12,7 +12,10 @@ from .op1_substrings import remove_repeated_substrings
 from .op2_windows import remove_repeated_windows
 from .op3_minhash import near_duplicates
 from .op4_quality import score_quality
+from .op5_graph import nearest
 from .op6_tokens import token_rows
+from .op7_urls import filter_urls
+from .op8_pii import find_personal
 from .shared import table
 
 
@@ -38,10 +41,22 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_mix.choose(op9_mix.counted(table(spark, sf_dir, "documents")))
 
@@ -56,7 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_window_dedup": op2_window_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_quality": op4_quality,
+    "op5_nearest": op5_nearest,
     "op6_token_files": op6_token_files,
+    "op7_url_filter": op7_url_filter,
+    "op8_personal_data": op8_personal_data,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
 }
