@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .policy import GENERIC_NAMES
 
@@ -15,13 +16,13 @@ WORD = r"[\p{L}\p{N}_]+"
 IDENTITY = r"[\p{L}\p{N}_.$+/#:-]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """NFC form; only for text outside ASCII, see name_key."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_marks(s: pd.Series) -> pd.Series:
     """Lower case without combining marks."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x.lower()) if not unicodedata.combining(c)))

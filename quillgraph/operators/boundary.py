@@ -14,7 +14,8 @@ from ..functions.policy import EPSILON, MAD_SCALE, BoundaryPolicy
 def gaps(pool: DataFrame) -> DataFrame:
     """pool (center, neighbor, similarity, rank) with the gap to the next rank, null at the last."""
     order = W.partitionBy("center").orderBy("rank")
-    return pool.withColumn("gap", F.greatest(F.lit(0.0), F.col("similarity") - F.lead("similarity").over(order)))
+    after = F.lead("similarity").over(order)
+    return pool.withColumn("gap", F.when(after.isNotNull(), F.greatest(F.lit(0.0), F.col("similarity") - after)))
 
 
 def diagnostics(pool: DataFrame, policy: BoundaryPolicy = BoundaryPolicy()) -> DataFrame:

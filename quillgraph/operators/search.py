@@ -44,7 +44,7 @@ def search_text(documents: DataFrame, query: str, limit: int = 20) -> DataFrame:
     rows = documents.select("doc", words("title").alias("title"), words("body").alias("body"))
     fields = (("title", SEARCH_WEIGHTS[0]), ("body", SEARCH_WEIGHTS[1]))
     # Weighted frequencies and lengths of both fields together.
-    tf = [sum((F.size(F.filter(c, lambda x, t=t: x == t)) * F.lit(w) for c, w in fields), F.lit(0.0)) for t in terms]
+    tf = [sum(((F.size(c) - F.size(F.array_remove(c, t))) * F.lit(w) for c, w in fields), F.lit(0.0)) for t in terms]
     length = sum((F.size(c) * F.lit(w) for c, w in fields), F.lit(0.0))
     counted = rows.select("doc", length.alias("length"), *(x.alias(f"tf{i}") for i, x in enumerate(tf)))
     totals = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))

@@ -1,12 +1,7 @@
 """All registered queries over the reference's operators, with their SQL equivalents."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from .queries import ORACLES, QUERIES
 
 FLAGSHIP = "visible_relations"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
