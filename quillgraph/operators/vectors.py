@@ -46,6 +46,9 @@ def valid_units(units: DataFrame, live: DataFrame) -> DataFrame:
     return units.join(live.select("doc", "revision"), ["doc", "revision"], "left_semi")
 
 
+_NO_POOL = pa.table({"center": pa.array([], pa.string()), "neighbor": pa.array([], pa.string()), "similarity": pa.array([], pa.float64()), "members": pa.array([], pa.int64())})
+
+
 def _best(aggregation: str, matches: int, budget: int):
     def run(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -53,6 +56,8 @@ def _best(aggregation: str, matches: int, budget: int):
         unit = np.array(table.column("unit").to_pylist(), dtype=object)
         v = np.array(table.column("vector").to_pylist(), dtype=float)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(left) or not len(right):
+            return _NO_POOL
         left, right = left[np.argsort(doc[left], kind="stable")], right[np.argsort(doc[right], kind="stable")]
         ld, lh = np.unique(doc[left].astype(str), return_index=True)
         rd, rh = np.unique(doc[right].astype(str), return_index=True)
