@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op9_mix
+from . import op9_mix, oracles
 from .op10_winnow import mark_contaminated
 from .op1_substrings import remove_repeated_substrings
 from .op2_windows import remove_repeated_windows
@@ -79,4 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op9_mix_sources": op9_mix.oracle()}
+#: Trained models, approximate search and tokenizers have no SQL.
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.OP1,
+    "op2_window_dedup": oracles.OP2,
+    "op3_near_duplicates": oracles.OP3,
+    "op9_mix_sources": op9_mix.oracle(),
+    "op10_decontaminate": oracles.OP10,
+}
