@@ -37,7 +37,7 @@ from . import shared
 from .shared import U
 
 #: Segments that a task gathers before it sends them.
-HELD = 4_000_000
+HELD = 1_500_000
 
 _SENT = "bucket int, kind int, anchor binary, digest binary, uid binary, th binary, start binary, n binary, lead binary"
 _CUT = "bucket int, key binary, uid binary, th binary, start binary, size binary, text binary"
@@ -352,7 +352,8 @@ def remove_repeats(docs: DataFrame, spec: Units) -> DataFrame:
     """The plan above; one row per input row, with doc_id and the columns of ``spec.result``."""
     spark = docs.sparkSession
     shared.ready(spark)
-    count = shared.buckets(shared.text_bytes(docs))
+    # Buckets of 8 MB of text, and as many as the session's shuffles have partitions.
+    count = shared.buckets(shared.text_bytes(docs), 8 << 20, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = _keyed(docs, count)
     schema = pa.schema([("doc_id", pa.int64()), *((c.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in spec.result.split(", "))])
     sent = keyed.select("text", "uid", "th").mapInArrow(announce(spec, count), _SENT)
