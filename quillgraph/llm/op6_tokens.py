@@ -60,7 +60,7 @@ def build_hash(keys: np.ndarray) -> list[np.ndarray]:
 
 
 def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-    return (shared.mix(keys + U(level + 1) * shared._C2) % U(size)).astype(np.int64)
+    return (shared.mix(keys + U((level + 1) * int(shared._C2) % (1 << 64))) % U(size)).astype(np.int64)
 
 
 def find_slots(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
