@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.policy import BoundaryPolicy, Retrieval
 from ..functions.text import normal_path, path_key, round12
-from ..operators import boundary, entities, evaluation, explore, ingest, mentions, relations, search, vectors
+from ..operators import boundary, entities, evaluation, explore, ingest, mentions, panels, parse, relations, search, vectors
 from ..sources import corpora, vault
 from ..sources.corpora import sql, table
 
@@ -496,3 +496,75 @@ def session_state(spark, d):
     from ..streaming.sessions import replay
 
     return replay(table(spark, d, "events"))
+
+
+# -- sections of generated Markdown ---------------------------------------------
+
+_MD = "md AS (SELECT doc, '# n' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) AS a, markdown AS b, chr(10) || chr(10) || '## Links' || chr(10) || chr(10) AS c, '[[n' || CAST(doc_id * 7 + 3 AS VARCHAR) || '|see]]' AS d FROM notes)"
+
+
+def _md_notes(notes: DataFrame) -> DataFrame:
+    """Notes with a title, and their link under a heading of its own."""
+    head = F.concat(F.lit("# n"), F.col("doc_id").cast("string"), F.lit("\n\n"))
+    return corpora.links(notes).join(notes, "doc").select("doc", "path", F.concat(head, "markdown", F.lit("\n\n## Links\n\n"), "markup").alias("markdown"))
+
+
+@query(sql("notes", then=f", {_MD} SELECT doc, title, depth, start, end_ FROM (SELECT doc, '' AS title, 0 AS depth, 0 AS start, length(a || b || c || d) AS end_ FROM md UNION ALL SELECT doc, substring(a, 3, length(a) - 4), 1, 0, length(a || b || c || d) FROM md UNION ALL SELECT doc, 'Links', 2, length(a || b) + 2, length(a || b || c || d) FROM md)"))
+def sections_tree(spark, d):
+    s = parse.child(parse.parse_notes(_md_notes(corpora.notes(spark, d))), "sections")
+    return s.select("doc", "title", "depth", "start", F.col("end").alias("end_"))
+
+
+@query(sql("notes", then=f", {_MD} SELECT doc, length(a || b || c) AS at, doc || ':section:[\"' || substring(a, 3, length(a) - 4) || '\",\"Links\"]:0' AS section FROM md"))
+def section_asof(spark, d):
+    parsed = parse.parse_notes(_md_notes(corpora.notes(spark, d)))
+    return parse.assign_sections(parse.child(parsed, "links").select("doc", F.col("start").alias("at")), parse.child(parsed, "sections"))
+
+
+# -- composed queries of the surfaces -------------------------------------------
+
+
+@query(sql("mapped", then="SELECT center, neighbor, score FROM mapped WHERE NOT hidden AND (score >= round(high - (high - low) * 80 / 100, 12) OR pinned) AND NOT (score >= round(high - (high - low) * 30 / 100, 12) OR pinned)"))
+def newly_visible(spark, d):
+    return panels.newly_visible(_centered(corpora.notes(spark, d)), 30, 80)
+
+
+@query(sql("evidence", then="SELECT node_a, node_b, string_agg(kind, ',' ORDER BY kind) AS kinds FROM (SELECT DISTINCT least(source, target) AS node_a, greatest(source, target) AS node_b, kind FROM evidence WHERE source <> target) GROUP BY ALL"))
+def relation_kinds(spark, d):
+    return panels.signal_kinds(relations.pairs(_evidence(corpora.notes(spark, d))))
+
+
+@query(sql("mentions", "links", then="SELECT source, start, kind, target FROM (SELECT source, section * 100000 + place AS start, 'mention' AS kind, target FROM mentions WHERE status = 'resolved' UNION ALL SELECT source, -1, 'wiki', target FROM links WHERE target IS NOT NULL) ORDER BY source, start, kind LIMIT 500 OFFSET 250"))
+def references_page(spark, d):
+    n = corpora.notes(spark, d)
+    m = _mentions(n).where("status = 'resolved'").select("source", (F.col("section").cast("long") * 100000 + F.col("place")).alias("start"), "target")
+    w = _links(n).where("status = 'resolved'").select("source", F.lit(-1).cast("long").alias("start"), "target")
+    return panels.page(panels.references(m, w), ["source", "start", "kind"], 250, 500)
+
+
+@query(sql("mapped", "notes", then="SELECT center, rank, greatest(0, least(chars, 2000, 20000 - own - before)) AS taken FROM (SELECT *, coalesce(sum(least(chars, 2000)) OVER (PARTITION BY center ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT v.center, v.rank, length(b.markdown) AS chars, least(length(a.markdown), 6000) AS own FROM (SELECT center, neighbor, row_number() OVER (PARTITION BY center, pinned ORDER BY score DESC, neighbor) AS rank FROM mapped WHERE NOT hidden AND NOT pinned AND score >= round(high - (high - low) * 50 / 100, 12)) v JOIN notes a ON a.doc = v.center JOIN notes b ON b.doc = v.neighbor))"))
+def evidence_packing(spark, d):
+    n = corpora.notes(spark, d)
+    chars = n.select("doc", F.char_length("markdown").alias("chars"))
+    v = explore.visible(_centered(n)).where(~F.col("pinned")).select("center", F.col("neighbor").alias("doc"), "rank")
+    packed = panels.pack_evidence(v.join(chars, "doc").select("center", "rank", "chars"), chars.withColumnRenamed("doc", "center"))
+    return packed.select("center", F.col("rank").cast("long").alias("rank"), F.col("taken").cast("long").alias("taken"))
+
+
+@query(sql("notes", then="SELECT path, parent, depth, folder, row_number() OVER (PARTITION BY parent ORDER BY folder DESC, path) AS place, count(*) OVER (PARTITION BY parent) AS siblings FROM (SELECT DISTINCT split_part(path, '/', 1) AS path, '' AS parent, 1 AS depth, true AS folder FROM notes UNION ALL SELECT path, split_part(path, '/', 1), 2, false FROM notes)"))
+def path_tree(spark, d):
+    t = panels.path_tree(corpora.notes(spark, d).select("path"))
+    return t.withColumn("place", F.col("place").cast("long"))
+
+
+@query()
+def embedding_index(spark, d):
+    """Notes embedded by the stand-in provider: reused where the content is stored, encoded or discarded otherwise."""
+    from ..operators.indexing import HashProvider, index
+
+    n = corpora.notes(spark, d)
+    k = F.col("doc_id") % 4
+    u = n.select("doc", F.col("doc").alias("unit"), F.sha2("markdown", 256).alias("content_hash"), F.col("markdown").alias("text"), F.when(k == 3, 1).otherwise(2).cast("long").alias("revision"), F.lit(1).alias("sequence"))
+    stored = u.where(F.col("doc").cast("int") % 4 == 0).select("doc", "content_hash", F.array_repeat(F.lit(0.25), 16).alias("vector"))
+    live = n.select("doc", F.lit(2).cast("long").alias("revision"))
+    return index(u, stored, live, HashProvider(16)).groupBy("action").agg(F.count("*").alias("units"), F.count("error").alias("errors"))
