@@ -40,12 +40,16 @@ def search_text(documents: DataFrame, query: str, limit: int = 20) -> DataFrame:
     terms = search_terms(query)
     if not terms:
         return documents.select("doc", F.lit(0.0).alias("score")).limit(0)
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
-    rows = documents.select("doc", words("title").alias("title"), words("body").alias("body"))
     fields = (("title", SEARCH_WEIGHTS[0]), ("body", SEARCH_WEIGHTS[1]))
+    rows = documents.select("doc", F.lower("title").alias("title"), F.lower("body").alias("body"))
+
+    def hits_of(c: str, t: str) -> Column:
+        """How often a term is a whole word; most texts lack it, and are only looked through for its letters."""
+        return F.when(F.col(c).contains(t), F.regexp_count(c, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(t)}(?![\p{{L}}\p{{N}}_])"))).otherwise(0)
+
     # Weighted frequencies and lengths of both fields together.
-    tf = [sum(((F.size(c) - F.size(F.array_remove(c, t))) * F.lit(w) for c, w in fields), F.lit(0.0)) for t in terms]
-    length = sum((F.size(c) * F.lit(w) for c, w in fields), F.lit(0.0))
+    tf = [sum((hits_of(c, t) * F.lit(w) for c, w in fields), F.lit(0.0)) for t in terms]
+    length = sum((F.regexp_count(c, F.lit(WORD)) * F.lit(w) for c, w in fields), F.lit(0.0))
     counted = rows.select("doc", length.alias("length"), *(x.alias(f"tf{i}") for i, x in enumerate(tf)))
     totals = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     hits = counted.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(totals))  # one row
