@@ -117,3 +117,35 @@ def ring_layout(visible_: DataFrame) -> DataFrame:
     angle = 2 * F.pi() * F.col("_i") / (6 + 6 * F.col("ring"))
     radius = 195.0 + 160.0 * F.col("ring")
     return rows.select("center", "neighbor", "ring", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
+
+
+SCHEMA_VERSION = 2
+
+
+def freeze(centered: DataFrame, focuses: DataFrame, live: DataFrame, lens: int, budget: int | None, index_revision: int, policy_revision: int, score_version: str) -> dict[str, DataFrame]:
+    """The tables of the focuses' snapshots, to be committed to a store: headers, relations with the ends' epochs, cross relations.
+
+    live: doc, revision, epoch. A snapshot's budget is all its candidates unless one is given.
+    """
+    if not 0 <= lens <= 100:
+        raise ValueError("lens must be from 0 to 100")
+    own = centered.join(focuses.select(F.col("doc").alias("center")), "center", "left_semi")
+    at = lambda side: live.select(F.col("doc").alias(f"node_{side}"), F.col("epoch").alias(f"epoch_{side}"))
+    kept = own.join(at("a"), "node_a", "left").join(at("b"), "node_b", "left")
+    size = own.groupBy("center").agg(F.count("*").alias("n"))
+    heads = lens_mapping(own).join(size, "center").join(live.select(F.col("doc").alias("center"), F.col("revision").alias("focus_revision")), "center")
+    heads = heads.select(
+        F.sha2(F.concat_ws("|", "center", F.lit(str(index_revision)), F.lit(score_version)), 256).alias("snapshot"), F.col("center").alias("focus"), "focus_revision", F.lit(index_revision).alias("index_revision"), F.lit(policy_revision).alias("policy_revision"),
+        F.lit(score_version).alias("score_version"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(lens).alias("lens"), (F.greatest("n", F.lit(1)) if budget is None else F.lit(budget)).cast("long").alias("budget"), "low", "high",
+    )
+    return {"snapshots": heads, "snapshot_relations": kept, "snapshot_cross": cross_relations(centered, focuses)}
+
+
+def snapshot_faults(headers: DataFrame, relations_: DataFrame, cross: DataFrame) -> DataFrame:
+    """(focus, fault) of snapshots that break an invariant; empty when all are sound."""
+    head = headers.where((F.col("schema_version") != SCHEMA_VERSION) | ~F.col("lens").between(0, 100) | (F.col("budget") < 1) | (F.col("low") > F.col("high"))).select("focus", F.lit("header").alias("fault"))
+    score = relations_.where(F.isnan("score") | ~F.col("score").between(0, 1)).select(F.col("center").alias("focus"), F.lit("score").alias("fault"))
+    foreign = relations_.where((F.col("center") != F.col("node_a")) & (F.col("center") != F.col("node_b"))).select(F.col("center").alias("focus"), F.lit("relation without its focus").alias("fault"))
+    near = relations_.select(F.col("center").alias("focus"), F.col("neighbor").alias("_n")).distinct()
+    ends = cross.select("focus", F.explode(F.array("node_a", "node_b")).alias("_n")).join(near, ["focus", "_n"], "left_anti").select("focus", F.lit("cross relation outside the neighborhood").alias("fault"))
+    return head.unionByName(score).unionByName(foreign).unionByName(ends).distinct()

@@ -87,3 +87,12 @@ def label_rank(nodes: DataFrame, fraction: float = 0.3, least: int = 3) -> DataF
     total = nodes.agg(F.greatest(F.lit(least), F.ceil(F.count("*") * F.lit(fraction))).alias("_shown"))
     own = F.row_number().over(W.partitionBy("degree").orderBy("doc"))
     return nodes.join(before, "degree").withColumn("label_rank", (F.col("_before") + own).cast("long")).crossJoin(F.broadcast(total)).where("label_rank <= _shown").drop("_n", "_before", "_shown")
+
+
+def merge_overrides(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """Overrides (node_a, node_b, hidden, pinned, note) after changes, where null keeps what was; ends are put in order, empty ones go."""
+    ordered = changes.withColumn("_a", F.least("node_a", "node_b")).withColumn("_b", F.greatest("node_a", "node_b"))
+    new = ordered.select(F.col("_a").alias("node_a"), F.col("_b").alias("node_b"), *(F.col(c).alias(f"_{c}") for c in ("hidden", "pinned", "note"))).where("node_a <> node_b")
+    joined = current.join(new, ["node_a", "node_b"], "full_outer")
+    rows = joined.select("node_a", "node_b", *(F.coalesce(f"_{c}", c).alias(c) for c in ("hidden", "pinned", "note")))
+    return rows.where(F.coalesce("hidden", F.lit(False)) | F.coalesce("pinned", F.lit(False)) | (F.coalesce(F.trim("note"), F.lit("")) != ""))

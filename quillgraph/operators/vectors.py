@@ -162,3 +162,26 @@ def coverage(status: DataFrame) -> DataFrame:
     for s in ("error", "cancelled", "limit-exceeded", "unsupported"):
         overall = overall.when(any_(s), s)
     return status.agg(F.count("*").alias("documents"), F.coalesce(F.sum("units"), F.lit(0)).alias("units"), ready.alias("ready"), overall.otherwise("pending").alias("status"))
+
+
+def pair_state(pairs: DataFrame, status: DataFrame, space: str | None) -> DataFrame:
+    """pairs (node_a, node_b) with state: not-configured without a space, pending, stale, the first other status that is not ready, or not-recalled.
+
+    status: document_status of all documents.
+    """
+    if space is None:
+        return pairs.withColumn("state", F.lit("not-configured"))
+    a, b = status.select(F.col("doc").alias("node_a"), F.col("status").alias("_a")), status.select(F.col("doc").alias("node_b"), F.col("status").alias("_b"))
+    joined = pairs.join(a, "node_a", "left").join(b, "node_b", "left")
+    one = lambda s: (F.col("_a") == s) | (F.col("_b") == s)
+    absent = F.col("_a").isNull() | F.col("_b").isNull()
+    state = F.when(absent, "pending").when(one("pending"), "pending").when(one("stale"), "stale").when(F.col("_a") != "ready", F.col("_a")).when(F.col("_b") != "ready", F.col("_b")).otherwise("not-recalled")
+    return joined.withColumn("state", state).drop("_a", "_b")
+
+
+def signals_valid(signals: DataFrame, units: DataFrame, space: str) -> DataFrame:
+    """signals (signal, space, unit, content_hash: a row for each contributing unit), one row a signal: valid if all units are unchanged in the space."""
+    live = units.select("unit", F.col("content_hash").alias("_h"))
+    joined = signals.join(live, "unit", "left")
+    fine = (F.col("space") == space) & F.coalesce(F.col("_h") == F.col("content_hash"), F.lit(False))
+    return joined.groupBy("signal").agg(F.bool_and(fine).alias("valid"))

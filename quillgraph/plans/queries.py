@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.policy import BoundaryPolicy, Retrieval
@@ -49,15 +49,21 @@ def _relations(notes: DataFrame) -> DataFrame:
     return relations.score(relations.candidates(_evidence(notes)))
 
 
-def _overrides(pairs: DataFrame) -> DataFrame:
+def _override_flags() -> tuple[Column, Column]:
     """Overrides by the last digits of the ids: some hidden, some pinned."""
     a, b = F.right("node_a", F.lit(1)).cast("int"), F.right("node_b", F.lit(1)).cast("int")
-    return pairs.select("node_a", "node_b", ((a == 7) & (b < 5)).alias("hidden"), (b == 3).alias("pinned")).where("hidden or pinned")
+    return (a == 7) & (b < 5), b == 3
+
+
+def _overrides(pairs: DataFrame) -> DataFrame:
+    hidden, pinned = _override_flags()
+    return pairs.select("node_a", "node_b", hidden.alias("hidden"), pinned.alias("pinned")).where("hidden or pinned")
 
 
 def _centered(notes: DataFrame) -> DataFrame:
-    r = _relations(notes)
-    return relations.by_center(relations.with_overrides(r, _overrides(r.select("node_a", "node_b"))))
+    """Relations from both ends with their flags, which here follow from the ids, so no join is needed."""
+    hidden, pinned = _override_flags()
+    return relations.by_center(_relations(notes).withColumn("hidden", hidden).withColumn("pinned", pinned & ~F.col("hidden")))
 
 
 POOL = Retrieval(budget=20)
