@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,19 +74,27 @@ def review_summary(reviews: DataFrame) -> DataFrame:
 
 
 def review_queue(ranked: DataFrame, size: int = 40, per_node: int = 3, pool: int = 4000) -> DataFrame:
-    """The first pairs by score in which no node appears more than ``per_node`` times: a greedy pass over a ranked pool of stated size."""
+    """The first pairs by score in which no node appears more than ``per_node`` times: a greedy pass over the ranking.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts) or [pd.DataFrame(columns=["node_a", "node_b", "score"])]).sort_values(["score", "node_a", "node_b"], ascending=[False, True, True])
-        used: dict[str, int] = {}
-        out = []
-        for a, b, s in rows.itertuples(index=False):
+    The ranking is read in blocks of ``pool`` pairs, the next without the nodes that are used up, until the queue is full or pairs
+    end. The first pair of a block is always taken, so there are no more than ``size`` + 1 blocks.
+    """
+    pairs = ranked.select("node_a", "node_b", "score")
+    used: dict[str, int] = {}
+    out, rest = [], pairs
+    while len(out) < size:
+        block = rest.orderBy(F.desc("score"), "node_a", "node_b").limit(pool).collect()  # of ``pool`` rows
+        for a, b, s in block:
             if len(out) < size and used.get(a, 0) < per_node and used.get(b, 0) < per_node:
                 used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
                 out.append((a, b, s))
-        yield pd.DataFrame(out, columns=["node_a", "node_b", "score"])
-
-    return ranked.select("node_a", "node_b", "score").orderBy(F.desc("score"), "node_a", "node_b").limit(pool).coalesce(1).mapInPandas(run, "node_a string, node_b string, score double")
+        if len(block) < pool:
+            break
+        a, b, s = block[-1]
+        full = [n for n, k in used.items() if k >= per_node]
+        after = (F.col("score") < s) | ((F.col("score") == s) & ((F.col("node_a") > a) | ((F.col("node_a") == a) & (F.col("node_b") > b))))
+        rest = pairs.where(after & ~F.col("node_a").isin(full) & ~F.col("node_b").isin(full))
+    return ranked.sparkSession.createDataFrame(out, "node_a string, node_b string, score double")
 
 
 def nearest_rank(samples: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:

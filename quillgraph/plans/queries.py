@@ -479,7 +479,8 @@ def review_summary(spark, d):
 
 @query()
 def review_queue(spark, d):
-    return evaluation.review_queue(_pool(spark, d).where("center < neighbor").select(F.col("center").alias("node_a"), F.col("neighbor").alias("node_b"), F.col("similarity").alias("score")))
+    ends = F.least("center", "neighbor").alias("node_a"), F.greatest("center", "neighbor").alias("node_b")
+    return evaluation.review_queue(_pool(spark, d).groupBy(*ends).agg(F.max("similarity").alias("score")))
 
 
 @query("SELECT event_type, min(value) FILTER (WHERE r >= greatest(1, ceil(n * 0.5))) AS p50, min(value) FILTER (WHERE r >= greatest(1, ceil(n * 0.95))) AS p95, max(value) AS max FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
