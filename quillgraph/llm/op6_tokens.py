@@ -2,11 +2,12 @@ r"""Token-id files with a minimal perfect hash index.
 
 A shard is one file: the raw little-endian ids of its documents, each ended by the
 end id, in ascending doc_id order; then a footer with the index; then the footer's
-length and a magic word. Ids take 2 bytes while the vocabulary fits, else 4. Shards
-split the ids at ranges of doc_id, so the shard of a key is found in the list of
-their bounds, and inside it a minimal perfect hash gives the key's slot in constant
-time; the slot's fingerprint tells foreign keys, and its row number leads to offset
-and length.
+length and a magic word. Ids take 2 bytes while the vocabulary fits, else 4. A light pass
+over ids and lengths cuts the shards by running bytes, so a reader's memory is bounded by
+``SHARD_BYTES`` and the longest document; a table of the cuts stands beside the shards, so
+a lookup opens only the shards that may hold its keys. Inside a shard a minimal perfect
+hash gives the key's slot in constant time (ranks are stored for each 512 bits); the
+slot's fingerprint tells foreign keys, and its row number leads to offset and length.
 
 Spark's text writer makes the files (one row a document, the end id as line
 separator), so a shard is committed like any other Spark output: a lost task leaves
@@ -20,6 +21,7 @@ Each different chunk goes through the tokenizers library once and its ids are re
 
 from __future__ import annotations
 
+import bisect
 import os
 import struct
 import uuid
@@ -27,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +40,15 @@ from .shared import U
 #: The id that ends a document.
 END_ID = 2
 #: Bytes of text in a shard.
-SHARD_BYTES = 48 << 20
-#: Chunks whose ids a Python worker remembers.
-CHUNKS = 400_000
+SHARD_BYTES = 24 << 20
+#: Bytes of chunks and their ids that a Python worker remembers, in two generations; each entry counts ENTRY more.
+CACHE_BYTES, ENTRY = 48 << 20, 200
+#: Leading characters of a text that tell rows of one doc_id apart where shards are cut.
+HEAD = 64
+#: The table of cuts beside the shards: shard (the number in a file's name), first (its least doc_id).
+BOUNDS = "_bounds"
 
-_MAGIC = b"QGTOKS01"
+_MAGIC = b"QGTOKS02"
 
 
 # -- minimal perfect hash -------------------------------------------------------
@@ -63,21 +70,49 @@ def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
     return (shared.mix(keys + U((level + 1) * int(shared._C2) % (1 << 64))) % U(size)).astype(np.int64)
 
 
+_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
+_LINE = 64  # bytes that share a stored rank
+
+
+class Slots:
+    """Levels as packed bits with the number of bits set before each line of 512."""
+
+    def __init__(self, sizes: list[int], packed: list[np.ndarray], ranks: list[np.ndarray]):
+        self.sizes, self.packed, self.ranks = sizes, packed, ranks
+
+    @classmethod
+    def of(cls, levels: list[np.ndarray]) -> Slots:
+        packed, ranks, before = [np.packbits(x) for x in levels], [], 0
+        for x in packed:
+            sums = np.append(0, np.cumsum(_ONES[x]))
+            ranks.append((before + sums[: len(x) : _LINE]).astype(np.uint32))
+            before += int(sums[-1])
+        return cls([len(x) for x in levels], packed, ranks)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's slot; -1 where no level has a bit for it. A foreign key may get a slot, which its fingerprint betrays."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        keys = keys.astype(np.uint64)
+        for number, (size, bits, ranks) in enumerate(zip(self.sizes, self.packed, self.ranks, strict=True)):
+            open_ = np.flatnonzero(out < 0)
+            if not len(open_):
+                break
+            for part in np.array_split(open_, -(-len(open_) // 65536)):
+                at = _place(keys[part], number, size)
+                byte, bit = at >> 3, at & 7
+                hit = (bits[byte] >> (7 - bit)) & 1 == 1
+                part, byte, bit = part[hit], byte[hit], bit[hit]
+                line = byte // _LINE
+                # At most a line's bytes are counted for a key.
+                place = line[:, None] * _LINE + np.arange(_LINE)
+                inside = place < byte[:, None]
+                whole = (_ONES[bits[np.minimum(place, len(bits) - 1)]] * inside).sum(axis=1)
+                out[part] = ranks[line] + whole + _ONES[bits[byte] >> (8 - bit).astype(np.uint8)] if len(part) else 0
+        return out
+
+
 def find_slots(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """Each key's slot; -1 where no level has a bit for it. A foreign key may get a slot, which its fingerprint betrays."""
-    out = np.full(len(keys), -1, dtype=np.int64)
-    keys = keys.astype(np.uint64)
-    before = 0
-    for number, bits in enumerate(levels):
-        open_ = np.flatnonzero(out < 0)
-        if not len(open_):
-            break
-        at = _place(keys[open_], number, len(bits))
-        hit = bits[at]
-        rank = np.cumsum(bits) - 1
-        out[open_[hit]] = before + rank[at[hit]]
-        before += int(rank[-1]) + 1
-    return out
+    return Slots.of(levels).find(keys)
 
 
 def fingerprints(keys: np.ndarray) -> np.ndarray:
@@ -90,25 +125,29 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 def footer(keys: np.ndarray, counts: np.ndarray, width: int) -> bytes:
     """The index of a shard: keys ascending (a repeated key has several rows), ids of each row."""
     different, first = np.unique(keys, return_index=True)
-    levels = build_hash(different)
-    slots = find_slots(levels, different)
+    index = Slots.of(build_hash(different))
+    slots = index.find(different)
     prints, rows = np.zeros(len(different), np.uint32), np.zeros(len(different), np.uint32)
     prints[slots], rows[slots] = fingerprints(different), first
-    parts = [struct.pack("<IIII", width, len(keys), len(different), len(levels)), np.array([len(x) for x in levels], np.uint32).tobytes()]
-    parts += [np.packbits(x).tobytes() for x in levels]
+    parts = [struct.pack("<IIII", width, len(keys), len(different), len(index.sizes)), np.array(index.sizes, np.uint32).tobytes()]
+    parts += [x.tobytes() for x in (*index.packed, *index.ranks)]
     return b"".join([*parts, prints.tobytes(), rows.tobytes(), keys.astype(np.int64).tobytes(), counts.astype(np.uint32).tobytes()])
 
 
 class Shard:
-    """A shard's bytes, read."""
-
-    def __init__(self, content: bytes, end: bytes):
-        content = content[: len(content) - len(end)]  # the writer's separator after the footer
-        if content[-8:] != _MAGIC:
-            raise ValueError("not a token shard")
-        (size,) = struct.unpack("<Q", content[-16:-8])
+    """A shard's bytes (any buffer), read in place."""
+
+    def __init__(self, content, end_id: int):
+        content = memoryview(content)
+        for width in (2, 4):
+            tail = len(content) - width  # the writer's separator after the footer
+            if end_id >> (8 * width) == 0 and content[tail - 8 : tail] == _MAGIC and content[tail:] == end_id.to_bytes(width, "little"):
+                break
+        else:
+            raise ValueError("not a token shard with this end id")
+        (size,) = struct.unpack("<Q", content[tail - 16 : tail - 8])
         self.data = content
-        at = len(content) - 16 - size
+        at = tail - 16 - size
         self.width, self.n, different, deep = struct.unpack_from("<IIII", content, at)
         at += 16
 
@@ -118,14 +157,16 @@ class Shard:
             at += x.nbytes
             return x
 
-        self.levels = [np.unpackbits(take(np.uint8, s // 8)).astype(bool) for s in take(np.uint32, deep).tolist()]
+        sizes = take(np.uint32, deep).tolist()
+        packed = [take(np.uint8, s // 8) for s in sizes]
+        self.slots = Slots(sizes, packed, [take(np.uint32, -(-len(x) // _LINE)) for x in packed])
         self.prints, self.rows = take(np.uint32, different), take(np.uint32, different)
         self.keys, self.counts = take(np.int64, self.n), take(np.uint32, self.n)
         self.starts = np.cumsum(self.counts, dtype=np.int64) - self.counts
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The first row of each key, or -1."""
-        slots = find_slots(self.levels, keys)
+        slots = self.slots.find(keys)
         known = slots >= 0
         known[known] = self.prints[slots[known]] == fingerprints(keys[known])
         return np.where(known, self.rows[np.where(known, slots, 0)] if len(self.rows) else -1, -1)
@@ -153,7 +194,7 @@ def _tokenizer(path: str):
             sizes[i] = len(token)
         for i, token in tokenizer.get_added_tokens_decoder().items():
             sizes[i] = len(token.content.encode())
-        _WORKER.update(path=path, tokenizer=tokenizer, sizes=sizes, ids={}, older={})
+        _WORKER.update(path=path, tokenizer=tokenizer, sizes=sizes, ids={}, older={}, bytes=0)
     return _WORKER["tokenizer"], _WORKER["ids"]
 
 
@@ -231,9 +272,10 @@ def encode(flat: np.ndarray, offsets: np.ndarray, path: str, width: int) -> tupl
     different = chunks.dictionary.to_pylist()
     # Two generations: what the younger one lacks is taken over from the older one or learned.
     older = _WORKER["older"]
-    new = []
+    fresh, new = [], []
     for x in different:
         if x not in known:
+            fresh.append(x)
             if x in older:
                 known[x] = older[x]
             else:
@@ -241,8 +283,9 @@ def encode(flat: np.ndarray, offsets: np.ndarray, path: str, width: int) -> tupl
     _learn(new, width)
     kind = np.dtype(f"<u{width}")
     ids = [known[x] for x in different]
-    if len(known) > CHUNKS // 2:
-        _WORKER.update(older=known, ids={})
+    _WORKER["bytes"] += sum(len(x) + len(known[x]) for x in fresh) + ENTRY * len(fresh)
+    if _WORKER["bytes"] > CACHE_BYTES // 2:
+        _WORKER.update(older=known, ids={}, bytes=0)
     sizes = np.array([len(x) for x in ids], dtype=np.int64) // width
     pool = np.frombuffer(b"".join(ids), dtype=kind)
     which = chunks.indices.to_numpy()
@@ -267,59 +310,119 @@ def _write(path: str, width: int, end: bytes):
             # The writer ends the last document before the footer, and the footer too.
             index = footer(np.array(keys, np.int64), np.array(counts, np.int64), width)
             yield pa.RecordBatch.from_arrays([pa.array([index + struct.pack("<Q", len(index)) + _MAGIC], pa.binary())], ["value"])
+        # A worker outlives its task: it keeps the tokenizer and no chunks.
+        _WORKER.update(ids={}, older={}, bytes=0)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+# -- shards ---------------------------------------------------------------------
+
+
+def _cuts(shard_bytes: int):
+    """The keys (uid, head) at which a partition's rows, in order, begin a shard."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        have = None
+        for b in batches:
+            total = np.cumsum(b.column("n").to_numpy())
+            at, cuts, before = 0, [], 0
+            while at < len(total):
+                if have is None or (have and have + total[at] - before > shard_bytes):
+                    cuts.append(at)
+                    have = 0
+                # The rows from here that still fit; the first of a shard always does.
+                to = max(at + (have == 0), int(np.searchsorted(total, before + shard_bytes - have, "right")))
+                if to > at:
+                    have += int(total[to - 1]) - before
+                    at, before = to, int(total[to - 1])
+            if cuts:
+                yield b.take(pa.array(cuts)).select(["uid", "head"])
 
     return run
 
 
+def _shard_of(sent):
+    """The number of the shard that a key belongs to: the last one that begins at it or before."""
+
+    @F.pandas_udf("int")
+    def of(uid: pd.Series, head: pd.Series) -> pd.Series:
+        ids, heads = sent.value
+        uid = uid.to_numpy()
+        low, high = np.searchsorted(ids, uid, "left"), np.searchsorted(ids, uid, "right")
+        out = high
+        for i in np.flatnonzero(low < high).tolist():  # ids at which a shard begins
+            out[i] = bisect.bisect_right(heads, head.iloc[i].encode(), int(low[i]), int(high[i]))
+        return pd.Series(np.maximum(out - 1, 0).astype(np.int32))
+
+    return of
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer_file: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode every whole text and write the shards under ``out``.
 
     Input: doc_id, text; other columns are ignored. A null text is empty; a null doc_id
-    comes first; rows with one doc_id stand side by side in the order of their texts. No
-    rows write no shards.
+    comes first; rows with one doc_id stand side by side in the order of their texts, in
+    several shards where they are many (rows that share also the text's first HEAD characters
+    stay together). No rows write no shards. A text is encoded as one string, whatever its
+    length: a worker holds some ten times its bytes.
     """
     spark = docs.sparkSession
     shared.ready(spark)
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    if not 0 <= end_id < 1 << 31:
+        raise ValueError("end_id must be from 0 to 2**31 - 1")
     end = int(end_id).to_bytes(width, "little")
     # The text writer spells its separator in UTF-8, so each byte of the end id must be one such character.
     if max(end) > 0x7F:
         raise ValueError("the bytes of end_id must be below 128")
-    shards = shared.buckets(shared.text_bytes(docs), shard_bytes, 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    key = F.coalesce("doc_id", F.lit(shared.NULL_ID)).alias("uid"), F.substring(F.coalesce("text", F.lit("")), 1, HEAD).alias("head")
+    light = rows.select(*key, (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("n"))
+    parts = shared.buckets(shared.text_bytes(docs), 8 * shard_bytes, 1)
+    cuts = light.repartitionByRange(parts, "uid", "head").sortWithinPartitions("uid", "head").mapInArrow(_cuts(shard_bytes), "uid long, head string")
+    # Some 100 bytes a shard.
+    bounds = sorted({(r["uid"], r["head"].encode()) for r in cuts.collect()})
+    if not bounds:
+        rows.select(F.col("text").alias("value")).limit(0).write.text(out)
+        return
+    sent = spark.sparkContext.broadcast((np.array([u for u, _ in bounds], np.int64), [h for _, h in bounds]))
+    rows = rows.withColumn("shard", _shard_of(sent)(*key)).repartitionById(len(bounds), F.col("shard")).drop("shard").sortWithinPartitions("doc_id", "text")
     raw = rows.mapInArrow(_write(tokenizer_file, width, end), "value binary")
     raw.select(F.col("value").cast("string")).write.option("lineSep", end.decode()).option("compression", "none").text(out)
+    spark.createDataFrame([(i, u) for i, (u, _) in enumerate(bounds)], "shard int, first long").coalesce(1).write.parquet(f"{out}/{BOUNDS}")
 
 
-def _scan(end: bytes):
+def _scan(end_id: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                shard = Shard(content.as_py(), end)
+                shard = Shard(content.as_buffer(), end_id)
                 at = shard.find(shard.keys)
                 # Rows that repeat a key follow its first one.
                 at = at + (np.arange(shard.n) - np.searchsorted(shard.keys, shard.keys))
-                crc = [zlib.crc32(shard.ids(i).tobytes()) for i in at.tolist()]
+                crc = [zlib.crc32(shard.ids(i)) for i in at.tolist()]
                 keys = shard.keys.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([name] * shard.n), pa.array([None if k == shared.NULL_ID else k for k in keys], pa.int64()), pa.array(shard.starts[at]), pa.array(shard.counts[at].astype(np.int64)), pa.array(crc, pa.int64())], ["path", "doc_id", "start", "n_tokens", "ids_crc32"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _files(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out)
+def _files(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(list(paths))
 
 
-def read_tokens(spark: SparkSession, out: str, end_id: int = END_ID, width: int = 2) -> DataFrame:
+def read_tokens(spark: SparkSession, out: str, end_id: int = END_ID) -> DataFrame:
     """One row a document, read through the shards' indexes: doc_id, start (ids of all documents before), n_tokens, ids_crc32.
 
-    Only one row a shard is gathered in one place, for the sums of ids before each.
+    Only one row a shard is gathered in one place, for the sums of ids before each. A folder without shards gives no rows.
     """
     shared.ready(spark)
-    end = int(end_id).to_bytes(width, "little")
-    rows = _files(spark, out).select("path", "content").mapInArrow(_scan(end), "path string, doc_id long, start long, n_tokens long, ids_crc32 long").checkpoint()
+    rows = _files(spark, out).where("length > 0").select("path", "content").mapInArrow(_scan(end_id), "path string, doc_id long, start long, n_tokens long, ids_crc32 long").checkpoint()
     totals = {r["path"]: r["n"] for r in rows.groupBy("path").agg(F.sum("n_tokens").alias("n")).collect()}
     before, sums = 0, []
     for p in sorted(totals):
@@ -331,14 +434,31 @@ def read_tokens(spark: SparkSession, out: str, end_id: int = END_ID, width: int
     return rows.join(bases, "path").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def fetch_ids(spark: SparkSession, out: str, keys: list[int], end_id: int = END_ID, width: int = 2) -> DataFrame:
+def shards_of(spark: SparkSession, out: str, keys: list[int]) -> list[str]:
+    """The files that may hold some of the keys, from the table of cuts and the files' names; no shard is opened."""
+    bounds = sorted((r["first"], r["shard"]) for r in spark.read.parquet(f"{out}/{BOUNDS}").collect())
+    first = [u for u, _ in bounds]
+    wanted = set()
+    for k in keys:
+        # A key may begin in the shard before the first one that begins at it.
+        wanted.update(bounds[i][1] for i in range(max(0, bisect.bisect_left(first, k) - 1), bisect.bisect_right(first, k)))
+    names = [r["path"] for r in _files(spark, out).where("length > 0").select("path").collect()]
+    return sorted(p for p in names if int(p.rsplit("/", 1)[1].split("-")[1]) in wanted)
+
+
+def fetch_ids(spark: SparkSession, out: str, keys: list[int], end_id: int = END_ID) -> DataFrame:
     """The ids of the given keys (a stated list): doc_id, ids. Absent keys give no rows; a repeated key gives a row for each of its documents."""
-    end, wanted = int(end_id).to_bytes(width, "little"), np.unique(np.array(keys, dtype=np.int64))
+    shared.ready(spark)
+    wanted = np.unique(np.array(keys, dtype=np.int64))
+    schema = "doc_id long, ids array<long>"
+    paths = shards_of(spark, out, wanted.tolist()) if len(wanted) else []
+    if not paths:
+        return spark.createDataFrame([], schema)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content"):
-                shard = Shard(content.as_py(), end)
+                shard = Shard(content.as_buffer(), end_id)
                 mine = wanted[(wanted >= shard.keys[0]) & (wanted <= shard.keys[-1])]
                 found = []
                 for key, row in zip(mine.tolist(), shard.find(mine).tolist(), strict=True):
@@ -347,7 +467,7 @@ def fetch_ids(spark: SparkSession, out: str, keys: list[int], end_id: int = END_
                         row += 1
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return _files(spark, out).select("content").mapInArrow(run, "doc_id long, ids array<long>")
+    return _files(spark, *paths).select("content").mapInArrow(run, schema)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

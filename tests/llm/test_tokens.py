@@ -51,3 +51,35 @@ def test_hash_is_minimal_and_perfect(n):
     keys = np.random.default_rng(n).integers(-(2**62), 2**62, n)
     levels = op6.build_hash(keys)
     assert sorted(op6.find_slots(levels, keys).tolist()) == list(range(n))
+
+
+def test_wide_ids_and_ties(spark, tmp_path):
+    """An end id beyond two bytes makes ids of four; rows of one doc_id, and without any, spread over shards."""
+    data = [(None, f"{i} none {i % 7}") for i in range(300)] + [(5, f"{i} five") for i in range(300)] + [(9, "same")] * 50
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    out, end = str(tmp_path / "wide"), 70000
+    op6.write_tokens(df, out, PATH, end_id=end, shard_bytes=900)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in op6.read_tokens(spark, out, end_id=end).collect())
+    want, at = [], 0
+    for i, text in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = [*plain(text), end]
+        want.append((at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want
+    found = op6.fetch_ids(spark, out, [5, 6], end_id=end).collect()
+    assert sorted(r.ids for r in found) == sorted([*plain(t), end] for i, t in data if i == 5)
+    names = [f for f in os.listdir(out) if f.startswith("part-")]
+    assert len(names) > 6
+    assert 1 < len(op6.shards_of(spark, out, [5])) < len(names)
+
+
+def test_lookup_opens_few_shards(spark, tmp_path):
+    out = str(tmp_path / "many")
+    op6.write_tokens(spark.range(400).selectExpr("id * 3 AS doc_id", "concat('text of ', id) AS text"), out, PATH, shard_bytes=400)
+    names = [f for f in os.listdir(out) if f.startswith("part-")]
+    assert len(names) > 10
+    assert len(op6.shards_of(spark, out, [300])) <= 2
+    assert op6.fetch_ids(spark, out, [300]).collect()[0].ids == [*plain("text of 100"), 2]
+    assert op6.fetch_ids(spark, out, []).collect() == []
+    with pytest.raises(ValueError):
+        op6.write_tokens(spark.createDataFrame([(1, "x")], "doc_id long, text string"), out + "2", PATH, end_id=2**32)
