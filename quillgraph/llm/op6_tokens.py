@@ -29,7 +29,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +40,8 @@ from .shared import U
 END_ID = 2
 #: Bytes of text in a shard.
 SHARD_BYTES = 24 << 20
-#: Bytes of chunks and their ids that a Python worker remembers, in two generations; each entry counts ENTRY more.
-CACHE_BYTES, ENTRY = 48 << 20, 200
+#: Chunks whose ids a Python worker remembers, and their bytes at most: some 60 MB in all. Longer chunks are encoded each time.
+CHUNKS, CHUNK_BYTES = 360_000, 40
 #: Leading characters of a text that tell rows of one doc_id apart where shards are cut.
 HEAD = 64
 #: The table of cuts beside the shards: shard (the number in a file's name), first (its least doc_id).
@@ -182,8 +181,8 @@ class Shard:
 _WORKER: dict = {}
 
 
-def _tokenizer(path: str):
-    if _WORKER.get("path") != path:
+def _tokenizer(path: str, width: int):
+    if _WORKER.get("path") != (path, width):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -194,7 +193,7 @@ def _tokenizer(path: str):
             sizes[i] = len(token)
         for i, token in tokenizer.get_added_tokens_decoder().items():
             sizes[i] = len(token.content.encode())
-        _WORKER.update(path=path, tokenizer=tokenizer, sizes=sizes, ids={}, older={}, bytes=0)
+        _WORKER.update(path=(path, width), tokenizer=tokenizer, sizes=sizes, ids={}, older={})
     return _WORKER["tokenizer"], _WORKER["ids"]
 
 
@@ -263,7 +262,7 @@ def chunk_starts(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def encode(flat: np.ndarray, offsets: np.ndarray, path: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, and the number of each."""
-    tokenizer, known = _tokenizer(path)
+    _, known = _tokenizer(path, width)
     starts = chunk_starts(flat, offsets)
     if not len(starts):
         return np.zeros(0, f"<u{width}"), np.zeros(len(offsets) - 1, np.int64)
@@ -272,10 +271,9 @@ def encode(flat: np.ndarray, offsets: np.ndarray, path: str, width: int) -> tupl
     different = chunks.dictionary.to_pylist()
     # Two generations: what the younger one lacks is taken over from the older one or learned.
     older = _WORKER["older"]
-    fresh, new = [], []
+    new = []
     for x in different:
         if x not in known:
-            fresh.append(x)
             if x in older:
                 known[x] = older[x]
             else:
@@ -283,9 +281,11 @@ def encode(flat: np.ndarray, offsets: np.ndarray, path: str, width: int) -> tupl
     _learn(new, width)
     kind = np.dtype(f"<u{width}")
     ids = [known[x] for x in different]
-    _WORKER["bytes"] += sum(len(x) + len(known[x]) for x in fresh) + ENTRY * len(fresh)
-    if _WORKER["bytes"] > CACHE_BYTES // 2:
-        _WORKER.update(older=known, ids={}, bytes=0)
+    for x in new:
+        if len(x) > CHUNK_BYTES:
+            del known[x]
+    if len(known) > CHUNKS // 2:
+        _WORKER.update(older=known, ids={})
     sizes = np.array([len(x) for x in ids], dtype=np.int64) // width
     pool = np.frombuffer(b"".join(ids), dtype=kind)
     which = chunks.indices.to_numpy()
@@ -310,8 +310,6 @@ def _write(path: str, width: int, end: bytes):
             # The writer ends the last document before the footer, and the footer too.
             index = footer(np.array(keys, np.int64), np.array(counts, np.int64), width)
             yield pa.RecordBatch.from_arrays([pa.array([index + struct.pack("<Q", len(index)) + _MAGIC], pa.binary())], ["value"])
-        # A worker outlives its task: it keeps the tokenizer and no chunks.
-        _WORKER.update(ids={}, older={}, bytes=0)
         pa.default_memory_pool().release_unused()
 
     return run
@@ -346,15 +344,15 @@ def _cuts(shard_bytes: int):
 def _shard_of(sent):
     """The number of the shard that a key belongs to: the last one that begins at it or before."""
 
-    @F.pandas_udf("int")
-    def of(uid: pd.Series, head: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def of(uid: pa.Array, head: pa.Array) -> pa.Array:
         ids, heads = sent.value
         uid = uid.to_numpy()
         low, high = np.searchsorted(ids, uid, "left"), np.searchsorted(ids, uid, "right")
         out = high
         for i in np.flatnonzero(low < high).tolist():  # ids at which a shard begins
-            out[i] = bisect.bisect_right(heads, head.iloc[i].encode(), int(low[i]), int(high[i]))
-        return pd.Series(np.maximum(out - 1, 0).astype(np.int32))
+            out[i] = bisect.bisect_right(heads, head[i].as_py().encode(), int(low[i]), int(high[i]))
+        return pa.array(np.maximum(out - 1, 0).astype(np.int32))
 
     return of
 
