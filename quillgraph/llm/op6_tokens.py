@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ from .shared import U
 END_ID = 2
 #: Bytes of text in a shard.
 SHARD_BYTES = 24 << 20
-#: Chunks whose ids a Python worker remembers, and their bytes at most: some 60 MB in all. Longer chunks are encoded each time.
-CHUNKS, CHUNK_BYTES = 360_000, 40
+#: Chunks whose ids a Python worker remembers from block to block, and their bytes at most: under 40 MB in all.
+CHUNKS, CHUNK_BYTES = 400_000, 40
 #: Leading characters of a text that tell rows of one doc_id apart where shards are cut.
 HEAD = 64
 #: The table of cuts beside the shards: shard (the number in a file's name), first (its least doc_id).
@@ -181,6 +182,32 @@ class Shard:
 _WORKER: dict = {}
 
 
+class Known:
+    """Chunks whose ids are remembered; beyond CHUNKS the half that was met last stays."""
+
+    def __init__(self, width: int):
+        self.keys = pa.array([], pa.large_binary())
+        self.begin = self.count = self.met = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, f"<u{width}")
+        self.time = 0
+
+    def add(self, keys: pa.Array, begin: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.begin, self.count = np.concatenate([self.begin, begin + len(self.ids)]), np.concatenate([self.count, count])
+        self.ids, self.met = np.concatenate([self.ids, ids]), np.concatenate([self.met, np.zeros(len(keys), np.int64)])
+
+    def touch(self, at: np.ndarray) -> None:
+        self.time += 1
+        self.met[at] = self.time
+        if len(self.met) > CHUNKS:
+            short = np.flatnonzero(pc.binary_length(self.keys).to_numpy() <= CHUNK_BYTES)
+            keep = np.sort(short[np.argsort(-self.met[short], kind="stable")[: CHUNKS // 2]])
+            self.keys, self.met = self.keys.take(pa.array(keep)), self.met[keep]
+            self.ids = self.ids[_ranges(self.begin[keep], self.count[keep])]
+            self.count = self.count[keep]
+            self.begin = np.cumsum(self.count) - self.count
+
+
 def _tokenizer(path: str, width: int):
     if _WORKER.get("path") != (path, width):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -193,40 +220,66 @@ def _tokenizer(path: str, width: int):
             sizes[i] = len(token)
         for i, token in tokenizer.get_added_tokens_decoder().items():
             sizes[i] = len(token.content.encode())
-        _WORKER.update(path=(path, width), tokenizer=tokenizer, sizes=sizes, ids={}, older={})
-    return _WORKER["tokenizer"], _WORKER["ids"]
+        _WORKER.update(path=(path, width), tokenizer=tokenizer, sizes=sizes, known=Known(width))
+    return _WORKER["known"]
 
 
-def _learn(chunks: list[bytes], width: int) -> None:
-    """Remember the ids of the chunks.
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after another."""
+    reach = np.cumsum(count)
+    return np.repeat(begin - (reach - count), count) + np.arange(int(reach[-1]) if len(reach) else 0)
+
+
+def _bytes_of(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    flat, offsets = shared.text_array(chunks)
+    return flat, offsets.astype(np.int64)
+
+
+def _learn(chunks: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of the chunks (none empty): where each begins in the ids returned, how many it has, and the ids.
 
     Chunks that may follow each other (spaced ones as they are, others around a line feed) are
     encoded many at a time; the tokens' sizes say where each ends. Where a token crosses an
     end, and for other chunks, each is encoded by itself.
     """
-    tokenizer, known, sizes = _WORKER["tokenizer"], _WORKER["ids"], _WORKER["sizes"]
+    tokenizer, sizes = _WORKER["tokenizer"], _WORKER["sizes"]
     kind = np.dtype(f"<u{width}")
-    spaced, plain, alone = [], [], []
-    for x in chunks:
-        head = x[1:3] if x[0] == 0x20 else x[:2]
-        ends = head and (_VISIBLE[head[0]] or _LEAD[head[0]]) and (_VISIBLE[x[-1]] or (x[-1] >= 0x80 and _LEAD[x[-2]]))
-        (alone if not ends else spaced if x[0] == 0x20 else plain).append(x)
-    for group, between in ((spaced, b""), (plain, b"\n")):
-        parts = [group[i : i + 2000] for i in range(0, len(group), 2000)]
-        for part, got in zip(parts, tokenizer.encode_batch_fast([between.join(p).decode() for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, dtype=kind)
-            reach = np.append(0, np.cumsum(sizes[ids]))
-            own = np.array([len(x) for x in part], dtype=np.int64)
-            start = np.cumsum(own + len(between)) - own - len(between)
-            a, z = np.searchsorted(reach, start), np.searchsorted(reach, start + own)
-            fits = (reach[np.minimum(a, len(reach) - 1)] == start) & (reach[np.minimum(z, len(reach) - 1)] == start + own)
-            for x, i, j, fit in zip(part, a.tolist(), z.tolist(), fits.tolist(), strict=True):
-                if fit:
-                    known[x] = ids[i:j].tobytes()
-                else:
-                    alone.append(x)
-    for x, got in zip(alone, tokenizer.encode_batch_fast([x.decode() for x in alone], add_special_tokens=False), strict=True):
-        known[x] = np.array(got.ids, dtype=kind).tobytes()
+    flat, offsets = _bytes_of(chunks)
+    size, last = np.diff(offsets), offsets[1:] - 1
+    spaced = flat[offsets[:-1]] == 0x20
+    head = offsets[:-1] + spaced
+    starts_well = (size > spaced) & (_VISIBLE | _LEAD)[flat[np.minimum(head, last)]]
+    ends_well = _VISIBLE[flat[last]] | ((flat[last] >= 0x80) & (size > 1) & _LEAD[flat[np.maximum(last - 1, 0)]])
+    begin, count = np.zeros(len(size), np.int64), np.full(len(size), -1, np.int64)
+    out, have = [], 0
+    for which, gap in ((np.flatnonzero(starts_well & ends_well & spaced), 0), (np.flatnonzero(starts_well & ends_well & ~spaced), 1)):
+        for at in range(0, len(which), 60000):
+            some = which[at : at + 60000]
+            # The chunks' bytes side by side, a line feed after each where there is a gap.
+            own = size[some] + gap
+            text = flat[np.minimum(_ranges(offsets[some], own), len(flat) - 1)]
+            reach = np.append(0, np.cumsum(own))
+            if gap:
+                text[reach[1:] - 1] = 0x0A
+            raw, edges = text.tobytes(), np.append(np.arange(0, len(some), 200), len(some))
+            parts = [raw[reach[i] : reach[j] - gap].decode() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            for i, j, got in zip(edges[:-1].tolist(), edges[1:].tolist(), tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, dtype=kind)
+                upto = np.append(0, np.cumsum(sizes[ids]))
+                start = reach[i:j] - reach[i]
+                end = start + size[some[i:j]]
+                a, z = np.searchsorted(upto, start), np.searchsorted(upto, end)
+                fits = (upto[np.minimum(a, len(ids))] == start) & (upto[np.minimum(z, len(ids))] == end)
+                begin[some[i:j]] = have + a
+                count[some[i:j]] = np.where(fits, z - a, -1)
+                out.append(ids)
+                have += len(ids)
+    alone = np.flatnonzero(count < 0)
+    for i, got in zip(alone.tolist(), tokenizer.encode_batch_fast([x.decode() for x in chunks.take(pa.array(alone)).to_pylist()], add_special_tokens=False), strict=True):
+        begin[i], count[i] = have, len(got.ids)
+        out.append(np.array(got.ids, dtype=kind))
+        have += len(got.ids)
+    return begin, count, np.concatenate(out) if out else np.zeros(0, kind)
 
 
 #: Characters that are no white space: visible ASCII, and what two UTF-8 bytes write from U+00C0 on.
@@ -262,36 +315,30 @@ def chunk_starts(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def encode(flat: np.ndarray, offsets: np.ndarray, path: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, and the number of each."""
-    _, known = _tokenizer(path, width)
+    known = _tokenizer(path, width)
     starts = chunk_starts(flat, offsets)
     if not len(starts):
         return np.zeros(0, f"<u{width}"), np.zeros(len(offsets) - 1, np.int64)
     ends = np.append(starts, len(flat)).astype(np.int64)
     chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
-    different = chunks.dictionary.to_pylist()
-    # Two generations: what the younger one lacks is taken over from the older one or learned.
-    older = _WORKER["older"]
-    new = []
-    for x in different:
-        if x not in known:
-            if x in older:
-                known[x] = older[x]
-            else:
-                new.append(x)
-    _learn(new, width)
-    kind = np.dtype(f"<u{width}")
-    ids = [known[x] for x in different]
-    for x in new:
-        if len(x) > CHUNK_BYTES:
-            del known[x]
-    if len(known) > CHUNKS // 2:
-        _WORKER.update(older=known, ids={})
-    sizes = np.array([len(x) for x in ids], dtype=np.int64) // width
-    pool = np.frombuffer(b"".join(ids), dtype=kind)
-    which = chunks.indices.to_numpy()
-    took = sizes[which]
+    different = chunks.dictionary
+    at = pc.index_in(different, value_set=known.keys)
+    missing = at.null_count
+    begin, count, ids = known.begin, known.count, known.ids
+    if missing:
+        new = different.filter(pc.is_null(at))
+        b, c, more = _learn(new, width)
+        begin, count, ids = np.concatenate([begin, b + len(ids)]), np.concatenate([count, c]), np.concatenate([ids, more])
+        at = at.to_numpy(zero_copy_only=False)
+        here = np.isnan(at)
+        at[here] = len(known.keys) + np.arange(missing)
+        known.add(new, b, c, more)
+    at = np.asarray(at).astype(np.int64)
+    known.touch(at)
+    which = at[chunks.indices.to_numpy()]
+    took = count[which]
+    out = ids[_ranges(begin[which], took)]
     reach = np.cumsum(took)
-    out = pool[np.repeat((np.cumsum(sizes) - sizes)[which] - (reach - took), took) + np.arange(int(reach[-1]))]
     upto = np.append(0, reach)[np.searchsorted(starts, offsets)]
     return out, np.diff(upto)
 
