@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node reached) for the links given, without the smallest nodes themselves."""
@@ -53,9 +55,16 @@ def connected_components(links: DataFrame, most: int = 60) -> DataFrame:
 
     links: long columns a and b without nulls, any direction, repeats and self-links allowed.
     Each round is two joins on a minimum per node, aggregated before its shuffle; rounds grow
-    with the logarithm of the longest path, and each is cut by a checkpoint.
+    with the logarithm of the longest path. A round's links are written, and removed after the
+    next round has been.
     """
-    edges = links.where("a <> b").mapInArrow(_shrink, "a long, b long").distinct().checkpoint()
+    spark = links.sparkSession
+
+    def mark(d: DataFrame):
+        return d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+
+    edges, folder = shared.written(links.where("a <> b").mapInArrow(_shrink, "a long, b long").distinct(), "links")
+    seen = mark(edges)
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -63,9 +72,9 @@ def connected_components(links: DataFrame, most: int = 60) -> DataFrame:
         down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a")
-        new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct().checkpoint()
-        marks = [d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first() for d in (edges, new)]
-        edges = new
-        if marks[0] == marks[1]:
+        new, place = shared.written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        shared.remove(spark, folder)
+        edges, folder, before, seen = new, place, seen, mark(new)
+        if seen == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {most} rounds")

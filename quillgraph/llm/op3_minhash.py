@@ -1,7 +1,9 @@
 r"""Near-duplicates by bottom-k sketches of one hash function.
 
 A document is the set of its word shingles, each hashed to 64 bits; its sketch is the
-SKETCH smallest. Texts with equal sets are one class, and only classes are compared.
+SKETCH smallest. Texts with equal sets are one class, and only classes are compared. Equal
+means an equal 128-bit digest of the set; a class goes by the digest's first half, and by
+its second half where two digests share the first.
 
 Inverted lists. A list belongs to RUN neighbouring values of a sketch, in order. If two
 sets have a Jaccard of 0.8 or more, a union of n values holds 0.8 n shared ones, cut by at
@@ -10,21 +12,27 @@ most 0.2 n others into runs, so some run has 0.8 n / (0.2 n + 1) shared values a
 always meet (runs of 2, 3 and 4 by size); of larger sets, a pair just at 0.8 misses with
 a probability near 0.8 ** SKETCH, about 5e-10. No list is capped.
 
-Short lists give all their pairs. Lists of more than LONG classes join into families, whose
-members are compared in blocks of similar set size, a task for two blocks; a task returns a
-star for each group it finds, never its pairs.
+Short lists give all their pairs, so a class has fewer than SKETCH * LONG partners. Lists of
+more than LONG classes join into families. Their members first meet HUBS members each that
+stand in most long lists; who is linked through a hub is of one group and not compared again.
+What is left is compared, with each other and with the largest group, in blocks of similar set
+size, a task for two blocks; a task returns a star for each group it finds, never its pairs.
 
-A pair is estimated from the SKETCH smallest values of the union, then verified on the full
-sets; links of classes then make components.
+A pair is estimated from the SKETCH smallest values of the union: only sketches travel for
+that. The pairs left form small groups; a group's full sets meet in one task, once each, and
+the pairs are verified on them (pairs of a large group by two joins). Links of classes then
+make components.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shared
@@ -35,6 +43,10 @@ SKETCH = 96
 #: Classes of a list from which it is compared in blocks.
 LONG = 50
 BLOCK = 256
+#: Members that a family's others meet first.
+HUBS = 8
+#: Classes, and values of their sets, of a group of pairs that one task verifies.
+GROUP, GROUP_VALUES = 64, 4 << 20
 #: Union-sketch estimates under the threshold by more than this are dropped: seven standard deviations at 0.8.
 MARGIN = 0.29
 
@@ -70,17 +82,21 @@ def shingle_sets(flat: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return values, np.searchsorted(owner, np.arange(len(count) + 1))
 
 
-def set_class(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """A hash of each set."""
-    sums = np.append(U(0), np.cumsum(shared.mix(values + U(5))))
-    return shared.mix(sums[rows[1:]] - sums[rows[:-1]] + np.diff(rows).astype(np.uint64) * shared._C2).astype(np.int64)
+def set_class(values: np.ndarray, rows: np.ndarray, avoid: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each set, and the other half of its digest; ``avoid``: first halves that different sets share."""
+    raw = memoryview(np.ascontiguousarray(values)).cast("B")
+    digests = b"".join(hashlib.blake2b(raw[8 * a : 8 * z], digest_size=16).digest() for a, z in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True))
+    first, second = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+    first = first & ((1 << bits) - 1) if bits < 64 else first
+    return np.where(np.isin(first, avoid), second, first), second
 
 
-def _digest(words: int):
+def _digest(words: int, avoid: np.ndarray, bits: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in shared.blocks(batches):
             values, rows = shingle_sets(*shared.text_array(b.column("text")), words)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(rows).astype(np.int64)), pa.array(set_class(values, rows))], ["doc_id", "n_shingles", "cls"])
+            cls, other = set_class(values, rows, avoid, bits)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(rows).astype(np.int64)), pa.array(cls), pa.array(other)], ["doc_id", "n_shingles", "cls", "other"])
 
     return run
 
@@ -106,7 +122,7 @@ def list_keys(values: np.ndarray, rows: np.ndarray, classes: np.ndarray, sketch:
 _LISTED = "bucket int, keys binary, classes binary, scales binary"
 
 
-def _list(words: int, count: int):
+def _list(words: int, count: int, avoid: np.ndarray, bits: int):
     def send(held) -> Iterator[pa.RecordBatch]:
         keys, classes, scales = (np.concatenate(x) for x in zip(*held, strict=True))
         which = (keys % U(count)).astype(np.int64)
@@ -119,12 +135,13 @@ def _list(words: int, count: int):
         held, have, seen = [], 0, set()
         for b in shared.blocks(batches):
             values, rows = shingle_sets(*shared.text_array(b.column("text")), words)
-            classes = set_class(values, rows)
+            classes, _ = set_class(values, rows, avoid, bits)
             # Copies in one task list their set once.
             fresh = np.array([not (c in seen or seen.add(c)) for c in classes.tolist()], dtype=bool)
             owner = np.repeat(np.arange(len(classes)), np.diff(rows))
             values, sizes = values[fresh[owner]], np.diff(rows)[fresh]
-            held.append(list_keys(values, np.append(0, np.cumsum(sizes)), classes[fresh]))
+            keys, *more = list_keys(values, np.append(0, np.cumsum(sizes)), classes[fresh])
+            held.append((keys & U((1 << bits) - 1), *more))
             have += len(held[-1][0])
             if have > 2_000_000:
                 yield from send(held)
@@ -166,41 +183,83 @@ def _meet(long: int):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, avoid: np.ndarray, bits: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in shared.blocks(batches):
             values, rows = shingle_sets(*shared.text_array(b.column("text")), words)
-            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(np.diff(rows)), pa.array([values[a:z].tobytes() for a, z in zip(rows[:-1], rows[1:], strict=True)], pa.binary())], ["cls", "n", "values"])
+            # Another text of the same doc_id is of another class.
+            own = np.flatnonzero(set_class(values, rows, avoid, bits)[0] == b.column("cls").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("cls").take(pa.array(own)), pa.array(np.diff(rows)[own]), pa.array([values[rows[i] : rows[i + 1]].tobytes() for i in own.tolist()], pa.binary())], ["cls", "n", "values"])
 
     return run
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int, sketch: int = SKETCH) -> bool:
-    """Whether 100 * intersection >= percent * union, after the estimate from the union's smallest values."""
-    small, large = sorted((len(x), len(y)))
+def _near(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int, sketch: int = SKETCH) -> bool:
+    """Whether sketches of sets of n and m values leave room for a link: by size, then by the estimate from the union's smallest values."""
+    small, large = sorted((n, m))
     if 100 * small < percent * large:
         return False
     head = np.sort(np.concatenate([x[:sketch], y[:sketch]]))
     twice = np.flatnonzero(head[1:] == head[:-1])
-    union = len(head) - len(twice)
-    if union > sketch:
-        # Places of the shared values in the union of the sketches.
-        shared_ = int((twice - np.arange(len(twice)) < sketch).sum())
-        if shared_ / sketch < percent / 100 - MARGIN:
-            return False
+    if len(head) - len(twice) <= sketch:
+        return True
+    # Places of the shared values in the union of the sketches.
+    return int((twice - np.arange(len(twice)) < sketch).sum()) / sketch >= percent / 100 - MARGIN
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union."""
     both = len(x) + len(y) - len(np.union1d(x, y))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _estimate(percent: int):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [_near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), n, m, percent) for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("ha", "hb", "na", "nb")), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column("va").to_pylist(), b.column("vb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _verify_group(percent: int):
+    """The pairs of a group, on its sets."""
+
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        own = {c: np.frombuffer(v.as_buffer(), np.uint64) for c, v in zip(sets.column("cls").to_pylist(), sets.column("values"), strict=True)}
+        keep = [_linked(own[a], own[b], percent) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)]
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of the pairs (a, b); sets: cls, n, values."""
+    heads = sets.select("cls", "n", F.substring("values", 1, 8 * SKETCH).alias("head"))
+    one = pairs.join(heads.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("head").alias("ha")), "a")
+    two = one.join(heads.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("head").alias("hb")), "b")
+    near = two.mapInArrow(_estimate(percent), "a long, b long").checkpoint()
+    place = connected_components(near).withColumnRenamed("node", "cls")
+    sized = place.join(sets.select("cls", "n"), "cls")
+    fits = sized.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("total")).select("component", ((F.col("c") <= GROUP) & (F.col("total") <= GROUP_VALUES)).alias("fits"))
+    sized = place.join(fits, "component").checkpoint()
+    placed = near.join(sized.select(F.col("cls").alias("a"), F.col("component").alias("unit"), F.col("fits").alias("small")), "a")
+    small = sets.select("cls", "values").join(sized.where("fits"), "cls").groupBy("component").cogroup(placed.where("small").groupBy("unit"))
+    links = small.applyInArrow(_verify_group(percent), "a long, b long")
+    full = sets.join(sized.where("not fits"), "cls").select("cls", "values")
+    large = placed.where("not small").select("a", "b").join(full.select(F.col("cls").alias("a"), F.col("values").alias("va")), "a").join(full.select(F.col("cls").alias("b"), F.col("values").alias("vb")), "b")
+    return links.unionByName(large.mapInArrow(_verify(percent), "a long, b long"))
+
+
 def _compare(percent: int):
     """Two blocks of a family: counts of shared values by matrix products over a bounded number of columns at a time."""
 
@@ -234,7 +293,7 @@ def _compare(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, bits: int = 64) -> DataFrame:
     r"""One row per input row: doc_id, n_shingles, component_id, kept.
 
     A-Z are lower-cased; words are ``[^\x20\x09-\x0D]+``; a set holds the different runs of
@@ -242,7 +301,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     100 * intersection >= percent * union are linked; component_id is the smallest doc_id
     reachable. Texts that are null or without words are linked with nothing. Rows that share
     a doc_id are one document; a row without doc_id links with nothing, has no component_id
-    and is kept. Other columns are ignored. ``percent`` from 80 on.
+    and is kept. Other columns are ignored. ``percent`` from 80 on. No rows give no rows. A text's
+    set is built in memory at some hundred bytes a word, whatever its length. ``bits``: of the
+    hashes that bring sets together; the result does not depend on it.
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")  # shorter runs would be needed below
@@ -250,22 +311,32 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     shared.ready(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     count = shared.buckets(shared.text_bytes(docs), 8 << 20)
-    rows = docs.mapInArrow(_digest(words), "doc_id long, n_shingles long, cls long").checkpoint()
-    known = rows.where("doc_id is not null and n_shingles > 0")
+    avoid = np.zeros(0, np.int64)
+    while True:
+        rows = docs.mapInArrow(_digest(words, avoid, bits), "doc_id long, n_shingles long, cls long, other long").checkpoint()
+        known = rows.where("doc_id is not null and n_shingles > 0")
+        # Classes of several digests: n ** 2 / 2 ** 65 of n classes are expected.
+        mixed = [r["cls"] for r in known.groupBy("cls").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").collect()]
+        if not mixed:
+            break
+        avoid = np.union1d(avoid, np.array(mixed, np.int64))
     classes = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    met = docs.where("doc_id is not null").select("text").mapInArrow(_list(words, count), _LISTED).groupBy("bucket").applyInArrow(_meet(LONG), "a long, b long, family boolean").checkpoint()
+    met = docs.where("doc_id is not null").select("text").mapInArrow(_list(words, count, avoid, bits), _LISTED).groupBy("bucket").applyInArrow(_meet(LONG), "a long, b long, family boolean").checkpoint()
 
-    stars = met.where("family")
-    members = connected_components(stars.select("a", "b")) if not stars.isEmpty() else spark.createDataFrame([], "node long, component long")
+    stars = met.where("family").select("a", "b")
+    families = not stars.isEmpty()
     pairs = met.where("not family").select("a", "b").distinct()
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(members.select(F.col("node").alias("cls"))).distinct()
-    sets = docs.join(wanted.join(classes, "cls"), "doc_id").select("cls", "text").mapInArrow(_sets(words), "cls long, n long, values binary").dropDuplicates(["cls"])
-
-    one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("values").alias("va")), "a")
-    two = one.join(sets.select(F.col("cls").alias("b"), F.col("values").alias("vb")), "b")
-    links = two.select("a", "b", "va", "vb").mapInArrow(_verify(percent), "a long, b long")
-    if not stars.isEmpty():
-        links = links.unionByName(_family_links(sets, members, percent))
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    if families:
+        members = connected_components(stars).select(F.col("node").alias("cls"), "component").checkpoint()
+        # A family's members are compared as such.
+        ends = pairs.join(members.select(F.col("cls").alias("a"), F.col("component").alias("f")), "a", "left").join(members.select(F.col("cls").alias("b"), F.col("component").alias("g")), "b", "left")
+        pairs = ends.where("f is null or g is null or f <> g").select("a", "b")
+        wanted = wanted.unionByName(members.select("cls"))
+    sets = docs.join(wanted.distinct().join(classes, "cls"), "doc_id").select("cls", "text").mapInArrow(_sets(words, avoid, bits), "cls long, n long, values binary").dropDuplicates(["cls"]).checkpoint()
+    links = _verified(pairs, sets, percent)
+    if families:
+        links = links.unionByName(_family_links(sets, members, stars, percent))
     links = links.join(classes.select(F.col("cls").alias("a"), F.col("doc_id").alias("x")), "a").join(classes.select(F.col("cls").alias("b"), F.col("doc_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     # One text's class may hold rows of several ids, and one id several classes: ids are the nodes.
     twice = known.groupBy("doc_id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
@@ -277,19 +348,40 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _family_links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links inside families; a block holds members of neighbouring set sizes."""
-    own = members.join(sets.select(F.col("cls").alias("node"), "n"), "node").select("component", F.col("node").alias("cls"), "n")
+def _hub_links(full: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Links of families' members to the HUBS of them that stand in most long lists. full: component, cls, n, values."""
+    listed = stars.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("lists"))
+    ranked = full.select("component", "cls").join(listed, "cls", "left")
+    best = W.partitionBy("component").orderBy(F.desc_nulls_last("lists"), "cls")
+    hubs = ranked.withColumn("r", F.row_number().over(best)).where(F.col("r") <= HUBS).select("component", "cls")
+    # Every slice of a family's members meets its hubs.
+    slices = full.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
+    sides = full.join(slices, "component").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int"))
+    own = sides.select("component", "i", F.lit(0).alias("block"), "cls", "values")
+    hub = full.join(hubs, ["component", "cls"]).join(slices, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("i"), F.lit(1).alias("block"), "cls", "values")
+    tasks = own.unionByName(hub).withColumnRenamed("i", "slice").withColumns({"i": F.lit(0), "j": F.lit(1)})
+    return tasks.groupBy("component", "slice").applyInArrow(_compare(percent), "a long, b long")
+
+
+def _family_links(sets: DataFrame, members: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Links inside families: those to hubs, and those of the members left over; a block holds neighbouring set sizes."""
+    full = members.join(sets, "cls").select("component", "cls", "n", "values")
+    first = _hub_links(full, stars, percent).checkpoint()
+    own = members.join(sets.select("cls", "n"), "cls").join(connected_components(first).select(F.col("node").alias("cls"), F.col("component").alias("group")), "cls", "left")
+    own = own.withColumn("group", F.coalesce("group", "cls"))
+    # The largest group of a family needs no comparison with itself.
+    sizes = own.groupBy("component", "group").agg(F.count("*").alias("c")).groupBy("component").agg(F.max(F.struct("c", "group")).alias("x"))
+    own = own.join(sizes.select("component", F.col("x.group").alias("largest")), "component").withColumn("rest", (F.col("group") != F.col("largest")).cast("int")).drop("largest")
     # Ranks by size without one task for a family: sizes are counted, and members of a size dealt by hash.
-    by_size = own.groupBy("component", "n").agg(F.count("*").alias("c"))
-    from pyspark.sql import Window as W
-
-    before = by_size.withColumn("before", F.sum("c").over(W.partitionBy("component").orderBy("n")) - F.col("c")).drop("c")
-    rank = F.row_number().over(W.partitionBy("component", "n").orderBy("cls")) - 1
-    placed = own.join(before, ["component", "n"]).withColumn("block", ((F.col("before") + rank) / BLOCK).cast("int")).drop("before")
+    by_size = own.groupBy("component", "rest", "n").agg(F.count("*").alias("c"))
+    before = by_size.withColumn("before", F.sum("c").over(W.partitionBy("component", "rest").orderBy("n")) - F.col("c")).drop("c")
+    rank = F.row_number().over(W.partitionBy("component", "rest", "n").orderBy("cls")) - 1
+    placed = own.join(before, ["component", "rest", "n"]).withColumn("block", (2 * ((F.col("before") + rank) / BLOCK).cast("int") + F.col("rest")).cast("int")).select("component", "block", "cls", "n").checkpoint()
     edges = placed.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    i, j = edges.select("component", F.col("block").alias("i"), F.col("high").alias("hi")), edges.select("component", F.col("block").alias("j"), F.col("low").alias("lj"))
-    tasks = i.join(j, "component").where((F.col("i") <= F.col("j")) & (F.col("hi") * 100 >= F.col("lj") * percent)).select("component", "i", "j")
+    i = edges.select("component", F.col("block").alias("i"), F.col("low").alias("li"), F.col("high").alias("hi"))
+    j = edges.where("block % 2 = 1").select("component", F.col("block").alias("j"), F.col("low").alias("lj"), F.col("high").alias("hj"))
+    apart = (F.col("hi") * 100 < F.col("lj") * percent) | (F.col("hj") * 100 < F.col("li") * percent)
+    tasks = j.join(i, "component").where(((F.col("i") % 2 == 0) | (F.col("i") <= F.col("j"))) & ~apart).select("component", "i", "j")
     sides = tasks.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     full = placed.select("component", "block", "cls").join(sets.select("cls", "values"), "cls")
-    return sides.join(full, ["component", "block"]).groupBy("component", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    return first.unionByName(sides.join(full, ["component", "block"]).groupBy("component", "i", "j").applyInArrow(_compare(percent), "a long, b long"))

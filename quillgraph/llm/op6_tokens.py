@@ -24,7 +24,6 @@ from __future__ import annotations
 import bisect
 import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -515,25 +514,12 @@ def fetch_ids(spark: SparkSession, out: str, keys: list[int], end_id: int = END_
     return _files(spark, *paths).select("content").mapInArrow(run, schema)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    shared.ready(spark)
-    home = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    return f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def token_rows(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, out: str | None = None) -> DataFrame:
     """Write the files, read them back, and return read_tokens' rows; without ``out`` the files go to a folder that is removed."""
     spark = docs.sparkSession
-    folder = out or scratch(spark, "tokens")
+    folder = out or shared.scratch(spark, "tokens")
     write_tokens(docs, folder, tokenizer_file, end_id)
     rows = read_tokens(spark, folder, end_id)
     if not out:
-        remove(spark, folder)
+        shared.remove(spark, folder)
     return rows

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,6 +22,7 @@ _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _BASE = 0x5851F42D4C957F2D
 _POWERS: list[np.ndarray] = []
+LONG_SPAN = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,13 +30,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Give checkpoints a home where the cluster named none, and bound Arrow batches by bytes."""
+    """Bound Arrow batches by bytes, and see that checkpoints have a home that all executors share.
+
+    The cluster names it in spark.checkpoint.dir. Only where driver and executors are one process
+    does a temporary folder do; elsewhere a missing setting is an error.
+    """
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    ready(spark)
+    home = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    return f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows from a table written in the shared folder, and its place, to be removed when nothing reads it."""
+    folder = scratch(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder), folder
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Total bytes of the text column; one narrow scan that sizes every later bucketing."""
     row = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("n")).first()
@@ -94,13 +123,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
+    """A 64-bit hash of each byte span, equal for equal bytes wherever they stand.
+
+    A polynomial with a random value for each byte; spans over LONG_SPAN bytes, for which
+    polynomials modulo 2 ** 64 can be made to collide, are hashed by BLAKE2b.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _powers(len(flat) + 1)
     sums = np.zeros(len(flat) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[flat] * up[: len(flat)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _C2)
+    out = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _C2)
+    long = np.flatnonzero(ends - starts > LONG_SPAN)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(flat))
+        out[long] = np.frombuffer(b"".join(hashlib.blake2b(raw[a:z], digest_size=8).digest() for a, z in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64)
+    return out
 
 
 def word_spans(flat: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

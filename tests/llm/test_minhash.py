@@ -58,13 +58,14 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "long", "block"), [(1, 50, 256), (2, 4, 8)])
-def test_against_brute_force(spark, monkeypatch, seed, long, block):
-    monkeypatch.setattr(op3, "LONG", long)
-    monkeypatch.setattr(op3, "BLOCK", block)
+@pytest.mark.parametrize(("seed", "long", "block", "hubs", "group", "bits"), [(1, 50, 256, 8, 64, 64), (2, 4, 8, 1, 3, 64), (3, 6, 8, 2, 64, 8)])
+def test_against_brute_force(spark, monkeypatch, seed, long, block, hubs, group, bits):
+    """Also with small blocks and groups, and with hashes of 8 bits, which all collide."""
+    for name, value in (("LONG", long), ("BLOCK", block), ("HUBS", hubs), ("GROUP", group)):
+        monkeypatch.setattr(op3, name, value)
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, component string").repartition(3)
-    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in op3.near_duplicates(df).collect())
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in op3.near_duplicates(df, bits=bits).collect())
     assert got == brute(rows)
 
 
