@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from quillgraph.llm import op9_mix
 from quillgraph.llm.op3_minhash import near_duplicates
 from quillgraph.llm.op4_quality import keep_quality
-from quillgraph.llm.op6_tokens import scratch, token_rows
+from quillgraph.llm.op6_tokens import token_rows
 from quillgraph.llm.op10_winnow import mark_contaminated
 from quillgraph.llm.queries import tokenizer_file
-from quillgraph.llm.shared import table
+from quillgraph.llm.shared import remove, scratch, table
 
 #: Near-duplicates here: five-word shingles, a similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
@@ -65,10 +65,19 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each but the last is written to the shared folder, read again, and removed after the next.
+
+    The last one's rows come from a checkpoint of their own, so nothing written here outlives it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         folder = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, before)
+        before = folder
+    rows = STAGES[-1][1](spark, docs, sf_dir)
+    if before:
+        remove(spark, before)
+    return rows
