@@ -1,6 +1,7 @@
 """Exact substring deduplication over bytes.
 
-Inside each bucket of candidate strings (see ``repeats``), suffixes are sorted to
+Strings that can hold a repeat are those whose minimiser stands in several segments; equal
+segments count once (see ``repeats``). Inside each bucket of these strings, suffixes are sorted to
 the threshold depth, the Burrows-Wheeler transform is read off, and intervals are
 extended backwards breadth first: level l sets exactly the common-prefix values
 equal to l, and the search stops at the threshold. Boundaries still open there
@@ -95,16 +96,17 @@ def prefix_groups(x: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Bytes(repeats.Units):
-    gram_bits, block_bits = 5, 6
+    gram_bits = 5
     result = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def __init__(self, window: int = LENGTH):
-        if not 64 <= window <= 112:
-            raise ValueError("window must be from 64 to 112 bytes")  # grams of 32, digests of three blocks of 64
+        if window < 64:
+            raise ValueError("window must be 64 bytes at least")  # grams of 32
         self.window = window
 
     def units(self, flat, offsets):
-        return shared._BYTE[flat], offsets
+        places = np.arange(len(flat))
+        return shared._BYTE[flat], offsets, np.ascontiguousarray(flat), places, places + 1
 
     def split(self, text):
         return text
@@ -160,7 +162,7 @@ class KeptBytes(Bytes):
         return (*super().row(text, covered), np.frombuffer(text, dtype=np.uint8)[~gone[:-1]].tobytes())
 
 
-def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
+def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, texts: bool = False, bits: int = 64) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts earlier.
 
     Input: doc_id, text; other columns are ignored. One row per input row: doc_id,
@@ -168,6 +170,7 @@ def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, texts: boo
     the kept bytes. A null or empty text has 0 bytes and the digest of nothing; a null
     doc_id comes before all others; rows that repeat a doc_id and a text are one
     document; rows that share a doc_id alone are ordered by their texts' hash. No rows
-    give no rows.
+    give no rows. A text is worked on whole: a worker holds some hundred times its bytes.
+    ``bits``: of the hashes that bring strings together; the result does not depend on it.
     """
-    return repeats.remove_repeats(docs, KeptBytes(length) if texts else Bytes(length))
+    return repeats.remove_repeats(docs, KeptBytes(length) if texts else Bytes(length), bits)

@@ -1,8 +1,9 @@
 """Exact removal of repeated word windows by super-k-mer partitioning.
 
-Consecutive windows that share a minimiser travel as one packed string to its
-bucket, where the windows of all strings are sorted and equal neighbours counted
-(see ``repeats`` for how strings that are equal as a whole are settled by hash).
+Consecutive windows that share a minimiser form one packed string. Equal strings are
+merged by their digest; where different strings share a minimiser they travel, packed, to
+its bucket, where the windows of all strings are sorted and equal neighbours counted (see
+``repeats``).
 """
 
 from __future__ import annotations
@@ -19,17 +20,22 @@ WORDS = 20
 
 
 class Words(repeats.Units):
-    gram_bits, block_bits = 3, 4
+    gram_bits = 3
     result = "n_words long, n_removed long, kept_sha256 string"
 
     def __init__(self, window: int = WORDS):
-        if not 16 <= window <= 28:
-            raise ValueError("window must be from 16 to 28 words")  # grams of 8, digests of three blocks of 16
+        if window < 16:
+            raise ValueError("window must be 16 words at least")  # grams of 8
         self.window = window
 
     def units(self, flat, offsets):
         starts, ends, rows = shared.word_spans(flat, offsets, shared.SPACED_WORD)
-        return shared.span_hashes(flat, starts, ends), rows
+        # The words with one space after each: a run of them is packed as pack() does it.
+        sizes = ends - starts + 1
+        close = np.cumsum(sizes)
+        packed = flat[np.minimum(np.repeat(starts - (close - sizes), sizes) + np.arange(int(close[-1]) if len(close) else 0), max(0, len(flat) - 1))]
+        packed[close - 1] = 0x20
+        return shared.span_hashes(flat, starts, ends), rows, packed, close - sizes, close - 1
 
     def split(self, text):
         return text.split()  # of bytes: at space and \x09-\x0d, as the contract has it
@@ -78,13 +84,15 @@ class KeptWords(Words):
         return (*super().row(text, covered), self.kept(text, covered)[1].decode())
 
 
-def remove_repeated_windows(docs: DataFrame, words: int = WORDS, texts: bool = False) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, words: int = WORDS, texts: bool = False, bits: int = 64) -> DataFrame:
     r"""Remove every word covered by a window of ``words`` words that also starts earlier.
 
     Words are runs of anything but space and \x09-\x0D. Input: doc_id, text; other columns
     are ignored. One row per input row: doc_id, n_words, n_removed, kept_sha256 (of the kept
     words joined by one space), and with ``texts`` those words. Null and empty texts have no
     words; a null doc_id comes before all others; rows that repeat a doc_id and a text are
-    one document; rows that share a doc_id alone are ordered by their texts' hash.
+    one document; rows that share a doc_id alone are ordered by their texts' hash. No rows give
+    no rows. A text is worked on whole: a worker holds some hundred times its bytes. ``bits``:
+    of the hashes that bring strings together; the result does not depend on it.
     """
-    return repeats.remove_repeats(docs, KeptWords(words) if texts else Words(words))
+    return repeats.remove_repeats(docs, KeptWords(words) if texts else Words(words), bits)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -214,12 +214,12 @@ def _score(sent):
     return run
 
 
-def _mark(sent):
+def _mark(sent, name: str):
     def run(batches) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in shared.blocks(batches):
             score = model.score(features(*shared.text_array(b.column("text"))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, name])
 
     return run
 
@@ -228,10 +228,21 @@ def _held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
+def _least(rows: DataFrame, by: Column, n: int) -> DataFrame:
+    """Some ``n`` rows, those with the smallest hashes ``by``, and few more, chosen by a threshold: no task sends more than its share of them."""
+    total = rows.count()
+    if total <= n:
+        return rows
+    share = (n + 6 * n**0.5) / total
+    return rows.where(F.pmod(by, F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+
+
 def train(scored: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled rows outside the held-out fold; scored: doc_id and x."""
     own = labels.where("quality in (0, 1) and doc_id is not null").where(~_held_out()).select("doc_id", "quality")
-    rows = scored.join(own, "doc_id").select("x", "quality", F.xxhash64("doc_id", "quality").alias("h")).orderBy("h", "x").limit(sample).collect()
+    rows = scored.join(own, "doc_id").select("x", "quality", F.xxhash64("doc_id", "quality").alias("h"))
+    order = F.pmod("h", F.lit(1 << 30))
+    rows = _least(rows, F.col("h"), sample).orderBy(order, "h", "x").limit(sample).collect()
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["quality"] for r in rows], dtype=float))
 
@@ -254,16 +265,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs whose score is the threshold at least, with all their columns.
+    """The rows of docs whose score is the threshold at least, with all their columns, whatever these are called.
 
-    training: documents to fit on, docs by default; only labelled ones are read to the end.
+    training: documents to fit on, docs by default; only labelled ones are read to the end. Null
+    and empty texts are scored as such; repeated rows stay or go together; no rows give no rows.
     """
     spark = docs.sparkSession
     shared.ready(spark)
     source = (docs if training is None else training).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = labels.where("quality in (0, 1) and doc_id is not null").where(~_held_out()).select("doc_id").distinct()
-    some = wanted.orderBy(F.xxhash64("doc_id")).limit(2 * sample)
-    found = source.join(some, "doc_id").mapInArrow(_features, "doc_id long, x binary")
+    some = _least(wanted, F.xxhash64("doc_id"), 2 * sample)
+    found = source.join(some, "doc_id").mapInArrow(_features, "doc_id long, x binary").checkpoint()
     model = spark.sparkContext.broadcast(train(found, labels, sample))
+    name = shared.fresh("quality_score", docs.columns)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_mark(model), f"{fields}, quality_score double").where(F.col("quality_score") >= threshold).drop("quality_score")
+    return docs.mapInArrow(_mark(model, name), f"{fields}, `{name}` double").where(F.col(f"`{name}`") >= threshold).drop(name)

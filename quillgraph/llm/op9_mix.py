@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import shared
+
 LEVELS = ("domain", "lang", "source")
 
 
@@ -96,7 +98,9 @@ def choose(docs: DataFrame, recipe: Recipe = DEFAULT) -> DataFrame:
     ordered by the empty text; repeated rows are taken one by one. take: the tokens to use from
     the document's start, n_tokens in whole epochs. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in LEVELS)).where("n_tokens > 0")
+    shared.ready(docs.sparkSession)
+    # Cut here: texts are counted once, though rows are read twice.
+    rows = docs.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in LEVELS)).where("n_tokens > 0").checkpoint()
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     plan = leaves.join(budgets(leaves, recipe), list(LEVELS)).select(*LEVELS, F.floor(F.col("target") / F.col("tokens")).cast("long").alias("cycles"), F.pmod("target", "tokens").alias("rest"))
     rows = rows.join(plan, list(LEVELS))

@@ -6,26 +6,32 @@ or same document and earlier start). The plan never holds all windows:
 
 1. announce  every window has a minimiser, the smallest hash among its grams of
    M units. Consecutive windows with one minimiser form a segment. A segment
-   travels as two hashes and a place. Segments equal to an earlier one of the
-   same task are settled there, so a hot passage sends one row a task.
+   travels as its minimiser, a 128-bit BLAKE2b digest of its packed string, and
+   a place. Segments equal to an earlier one of the same task are settled there,
+   so a hot passage sends one row a task.
 2. settle    a bucket of minimisers is sorted: a segment equal to an earlier
-   one repeats whole; where different segments share a minimiser, the first of
-   each is asked for its text.
+   one repeats whole (equal means an equal digest); where different segments
+   share a minimiser, the first of each is asked for its text. A minimiser that
+   stands in no second segment cannot repeat, and its text never travels.
 3. cut       the asked segments are cut from the texts in two packed strings,
    for windows that reach left or right of the minimiser by half the rest, and
    sent to the bucket of that longer gram.
 4. verify    a bucket's different strings are compared window by window, by the
-   method of the operator (``Units.repeated``).
+   method of the operator (``Units.repeated``), on the strings themselves.
 5. finish    the repeated windows meet the texts again and are removed.
 
 Places are (uid, th, start): the document id (a null id counts as the smallest),
 the hash of the text (which tells apart rows that share an id; repeated rows are
 one document and get one result each), and the window's first unit.
+
+The hashes that choose buckets only bring strings together: fewer of their bits cost
+time, never a result (``bits``; a test runs with 8).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +43,9 @@ from . import shared
 from .shared import U
 
 #: Segments that a task gathers before it sends them.
-HELD = 1_500_000
+HELD = 1_000_000
 
-_SENT = "bucket int, kind int, anchor binary, digest binary, uid binary, th binary, start binary, n binary, lead binary"
+_SENT = "bucket int, kind int, anchor binary, one binary, two binary, uid binary, th binary, start binary, n binary, lead binary"
 _CUT = "bucket int, key binary, uid binary, th binary, start binary, size binary, text binary"
 _SETTLED, _ASKED = 0, 1
 
@@ -48,9 +54,8 @@ class Units:
     """What the byte and the word operator differ in."""
 
     window: int
-    #: log2 of the gram length and of the blocks that a segment's digest is made from.
+    #: log2 of the gram length.
     gram_bits: int
-    block_bits: int
     result: str
 
     @property
@@ -61,8 +66,8 @@ class Units:
     def half(self) -> int:
         return (self.window - self.gram) // 2
 
-    def units(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of each unit, and the row offsets among the units."""
+    def units(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A hash of each unit, the row offsets among the units, and packed bytes with the start and end of each unit in them."""
         raise NotImplementedError
 
     def split(self, text: bytes):
@@ -85,14 +90,13 @@ class Units:
         raise NotImplementedError
 
 
-def segments(spec: Units, flat: np.ndarray, offsets: np.ndarray):
-    """The segments of a block of rows: gram hash, digest, row, start, windows, and the gram's place in the segment."""
-    base, rows = spec.units(flat, offsets)
+def segments(spec: Units, flat: np.ndarray, offsets: np.ndarray, mask: np.uint64):
+    """The segments of a block of rows: gram hash, both halves of the digest, row, start, windows, and the gram's place in the segment."""
+    base, rows, packed, begin, close = spec.units(flat, offsets)
     t, m = spec.window, spec.gram
     if len(base) < t:
         return None
-    levels = shared.gram_levels(base, spec.block_bits)
-    grams, block = levels[spec.gram_bits], levels[spec.block_bits]
+    grams = shared.gram_levels(base, spec.gram_bits)[spec.gram_bits]
     # The low bits hold the place, so ties go to the leftmost gram.
     bits = U(max(1, int(len(grams)).bit_length()))
     keys = ((grams >> bits) << bits) | np.arange(len(grams), dtype=np.uint64)
@@ -109,21 +113,20 @@ def segments(spec: Units, flat: np.ndarray, offsets: np.ndarray):
     first, last = first[keep], last[keep]
     if not len(first):
         return None
-    end = last + t - 1
-    size = 1 << spec.block_bits
-    middle = (first + end) // 2 - size // 2
-    digest = shared.mix(shared.mix(block[first]) + shared.mix(block[middle] + U(1)) * U(3) + shared.mix(block[end - size] + U(2)) * U(7) + (end - first).astype(np.uint64))
-    return grams[at[first]], digest, row[first], first - rows[row[first]], last - first, at[first] - first
+    raw = memoryview(packed)
+    digests = b"".join([blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(begin[first].tolist(), close[last + t - 2].tolist(), strict=True)])
+    one, two = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+    return grams[at[first]] & mask, one, two, row[first], first - rows[row[first]], last - first, at[first] - first
 
 
 def _deltas(x: np.ndarray) -> bytes:
     return np.diff(x, prepend=x.dtype.type(0)).tobytes()
 
 
-def _message(bucket: int, kind: int, pick, anchor, digest, uid, th, start, n, lead) -> tuple:
+def _message(bucket: int, kind: int, pick, anchor, one, two, uid, th, start, n, lead) -> tuple:
     """One row of _SENT; places as differences, which compress."""
     with np.errstate(over="ignore"):
-        return (bucket, kind, None if anchor is None else anchor[pick].tobytes(), None if digest is None else digest[pick].tobytes(), _deltas(uid[pick]), _deltas(th[pick]), _deltas(start[pick].astype(np.int32)), n[pick].astype(np.int32).tobytes(), None if lead is None else lead[pick].astype(np.int32).tobytes())
+        return (bucket, kind, *(None if x is None else x[pick].tobytes() for x in (anchor, one, two)), _deltas(uid[pick]), _deltas(th[pick]), _deltas(start[pick].astype(np.int32)), n[pick].astype(np.int32).tobytes(), None if lead is None else lead[pick].astype(np.int32).tobytes())
 
 
 def _by_bucket(which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -143,14 +146,21 @@ def _keyed(docs: DataFrame, count: int) -> DataFrame:
     return docs.select("doc_id", "text", uid.alias("uid"), th.alias("th")).withColumn("bucket", F.pmod(F.col("uid").bitwiseXOR(F.col("th")), F.lit(count)).cast("int"))
 
 
-def _moved(uid, th, start, order):
-    """Whether each place differs from the one before it in the order; a repeated row has the place of its twin."""
+def _changes(order, *columns):
+    """Whether each row, in the order, differs from the one before it."""
     new = np.ones(len(order), dtype=bool)
-    uid, th, start = uid[order], th[order], start[order]
-    new[1:] = (uid[1:] != uid[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1])
+    new[1:] = False
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
     return new
 
 
+def _moved(uid, th, start, order):
+    """Whether each place differs from the one before it in the order; a repeated row has the place of its twin."""
+    return _changes(order, uid, th, start)
+
+
 def _runs(uid, th, start, n):
     """Window ranges, joined where they touch."""
     order = np.lexsort((start, th, uid))
@@ -168,37 +178,36 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("anchor", "digest", "uid", "th", "start", "n", "lead"))])
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("anchor", "one", "two", "uid", "th", "start", "n", "lead"))])
 _CUT_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("key", "uid", "th", "start", "size", "text"))])
 
 
-def announce(spec: Units, count: int):
+def announce(spec: Units, count: int, bits: int = 64):
+    mask = U((1 << bits) - 1)
+
     def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchor, digest, uid, th, start, n, lead = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((start, th, uid, digest, anchor))
-        a, d = anchor[order], digest[order]
-        first = np.empty(len(order), dtype=bool)
-        first[0] = True
-        first[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
+        anchor, one, two, uid, th, start, n, lead = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((start, th, uid, two, one, anchor))
+        first = _changes(order, anchor, one, two)
         mine = np.sort(order[first])
         mine = mine[np.lexsort((start[mine], th[mine], uid[mine]))]
         which = (anchor[mine] % U(count)).astype(np.int64)
-        rows = [_message(b, _ASKED, mine[pick], anchor, digest, uid, th, start, n, lead) for b, pick in _by_bucket(which)]
+        rows = [_message(b, _ASKED, mine[pick], anchor, one, two, uid, th, start, n, lead) for b, pick in _by_bucket(which)]
         rest = order[~first & _moved(uid, th, start, order)]
         if len(rest):
             u, t, s, k = _runs(uid[rest], th[rest], start[rest], n[rest])
-            rows += [_message(b, _SETTLED, pick, None, None, u, t, s, k, None) for b, pick in _by_bucket(_home(u, t, count))]
+            rows += [_message(b, _SETTLED, pick, None, None, None, u, t, s, k, None) for b, pick in _by_bucket(_home(u, t, count))]
         for i in range(0, len(rows), 64):
             yield _batch(rows[i : i + 64], _SENT_ARROW)
 
     def run(batches):
         held, have = [], 0
         for b in shared.blocks(batches):
-            got = segments(spec, *shared.text_array(b.column("text")))
+            got = segments(spec, *shared.text_array(b.column("text")), mask)
             if got is None:
                 continue
-            anchor, digest, row, start, n, lead = got
-            held.append((anchor, digest, b.column("uid").to_numpy()[row], b.column("th").to_numpy()[row], start.astype(np.int32), n.astype(np.int16), lead.astype(np.int16)))
+            anchor, one, two, row, start, n, lead = got
+            held.append((anchor, one, two, b.column("uid").to_numpy()[row], b.column("th").to_numpy()[row], start.astype(np.int32), n.astype(np.int16), lead.astype(np.int16)))
             have += len(anchor)
             if have >= HELD:
                 yield from send(held)
@@ -211,7 +220,7 @@ def announce(spec: Units, count: int):
 
 def _read(table: pa.Table, kind: int | None = None) -> list[np.ndarray] | None:
     """The columns of all messages of a kind, joined."""
-    types = {"anchor": np.uint64, "digest": np.uint64, "uid": np.int64, "th": np.int64, "start": np.int32, "n": np.int32, "lead": np.int32}
+    types = {"anchor": np.uint64, "one": np.uint64, "two": np.uint64, "uid": np.int64, "th": np.int64, "start": np.int32, "n": np.int32, "lead": np.int32}
     parts = {c: [] for c in types}
     kinds = table.column("kind").to_pylist()
     for c, dtype in types.items():
@@ -232,24 +241,20 @@ def settle(count: int):
         keep = table.filter(pa.compute.equal(table.column("kind"), _SETTLED))
         got = _read(table, _ASKED)
         if got is not None:
-            anchor, digest, uid, th, start, n, lead = got
-            order = np.lexsort((start, th, uid, digest, anchor))
-            a, d = anchor[order], digest[order]
-            head = np.empty(len(order), dtype=bool)
-            head[0] = True
-            head[1:] = a[1:] != a[:-1]
-            first = head.copy()
-            first[1:] |= d[1:] != d[:-1]
+            anchor, one, two, uid, th, start, n, lead = got
+            order = np.lexsort((start, th, uid, two, one, anchor))
+            head = _changes(order, anchor)
+            first = _changes(order, anchor, one, two)
             group = np.cumsum(head) - 1
             several = np.bincount(group, weights=first) > 1
             rest = order[~first & _moved(uid, th, start, order)]
             if len(rest):
                 u, t, s, k = _runs(uid[rest], th[rest], start[rest], n[rest])
-                out += [_message(b, _SETTLED, p, None, None, u, t, s, k, None) for b, p in _by_bucket(_home(u, t, count))]
+                out += [_message(b, _SETTLED, p, None, None, None, u, t, s, k, None) for b, p in _by_bucket(_home(u, t, count))]
             ask = order[first & several[group]]
             if len(ask):
                 ask = ask[np.lexsort((start[ask], th[ask], uid[ask]))]
-                out += [_message(b, _ASKED, ask[p], None, None, uid, th, start, n, lead) for b, p in _by_bucket(_home(uid[ask], th[ask], count))]
+                out += [_message(b, _ASKED, ask[p], None, None, None, uid, th, start, n, lead) for b, p in _by_bucket(_home(uid[ask], th[ask], count))]
         made = pa.Table.from_batches([_batch(out, _SENT_ARROW)])
         return pa.concat_tables([keep.cast(_SENT_ARROW), made])
 
@@ -261,12 +266,14 @@ def _texts(table: pa.Table) -> dict[tuple[int, int], tuple[int, bytes]]:
     return {(u, t): x for u, t, x in zip(table.column("uid").to_pylist(), table.column("th").to_pylist(), table.column("text").cast(pa.large_binary()).to_pylist(), strict=True)}
 
 
-def cut(spec: Units, count: int):
+def cut(spec: Units, count: int, bits: int = 64):
+    mask = (1 << bits) - 1
+
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         got = _read(asked)
         rows: dict[int, list] = {}
         if got is not None:
-            _, _, uid, th, start, n, lead = got
+            _, _, _, uid, th, start, n, lead = got
             order = np.lexsort((start, th, uid))
             texts, place, units = _texts(docs), None, b""
             t, m, h = spec.window, spec.gram, spec.half
@@ -277,7 +284,7 @@ def cut(spec: Units, count: int):
                 # Windows that reach at least h units left of the gram, and the others.
                 for lo, hi, a, b in ((s, min(last, p - h), p - h, p + m), (max(s, p - h + 1), last, p, p + m + h + 1)):
                     if lo <= hi:
-                        key = xxhash.xxh3_64_intdigest(spec.pack(units[a:b]), seed=a == p)
+                        key = xxhash.xxh3_64_intdigest(spec.pack(units[a:b]), seed=a == p) & mask
                         rows.setdefault(key % count, []).append((key, u, x, lo, spec.pack(units[lo : hi + t])))
         out = []
         for b, got_rows in rows.items():
@@ -319,7 +326,7 @@ def verify(spec: Units, count: int):
         if repeated:
             u, x, s, k = (np.array(c, dtype=np.int64) for c in zip(*repeated, strict=True))
             u, x, s, k = _runs(u, x, s, k)
-            out = [_message(b, _SETTLED, p, None, None, u, x, s, k, None) for b, p in _by_bucket(_home(u, x, count))]
+            out = [_message(b, _SETTLED, p, None, None, None, u, x, s, k, None) for b, p in _by_bucket(_home(u, x, count))]
         return pa.Table.from_batches([_batch(out, _SENT_ARROW)])
 
     return run
@@ -330,7 +337,7 @@ def finish(spec: Units, schema: pa.Schema):
         got = _read(settled)
         ranges: dict[tuple[int, int], np.ndarray] = {}
         if got is not None:
-            _, _, uid, th, start, n, _ = got
+            _, _, _, uid, th, start, n, _ = got
             order = np.lexsort((start, th, uid))
             uid, th, start, n = uid[order], th[order], start[order].astype(np.int64), n[order].astype(np.int64)
             edge = np.flatnonzero((np.diff(uid, prepend=uid[0]) != 0) | (np.diff(th, prepend=th[0]) != 0))
@@ -348,7 +355,7 @@ def finish(spec: Units, schema: pa.Schema):
     return run
 
 
-def remove_repeats(docs: DataFrame, spec: Units) -> DataFrame:
+def remove_repeats(docs: DataFrame, spec: Units, bits: int = 64) -> DataFrame:
     """The plan above; one row per input row, with doc_id and the columns of ``spec.result``."""
     spark = docs.sparkSession
     shared.ready(spark)
@@ -356,11 +363,11 @@ def remove_repeats(docs: DataFrame, spec: Units) -> DataFrame:
     count = shared.buckets(shared.text_bytes(docs), 8 << 20, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = _keyed(docs, count)
     schema = pa.schema([("doc_id", pa.int64()), *((c.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in spec.result.split(", "))])
-    sent = keyed.select("text", "uid", "th").mapInArrow(announce(spec, count), _SENT)
+    sent = keyed.select("text", "uid", "th").mapInArrow(announce(spec, count, bits), _SENT)
     settled = sent.groupBy("bucket").applyInArrow(settle(count), _SENT).checkpoint()
     texts = keyed.groupBy("bucket")
     asked = settled.where(F.col("kind") == _ASKED).groupBy("bucket")
-    strings = texts.cogroup(asked).applyInArrow(cut(spec, count), _CUT)
+    strings = texts.cogroup(asked).applyInArrow(cut(spec, count, bits), _CUT)
     verified = strings.groupBy("bucket").applyInArrow(verify(spec, count), _SENT)
     repeats = settled.where(F.col("kind") == _SETTLED).unionByName(verified).groupBy("bucket")
     return texts.cogroup(repeats).applyInArrow(finish(spec, schema), f"doc_id long, {spec.result}")

@@ -62,6 +62,14 @@ def written(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder), folder
 
 
+def fresh(name: str, taken) -> str:
+    """The name, lengthened until no column is called so (names differ by more than case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Total bytes of the text column; one narrow scan that sizes every later bucketing."""
     row = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("n")).first()

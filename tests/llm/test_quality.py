@@ -53,3 +53,26 @@ def test_additive_tables_and_a_pair_learn_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = op4.fit(x, y)
     assert ((model.score(x) > 0.5) == y).mean() > 0.95
+
+
+def test_scores_are_the_tables_added_up():
+    """Vectorised bin additions against a plain sum, entry by entry."""
+    rng = np.random.default_rng(1)
+    x = rng.random((500, 4))
+    model = op4.fit(x, (x[:, 0] * x[:, 1] + 0.3 * x[:, 2] > 0.4).astype(float))
+    assert model.pairs
+    probe = np.concatenate([rng.random((40, 4)) * 3 - 1, x[:10], np.array([[c[0] if len(c) else 0 for c in model.cuts]])])
+    bin_of = lambda cut, v: sum(c <= v for c in cut)
+    for row, got in zip(probe.tolist(), model.score(probe).tolist(), strict=True):
+        z = model.intercept + sum(t[bin_of(c, v)] for c, t, v in zip(model.cuts, model.tables, row, strict=True))
+        z += sum(t[bin_of(a, row[i]), bin_of(b, row[j])] for i, j, a, b, t in model.pairs)
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_clashing_names_and_a_small_sample(spark):
+    docs, labels = corpus(200)
+    d = spark.createDataFrame([(*r, 0.5, "q") for r in docs], "doc_id long, text string, x string, quality_score double, Quality_Score_ string").repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = op4.keep_quality(d, lab, sample=60)
+    assert kept.columns == d.columns
+    assert {r.quality_score for r in kept.collect()} == {0.5} and 0 < kept.count() < 200

@@ -49,19 +49,20 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_bytes(spark, seed):
+@pytest.mark.parametrize(("seed", "bits"), [(1, 64), (2, 8)])
+def test_bytes(spark, seed, bits):
+    """Also with routing hashes of 8 bits, which all collide."""
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA).repartition(5)
-    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeated_substrings(df).collect())
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeated_substrings(df, bits=bits).collect())
     assert got == brute(rows, 100, lambda b: [b[i : i + 1] for i in range(len(b))], b"".join)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_words(spark, seed):
+@pytest.mark.parametrize(("seed", "bits"), [(1, 64), (2, 8)])
+def test_words(spark, seed, bits):
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA).repartition(5)
-    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeated_windows(df).collect())
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeated_windows(df, bits=bits).collect())
     assert got == [(*r[:4], r[5]) for r in brute(rows, 20, bytes.split, b" ".join)]
 
 
@@ -72,3 +73,16 @@ def test_empty_tables_and_texts(spark):
     df = spark.createDataFrame([(1, "a b " * 60, "")], SCHEMA)
     assert bytes(remove_repeated_substrings(df, texts=True).first().kept) == b"a b "
     assert remove_repeated_windows(df, texts=True).first().kept.split() == ["a", "b"]
+
+
+def test_a_text_of_several_megabytes(spark):
+    """One text far over a block: words that never repeat, then a copy of its first 200."""
+    words = [f"w{i}" for i in range(400_000)]
+    text = " ".join(words + words[:200])
+    df = spark.createDataFrame([(1, text, ""), (2, "short", "")], SCHEMA)
+    got = {r.doc_id: r for r in remove_repeated_windows(df).collect()}
+    assert (got[1].n_words, got[1].n_removed, got[2].n_removed) == (400_200, 200, 0)
+    assert got[1].kept_sha256 == hashlib.sha256(" ".join(words).encode()).hexdigest()
+    got = {r.doc_id: r for r in remove_repeated_substrings(df).collect()}
+    same = len(" ".join(words[:200]))
+    assert same <= got[1].n_removed <= same + 2 and got[1].n_spans == 1

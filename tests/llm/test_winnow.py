@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from quillgraph.llm.op10_winnow import mark_contaminated
+from quillgraph.llm.op10_winnow import keep_clean, mark_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -49,11 +49,12 @@ def corpus(seed):
     return [*docs, (200, None), (201, ""), (None, items[3][1]), docs[3], docs[3], (202, "a Uniqueword b " + "zz " * 40)], items
 
 
-@pytest.mark.parametrize("block", [1 << 24, 700])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "bits"), [(1 << 24, 64), (700, 64), (1 << 24, 8)])
+def test_against_brute_force(spark, block, bits):
+    """In one block and several, and with fingerprints of 8 bits, which all collide."""
     docs, items = corpus(block)
     df = spark.createDataFrame([(*d, "s") for d in docs], "doc_id long, text string, source string").repartition(3)
-    got = mark_contaminated(df, spark.createDataFrame(items, "item_id long, text string"), block)
+    got = mark_contaminated(df, spark.createDataFrame(items, "item_id long, text string"), block, bits)
     assert got.columns[:3] == df.columns
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()) == brute(docs, items)
 
@@ -63,3 +64,18 @@ def test_empty(spark):
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert mark_contaminated(none, items).collect() == []
     assert mark_contaminated(spark.createDataFrame([(1, "a b c")], none.schema), items.limit(0)).first().n_hit == 0
+
+
+@pytest.mark.parametrize("block", [1 << 24, 30])
+def test_clashing_names(spark, block):
+    """Result columns replace those of their names; helpers' names may be taken; the filter keeps all columns as they were."""
+    names = ["doc_id", "text", "n_words", "N_Hit", "items_sha256", "contaminated", "key", "hit", "items", "n_items"]
+    item = " ".join(f"b{i}" for i in range(13))
+    rows = [(1, f"x {item} y", "w", "h", "s", "c", "k", "t", "i", "n"), (2, "clean text", "w", "h", "s", "c", "k", "t", "i", "n"), (2, "clean text", "w", "h", "s", "c", "k", "t", "i", "n")]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    items = spark.createDataFrame([(1, item), (2, "other words here of an item"), (3, "still more")], "item_id long, text string")
+    got = mark_contaminated(df, items, block)
+    assert got.columns == ["doc_id", "text", "key", "hit", "items", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert sorted((r.doc_id, r.key, r.n_words, r.n_hit, r.contaminated) for r in got.collect()) == [(1, "k", 15, 13, True), (2, "k", 2, 0, False), (2, "k", 2, 0, False)]
+    kept = keep_clean(df, items, block)
+    assert kept.columns == names and [tuple(r) for r in kept.collect()] == rows[1:]
