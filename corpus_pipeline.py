@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; each
 result is written as Parquet and read again. All but the last return the columns of
-documents.
+documents, whatever further columns these have.
+
+Every stage takes null and empty texts (they are scored as such, are no near-duplicates, are
+clean, have no tokens and are never taken by the mix), null ids (kept as rows of their own up
+to the mix, which takes rows with an id), repeated rows (which stay or go together) and empty
+tables (which give empty ones).
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from quillgraph.llm import op9_mix
 from quillgraph.llm.op3_minhash import near_duplicates
 from quillgraph.llm.op4_quality import keep_quality
 from quillgraph.llm.op6_tokens import token_rows
-from quillgraph.llm.op10_winnow import mark_contaminated
+from quillgraph.llm.op10_winnow import keep_clean
 from quillgraph.llm.queries import tokenizer_file
 from quillgraph.llm.shared import remove, scratch, table
 
@@ -38,8 +43,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark's passages do not contaminate."""
-    return mark_contaminated(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    """Documents that the benchmark's passages do not contaminate; one without words is clean."""
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
