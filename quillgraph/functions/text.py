@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .policy import GENERIC_NAMES
 
@@ -16,22 +14,56 @@ WORD = r"[\p{L}\p{N}_]+"
 IDENTITY = r"[\p{L}\p{N}_.$+/#:-]"
 
 
-@F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """NFC form; only for text outside ASCII, see name_key."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+def _compositions() -> str:
+    """Every letter that NFC composes of two: first, second, letter and a separator, by rule from the character database."""
+    out = []
+    for i in range(0xC0, 0x30000):
+        c = chr(i)
+        pair = unicodedata.decomposition(c)
+        if pair and not pair.startswith("<") and len(pair.split()) == 2 and unicodedata.normalize("NFC", c) == c:
+            out.append("".join(chr(int(x, 16)) for x in pair.split()) + c + "\0")
+    return "".join(out)
 
 
-@F.pandas_udf(StringType())
-def fold_marks(s: pd.Series) -> pd.Series:
-    """Lower case without combining marks."""
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x.lower()) if not unicodedata.combining(c)))
+def _folds() -> tuple[str, str]:
+    """Lower-case letters with marks, and the letters that they are marked forms of."""
+    marked, plain = [], []
+    for i in range(0xC0, 0x2000):
+        c = chr(i)
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if c.lower() == c and len(base) == 1 and base != c:
+            marked.append(c)
+            plain.append(base)
+    return "".join(marked), "".join(plain)
 
 
-def name_key(name: Column, normalized: bool = True) -> Column:
-    """The key of a name: trimmed, NFC, lower case. ``normalized``: the input is NFC already, so the key stays in the JVM."""
-    trimmed = F.trim(name)
-    return F.lower(trimmed if normalized else nfc(trimmed))
+_COMPOSED, (_MARKED, _PLAIN) = _compositions(), _folds()
+
+
+def nfc(s: Column) -> Column:
+    """Letters and the marks after them composed as NFC does, in the JVM. Only text with marks is taken apart.
+
+    Marks are taken in the order they stand in; Hangul that is spelt in single jamo stays so.
+    """
+
+    def step(a: Column, c: Column) -> Column:
+        at = F.instr(F.lit(_COMPOSED), F.concat(a["last"], c))
+        joined = F.struct(a["done"].alias("done"), F.substring(F.lit(_COMPOSED), at + 2, F.lit(1)).alias("last"))
+        return F.when((a["last"] != "") & (at > 0) & c.rlike(r"^\p{M}$"), joined).otherwise(F.struct(F.concat(a["done"], a["last"]).alias("done"), c.alias("last")))
+
+    whole = F.aggregate(F.split(s, ""), F.struct(F.lit("").alias("done"), F.lit("").alias("last")), step, lambda a: F.concat(a["done"], a["last"]))
+    return F.when(s.rlike(r"\p{M}"), whole).otherwise(s)
+
+
+def fold_marks(s: Column) -> Column:
+    """Lower case without combining marks; ASCII text is only lowered."""
+    low = F.lower(s)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(low, _MARKED, _PLAIN), r"\p{M}", "")).otherwise(low)
+
+
+def name_key(name: Column) -> Column:
+    """The key of a name: trimmed, NFC, lower case."""
+    return F.lower(nfc(F.trim(name)))
 
 
 def admissible(key: Column, allow_short: Column | None = None) -> Column:

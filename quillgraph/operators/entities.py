@@ -28,11 +28,12 @@ def resolutions(entities: DataFrame) -> DataFrame:
 
     A key none of whose definitions is admissible is suppressed; once one is, all count.
     """
-    ok = F.max(admissible(F.col("name_key"), F.col("allow_short")))
-    made = entities.groupBy("name_key").agg(F.array_sort(F.collect_set(F.struct("doc", F.coalesce("section", F.lit("")).alias("section")))).alias("targets"), ok.alias("ok"))
-    n = F.size("targets")
-    status = F.when(~F.col("ok"), "suppressed").when(n == 1, "resolved").otherwise("ambiguous")
-    return made.select("name_key", status.alias("status"), n.cast("long").alias("candidates"), F.when(status == "resolved", F.col("targets")[0]["doc"]).alias("target"))
+    # Two levels of partial aggregation: no row ever holds all documents of a frequent name.
+    place = ["name_key", "doc", F.coalesce("section", F.lit("")).alias("section")]
+    each = entities.groupBy(*place).agg(F.max(admissible(F.col("name_key"), F.col("allow_short"))).alias("ok"))
+    made = each.groupBy("name_key").agg(F.count("*").alias("candidates"), F.max("ok").alias("ok"), F.min("doc").alias("first"))
+    status = F.when(~F.col("ok"), "suppressed").when(F.col("candidates") == 1, "resolved").otherwise("ambiguous")
+    return made.select("name_key", status.alias("status"), "candidates", F.when(status == "resolved", F.col("first")).alias("target"))
 
 
 def resolve_names(rows: DataFrame, entities: DataFrame, column: str) -> DataFrame:

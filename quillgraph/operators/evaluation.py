@@ -97,9 +97,21 @@ def review_queue(ranked: DataFrame, size: int = 40, per_node: int = 3, pool: int
     return ranked.sparkSession.createDataFrame(out, "node_a string, node_b string, score double")
 
 
-def nearest_rank(samples: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Percentiles by nearest rank, and the maximum. Equal values are counted first, so ranks need no sort of all samples."""
-    counted = samples.groupBy(group, value).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(group).orderBy(value)
-    ranked = counted.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(W.partitionBy(group)))
-    return ranked.groupBy(group).agg(*(F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.col("_all") * F.lit(s)), F.lit(1)), F.col(value))).alias(f"p{round(100 * s)}") for s in shares), F.max(value).alias("max"))
+def nearest_rank(samples: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.95), parts: int = 200) -> DataFrame:
+    """Percentiles by nearest rank, and the maximum, of each group; nulls count as the smallest values.
+
+    No task sorts a group: approximate quantiles cut its values into ``parts`` ranges, which are
+    counted; only the ranges that hold a wanted rank are ranked, equal values counted first.
+    """
+    cuts = samples.groupBy(group).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts).alias("_cuts"), F.count("*").alias("_all"), F.max(value).alias("max"))
+    range_of = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(-1)).cast("int")
+    dealt = samples.select(F.col(group), F.col(value)).join(cuts.select(F.col(group).alias("_g"), "_cuts"), F.col(group).eqNullSafe(F.col("_g"))).select(group, value, F.when(F.col(value).isNull(), -1).otherwise(range_of).alias("_range"))
+    sizes = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    upto = sizes.withColumn("_upto", F.sum("_n").over(W.partitionBy(group).orderBy("_range")))  # some ``parts`` rows a group
+    want = F.explode(F.array(*(F.struct(F.lit(f"p{round(100 * s)}").alias("name"), F.greatest(F.ceil(F.col("_all") * F.lit(s)), F.lit(1)).alias("rank")) for s in shares)))
+    asked = upto.join(cuts.select(F.col(group).alias("_g"), "_all"), F.col(group).eqNullSafe(F.col("_g"))).select(group, "_range", "_n", "_upto", want.alias("w")).where("w.rank <= _upto and w.rank > _upto - _n")
+    asked = asked.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.col("w.name").alias("_name"), (F.col("w.rank") - (F.col("_upto") - F.col("_n"))).alias("_place"))
+    near = dealt.groupBy(group, "_range", value).agg(F.count("*").alias("_n")).join(asked, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    ranked = near.withColumn("_upto", F.sum("_n").over(W.partitionBy(group, "_range", "_name").orderBy(F.asc_nulls_first(value)))).where("_place <= _upto and _place > _upto - _n")
+    found = ranked.groupBy(group).agg(*(F.max(F.when(F.col("_name") == f"p{round(100 * s)}", F.col(value))).alias(f"p{round(100 * s)}") for s in shares))
+    return cuts.select(F.col(group).alias("_g"), "max").join(found, F.col(group).eqNullSafe(F.col("_g")), "left").select(F.col("_g").alias(group), *(f"p{round(100 * s)}" for s in shares), "max")

@@ -72,16 +72,35 @@ def cross_relations(centered: DataFrame, focuses: DataFrame) -> DataFrame:
     return left.join(around.select("focus", F.col("_n").alias("node_b")), ["focus", "node_b"]).select("focus", "node_a", "node_b", "score")
 
 
-def snapshot_status(headers: DataFrame, live: DataFrame, index_revision: int, policy_revision: int) -> DataFrame:
-    """(snapshot, status, reasons): invalid if the focus is gone or changed, stale with the reasons, else current.
+def snapshot_status(headers: DataFrame, live: DataFrame, index_revision: int, policy_revision: int, score_version: str | None = None, space: str | None = None, relations: DataFrame | None = None) -> DataFrame:
+    """(snapshot, status, reasons, invalidated): invalid if the focus is gone or changed, stale with the reasons, else current.
 
-    headers: snapshot, focus, focus_revision, index_revision, policy_revision; live: doc, revision.
+    headers: snapshot, focus, focus_revision, index_revision, policy_revision, and perhaps
+    score_version (compared if the live one is given) and embedding_space (null: none); live: doc,
+    revision. relations: snapshot, valid (see still_valid) of the frozen relations; one that is
+    no longer valid makes its snapshot stale, and of an invalid snapshot all count as invalidated.
     """
     joined = headers.join(live.select(F.col("doc").alias("focus"), F.col("revision").alias("_live")), "focus", "left")
-    reasons = F.array_compact(F.array(F.when(F.col("index_revision") != index_revision, "index"), F.when(F.col("policy_revision") != policy_revision, "policy")))
+    if relations is None:
+        joined = joined.withColumns({"_all": F.lit(0).cast("long"), "_bad": F.lit(0).cast("long")})
+    else:
+        counted = relations.groupBy("snapshot").agg(F.count("*").alias("_all"), F.count_if(~F.col("valid")).alias("_bad"))
+        joined = joined.join(counted, "snapshot", "left").na.fill(0, ["_all", "_bad"])
+    known = {"score_version": score_version is not None, "embedding_space": True}
+    differs = lambda column, value: ~F.col(column).eqNullSafe(F.lit(value)) if known[column] and column in headers.columns else F.lit(False)
     gone = F.col("_live").isNull() | (F.col("_live") != F.col("focus_revision"))
-    status = F.when(gone, "invalid").when(F.size(reasons) > 0, "stale").otherwise("current")
-    return joined.select("snapshot", status.alias("status"), F.array_join(reasons, ",").alias("reasons"))
+    stale = F.array_compact(
+        F.array(
+            F.when(F.col("index_revision") != index_revision, "index-revision-changed"),
+            F.when(differs("score_version", score_version), "score-policy-changed"),
+            F.when(differs("embedding_space", space), "embedding-space-changed"),
+            F.when(F.col("policy_revision") != policy_revision, "user-declarations-changed"),
+            F.when(F.col("_bad") > 0, "candidate-evidence-invalidated"),
+        )
+    )
+    reasons = F.when(gone, F.array(F.when(F.col("_live").isNull(), "focus-removed").otherwise("focus-revision-changed"))).otherwise(stale)
+    status = F.when(gone, "invalid").when(F.size(stale) > 0, "stale").otherwise("current")
+    return joined.select("snapshot", status.alias("status"), F.array_join(reasons, ",").alias("reasons"), F.when(gone, F.col("_all")).otherwise(F.col("_bad")).alias("invalidated"))
 
 
 def still_valid(relations: DataFrame, live: DataFrame) -> DataFrame:

@@ -73,10 +73,10 @@ def leaks(documents: DataFrame, forbidden: DataFrame, n: int = 8) -> DataFrame:
 
 
 class Store:
-    """Tables under generation folders; a pointer file, moved last, publishes a generation.
+    """Tables under generation folders; a numbered pointer file, renamed into its place last, publishes a generation.
 
-    Any path Spark can write is fine; the pointer is replaced by a rename, and a commit based on
-    another generation than the published one raises Conflict.
+    Any path Spark can write is fine. A pointer is never overwritten or deleted, so there is always
+    a published one; a commit based on another generation than the last raises Conflict.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -86,10 +86,12 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self) -> dict:
-        place = self._path(f"{self.root}/current.json")
-        if not self._fs.exists(place):
+        folder = self._path(f"{self.root}/pointers")
+        names = [str(f.getPath().getName()) for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        names = [n for n in names if n.endswith(".json") and not n.startswith((".", "_"))]
+        if not names:
             return {"generation": 0, "tables": {}}
-        return json.loads(self.spark.read.text(str(place.toString()), wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.root}/pointers/{max(names)}", wholetext=True).first()[0])
 
     def generation(self) -> int:
         return self._pointer()["generation"]
@@ -110,13 +112,24 @@ class Store:
         for name, df in tables.items():
             paths[name] = f"{folder}/{name}"
             df.write.parquet(paths[name])
-        if self._pointer()["generation"] != expected:
-            raise Conflict("another commit was published meanwhile")
-        fresh, place = self._path(f"{folder}/pointer.json"), self._path(f"{self.root}/current.json")
+        fresh = self._path(f"{folder}/pointer.json")
         out = self._fs.create(fresh, True)
         out.write(bytearray(json.dumps({"generation": expected + 1, "tables": paths}).encode()))
         out.close()
-        if self._fs.exists(place):
-            self._fs.delete(place, False)
-        self._fs.rename(fresh, place)
+        self._fs.mkdirs(self._path(f"{self.root}/pointers"))
+        self._publish(fresh, self._path(f"{self.root}/pointers/{expected + 1:012d}.json"))
         return expected + 1
+
+    def _publish(self, fresh, place) -> None:
+        """Rename without overwriting: of two writers of one generation the second fails, and a crash leaves the pointer before it."""
+        sc = self.spark.sparkContext
+        context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        kind = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = sc._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        try:
+            context.rename(fresh, place, options)
+        except Exception as e:
+            if self._fs.exists(place):
+                raise Conflict("another commit was published meanwhile") from e
+            raise

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD, name_key
+from ..functions.text import WORD, name_key, nfc
 from .entities import resolutions
 
 #: Names sent to all tasks at most; a larger dictionary is matched by token_mentions alone.
@@ -30,24 +29,48 @@ def _latin(char: str) -> bool:
 
 
 class Matcher:
-    """Finds the leftmost longest names; a side of a name needs a word boundary only where its own character is Latin, a number or ``_``."""
+    """Finds the leftmost longest names by a trie; a side of a name needs a word boundary only where its own character is Latin, a number or ``_``.
 
-    def __init__(self, names: list[str]):
-        import regex
+    A place costs the length of the longest name that begins there, however many names there are.
+    """
 
-        alternatives = []
-        for n in sorted({"".join(map(fold, n)) for n in names}, key=lambda n: (-len(n), n)):
-            left = r"(?<![\p{Script=Latin}\p{N}_])" if _latin(n[0]) else ""
-            right = r"(?![\p{Script=Latin}\p{N}_])" if _latin(n[-1]) else ""
-            alternatives.append(left + re.escape(n) + right)
-        self.pattern = regex.compile("|".join(alternatives)) if alternatives else None
+    def __init__(self, names: list[str]):
+        self.root: dict = {}
+        for n in {"".join(map(fold, n)) for n in names if n}:
+            node = self.root
+            for c in n:
+                node = node.setdefault(c, {})
+            node[""] = _latin(n[0]), _latin(n[-1])
+        self.latin: dict[str, bool] = {}
+
+    def _bound(self, text: str, i: int) -> bool:
+        """Whether the character at a place is such that a Latin name cannot touch it."""
+        if not 0 <= i < len(text):
+            return False
+        c = text[i]
+        if c not in self.latin:
+            self.latin[c] = _latin(c)
+        return self.latin[c]
 
     def matches(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, text) in code points."""
-        if self.pattern is None:
-            return []
-        folded = "".join(c if len(f := fold(c)) != 1 else f for c in text)
-        return [(m.start(), m.end(), text[m.start() : m.end()]) for m in self.pattern.finditer(folded)]
+        folded = "".join(f if len(f := fold(c)) == 1 else c for c in text)
+        out, at = [], 0
+        while at < len(folded):
+            node, to, best = self.root, at, -1
+            while node is not None and to < len(folded):
+                node = node.get(folded[to])
+                to += 1
+                if node is not None and "" in node:
+                    left, right = node[""]
+                    if not (left and self._bound(folded, at - 1)) and not (right and self._bound(folded, to)):
+                        best = to
+            if best < 0:
+                at += 1
+            else:
+                out.append((at, best, text[at:best]))
+                at = best
+        return out
 
 
 def dictionary_mentions(spans: DataFrame, entities: DataFrame, most: int = NAMES) -> DataFrame:
@@ -64,7 +87,7 @@ def dictionary_mentions(spans: DataFrame, entities: DataFrame, most: int = NAMES
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(sent.value)
         for p in parts:
-            out = [(r.doc, r.section, r.block, r.start + a, r.start + b, t) for r in p.itertuples() for a, b, t in matcher.matches(r.text)]
+            out = [(d, s, k, i + a, i + b, t) for d, s, k, i, x in zip(p["doc"], p["section"], p["block"], p["start"], p["text"], strict=True) for a, b, t in matcher.matches(x or "")]
             yield pd.DataFrame(out, columns=["doc", "section", "block", "start", "end", "name"])
 
     hits = spans.select("doc", "section", "block", "start", "text").mapInPandas(run, "doc string, section string, block string, start long, end long, name string")
@@ -80,7 +103,7 @@ def with_decoration(mentions: DataFrame) -> DataFrame:
 
 def tokens(lines: DataFrame) -> DataFrame:
     """(doc, section, place, token) of lines (doc, section, text): lower-cased words, numbered within their line."""
-    return lines.select("doc", "section", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("place", "token"))
+    return lines.select("doc", "section", F.posexplode(F.regexp_extract_all(F.lower(nfc(F.col("text"))), F.lit(WORD), F.lit(0))).alias("place", "token"))
 
 
 def token_mentions(lines: DataFrame, entities: DataFrame) -> DataFrame:

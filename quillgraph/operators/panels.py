@@ -25,14 +25,13 @@ def references(mentions: DataFrame, links: DataFrame) -> DataFrame:
 def pack_evidence(evidence: DataFrame, center_chars: DataFrame, total: int = 20_000, center_most: int = 6_000, most: int = 2_000) -> DataFrame:
     """evidence (center, rank, chars) with taken: how much of each fits the budget that the center's own text leaves.
 
-    A center has few pieces of evidence, so its fold runs over one array.
+    What a piece may take is bounded by itself, so what is left for it is a running sum in one sort by center and rank.
     """
-    pieces = evidence.groupBy("center").agg(F.array_sort(F.collect_list(F.struct("rank", "chars"))).alias("p"))
-    left = F.lit(total) - F.least(F.coalesce("chars", F.lit(0)), F.lit(center_most))
-    fit = lambda a, x: F.struct((a["left"] - F.least(x["chars"], F.lit(most), a["left"])).cast("int").alias("left"), F.array_append(a["out"], F.struct(x["rank"].alias("rank"), F.least(x["chars"], F.lit(most), a["left"]).cast("int").alias("taken"))).alias("out"))
-    start = F.struct(left.cast("int").alias("left"), F.expr("CAST(array() AS array<struct<rank:int,taken:int>>)").alias("out"))
-    packed = pieces.join(center_chars, "center", "left").select("center", F.explode(F.aggregate("p", start, fit, lambda a: a["out"])).alias("e"))
-    return packed.select("center", "e.rank", "e.taken")
+    left = (F.lit(total) - F.least(F.coalesce("_own", F.lit(0)), F.lit(center_most))).cast("int")
+    rows = evidence.select("center", F.col("rank").cast("int").alias("rank"), F.least("chars", F.lit(most)).cast("int").alias("_most"))
+    rows = rows.join(center_chars.select("center", F.col("chars").alias("_own")), "center", "left")
+    before = F.coalesce(F.sum("_most").over(W.partitionBy("center").orderBy("rank", "_most").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.select("center", "rank", F.greatest(F.lit(0), F.least(F.col("_most"), left - before)).cast("int").alias("taken"))
 
 
 def newly_visible(centered: DataFrame, before: int, after: int, budget: int | None = None) -> DataFrame:

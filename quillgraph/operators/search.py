@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.policy import BM25_B, BM25_K1, SEARCH_EXCERPT, SEARCH_WEIGHTS
-from ..functions.text import IDENTITY, WORD
+from ..functions.text import IDENTITY, WORD, fold_marks
 
 
 def check_query(query: str, limit: int) -> None:
@@ -19,20 +20,22 @@ def check_query(query: str, limit: int) -> None:
 
 
 def search_terms(query: str) -> list[str]:
+    """The different words of a query, lower case and without marks."""
     import regex
 
-    return sorted(set(regex.findall(WORD, query.lower())))
+    plain = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
+    return sorted(set(regex.findall(WORD, plain)))
 
 
 def postings(documents: DataFrame) -> DataFrame:
     """(term, doc, field, tf) of documents (doc, title, body)."""
     fields = F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("body").alias("field"), F.col("body").alias("text"))))
-    words = documents.select("doc", fields.alias("f")).select("doc", "f.field", F.explode(F.regexp_extract_all(F.lower("f.text"), F.lit(WORD), F.lit(0))).alias("term"))
+    words = documents.select("doc", fields.alias("f")).select("doc", "f.field", F.explode(F.regexp_extract_all(fold_marks(F.col("f.text")), F.lit(WORD), F.lit(0))).alias("term"))
     return words.groupBy("term", "doc", "field").agg(F.count("*").alias("tf"))
 
 
 def search_text(documents: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """doc, score: documents that hold every term, by BM25 with field weights, ties by id.
+    """doc, score: documents that hold every term, whatever its case and marks, by BM25 with field weights, ties by id.
 
     One scan: lengths are counted and query terms kept; the limit is the feature.
     """
@@ -41,7 +44,7 @@ def search_text(documents: DataFrame, query: str, limit: int = 20) -> DataFrame:
     if not terms:
         return documents.select("doc", F.lit(0.0).alias("score")).limit(0)
     fields = (("title", SEARCH_WEIGHTS[0]), ("body", SEARCH_WEIGHTS[1]))
-    rows = documents.select("doc", F.lower("title").alias("title"), F.lower("body").alias("body"))
+    rows = documents.select("doc", fold_marks(F.col("title")).alias("title"), fold_marks(F.col("body")).alias("body"))
 
     def hits_of(c: str, t: str) -> Column:
         """How often a term is a whole word; most texts lack it, and are only looked through for its letters."""

@@ -320,7 +320,7 @@ def snapshot_cross_edges(spark, d):
     return explore.cross_relations(_centered(n), n.where("doc_id < 20").select("doc"))
 
 
-@query("SELECT 'snap-' || CAST(doc_id AS VARCHAR) AS snapshot, CASE WHEN doc_id % 5 = 0 OR doc_id % 11 = 0 THEN 'invalid' WHEN doc_id % 3 = 0 OR doc_id % 2 = 0 THEN 'stale' ELSE 'current' END AS status, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'index' END, CASE WHEN doc_id % 2 = 0 THEN 'policy' END) AS reasons FROM documents WHERE doc_id IS NOT NULL")
+@query("SELECT 'snap-' || CAST(doc_id AS VARCHAR) AS snapshot, CASE WHEN doc_id % 5 = 0 OR doc_id % 11 = 0 THEN 'invalid' WHEN doc_id % 3 = 0 OR doc_id % 2 = 0 THEN 'stale' ELSE 'current' END AS status, CASE WHEN doc_id % 11 = 0 THEN 'focus-removed' WHEN doc_id % 5 = 0 THEN 'focus-revision-changed' ELSE concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'index-revision-changed' END, CASE WHEN doc_id % 2 = 0 THEN 'user-declarations-changed' END) END AS reasons, CAST(0 AS BIGINT) AS invalidated FROM documents WHERE doc_id IS NOT NULL")
 def snapshot_validity(spark, d):
     n = corpora.notes(spark, d)
     k = F.col("doc_id")
@@ -346,8 +346,9 @@ def ring_layout(spark, d):
 
 # -- sources and ingest ---------------------------------------------------------
 
-RULES = "src1*\n!src10/\nsrc2/*7.md\n"
-_KEPT = "CASE WHEN regexp_full_match(path, 'src2/[^/]*7\\.md') THEN false WHEN path LIKE 'src10/%' THEN true WHEN path LIKE 'src1%' THEN false ELSE true END"
+RULES = "src1*\n!src10/\nsrc2/*7.md\n!src12/*1.md\nsrc3/*[05].md\n"
+#: Of src12 no file comes back, as its folder is left out.
+_KEPT = "CASE WHEN regexp_full_match(path, 'src2/[^/]*7\\.md|src3/[^/]*[05]\\.md') THEN false WHEN path LIKE 'src10/%' THEN true WHEN path LIKE 'src1%' THEN false ELSE true END"
 
 
 @query(sql("notes", then=f"SELECT path, {_KEPT} AS kept FROM notes"))
@@ -413,7 +414,7 @@ def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("notes", then=r"""SELECT doc, round(s, 9) AS score FROM (SELECT doc, ln(1 + (n - df0 + 0.5) / (df0 + 0.5)) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * len / mean)) + ln(1 + (n - df1 + 0.5) / (df1 + 0.5)) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * len / mean)) AS s
 FROM (SELECT *, count(*) OVER () AS n, avg(len) OVER () AS mean, count(*) FILTER (WHERE tf0 > 0) OVER () AS df0, count(*) FILTER (WHERE tf1 > 0) OVER () AS df1 FROM (SELECT doc, CAST(len(t) * 3 + len(b) AS DOUBLE) AS len, CAST(len(list_filter(t, lambda x: x = 'of')) * 3 + len(list_filter(b, lambda x: x = 'of')) AS DOUBLE) AS tf0, CAST(len(list_filter(t, lambda x: x = 'than')) * 3 + len(list_filter(b, lambda x: x = 'than')) AS DOUBLE) AS tf1
-FROM (SELECT doc, regexp_extract_all(lower(regexp_extract(markdown, '([\p{L}\p{N}_]+)', 1)), '[\p{L}\p{N}_]+') AS t, regexp_extract_all(lower(markdown), '[\p{L}\p{N}_]+') AS b FROM notes))) WHERE tf0 > 0 AND tf1 > 0) ORDER BY score DESC, doc LIMIT 20"""))
+FROM (SELECT doc, regexp_extract_all(strip_accents(lower(regexp_extract(markdown, '([\p{L}\p{N}_]+)', 1))), '[\p{L}\p{N}_]+') AS t, regexp_extract_all(strip_accents(lower(markdown)), '[\p{L}\p{N}_]+') AS b FROM notes))) WHERE tf0 > 0 AND tf1 > 0) ORDER BY score DESC, doc LIMIT 20"""))
 def search_text_bm25(spark, d):
     return search.search_text(_searched(spark, d), "Than of")
 

@@ -24,7 +24,7 @@ def test_freeze_store_and_validity(spark, tmp_path):
     assert {r.fault for r in explore.snapshot_faults(heads.withColumn("schema_version", F.lit(1)), rel.withColumn("score", F.lit(2.0)), cross.withColumn("node_b", F.lit("z"))).collect()} == {"header", "score", "cross relation outside the neighborhood"}
     moved = live.withColumn("epoch", F.when(F.col("doc") == "b", 2).otherwise(1))
     assert {(r.neighbor, r.valid) for r in explore.still_valid(rel, moved).collect()} == {("b", False), ("c", True)}
-    assert explore.snapshot_status(heads, live, 7, 4).first().reasons == "policy"
+    assert explore.snapshot_status(heads, live, 7, 4).first().reasons == "user-declarations-changed"
 
 
 def test_evidence_states(spark):
