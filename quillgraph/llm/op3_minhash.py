@@ -321,7 +321,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, bits: in
             break
         avoid = np.union1d(avoid, np.array(mixed, np.int64))
     classes = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    met = docs.where("doc_id is not null").select("text").mapInArrow(_list(words, count, avoid, bits), _LISTED).groupBy("bucket").applyInArrow(_meet(LONG), "a long, b long, family boolean").checkpoint()
+    listed = docs.where("doc_id is not null").select("text").mapInArrow(_list(words, count, avoid, bits), _LISTED)
+    met = shared.spread(listed, "bucket", -(-count // 4)).groupBy("bucket").applyInArrow(_meet(LONG), "a long, b long, family boolean").checkpoint()
 
     stars = met.where("family").select("a", "b")
     families = not stars.isEmpty()

@@ -138,19 +138,32 @@ def build(v: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
     return search, edges, start
 
 
-def _shard(sent, k: int, beam: int):
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        v = np.array(table.column("v").to_pylist(), dtype=float)
+_GRAPH = "size int, n int, ids binary, vectors binary, node binary, search binary, edges binary, start int"
+
+
+def _build(table: pa.Table) -> pa.Table:
+    """A shard's graph as one row: ids and vectors of its rows, the node of each, and the nodes' search vectors and edges."""
+    ids = table.column("vec_id").to_numpy()
+    size = table.column("size")[0].as_py()
+    values = table.column("v").combine_chunks()
+    v = (values.values if isinstance(values, pa.ListArray) else pa.concat_arrays(c.values for c in values.chunks)).to_numpy().reshape(-1, size)
+    nodes, node = np.unique(v, axis=0, return_inverse=True)
+    search, edges, start = build(nodes)
+    parts = (ids.astype(np.int64), v, node.ravel().astype(np.int64), search, edges.astype(np.int32))
+    return pa.table({"size": pa.array([size], pa.int32()), "n": pa.array([len(nodes)], pa.int32()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("ids", "vectors", "node", "search", "edges"), parts, strict=True)}, "start": pa.array([start], pa.int32())})
+
+
+def _search(sent, k: int, beam: int):
+    """The best of each shard for each query of the block."""
+
+    def answers(ids, v, node, search, edges, start) -> pa.RecordBatch:
         query_ids, q = sent.value
         same = np.flatnonzero([len(x) == v.shape[1] for x in q]) if len(q) else np.zeros(0, np.int64)
-        nodes, node = np.unique(v, axis=0, return_inverse=True)
-        node = node.ravel()
         # The smallest k + 1 ids of a node: more can never be among k neighbours.
         by = np.lexsort((ids, node))
         heads = np.flatnonzero(np.append(True, node[by][1:] != node[by][:-1]))
         tails = np.append(heads[1:], len(by))
-        search, edges, start = build(nodes)
+        nodes = v[by[heads]]
         out: list[tuple[np.ndarray, ...]] = []
         for lo in range(0, len(same), 256):
             part = same[lo : lo + 256]
@@ -168,7 +181,14 @@ def _shard(sent, k: int, beam: int):
                 best = np.lexsort((ids[rows], -score))[:k]
                 out.append((np.full(len(best), query_ids[i]), ids[rows][best], score[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                size, n, start = (b.column(c)[r].as_py() for c in ("size", "n", "start"))
+                raw = {c: b.column(c)[r].as_buffer() for c in ("ids", "vectors", "node", "search", "edges")}
+                yield answers(np.frombuffer(raw["ids"], np.int64), np.frombuffer(raw["vectors"]).reshape(-1, size), np.frombuffer(raw["node"], np.int64), np.frombuffer(raw["search"], np.float32).reshape(n, -1), np.frombuffer(raw["edges"], np.int32).reshape(n, -1).astype(np.int64), start)
 
     return run
 
@@ -197,12 +217,15 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = BEAM,
     shards = max(1, -(-total // shard))
     asked = rows.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-asked.count() // QUERIES))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(shards)))
+    # Built once; every block of queries searches the stored graphs.
+    graphs, _ = shared.written(shared.spread(dealt, "shard", shards).groupBy("shard", "size").applyInArrow(_build, _GRAPH), "graphs")
     found = None
     for b in range(blocks):  # a stated query set, in blocks of bounded size
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
         sent = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in part], dtype=np.int64), [r["v"] for r in part]))
-        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(shards)))
-        got = dealt.groupBy("shard", "size").applyInArrow(_shard(sent, k, beam), "query_id long, vec_id long, score double")
+        got = graphs.repartition(shards).mapInArrow(_search(sent, k, beam), "query_id long, vec_id long, score double").checkpoint()
+        sent.unpersist()
         found = got if found is None else found.unionByName(got)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

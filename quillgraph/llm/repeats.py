@@ -44,6 +44,8 @@ from .shared import U
 
 #: Segments that a task gathers before it sends them.
 HELD = 1_000_000
+#: Bytes of text of a bucket, and buckets of a task.
+BUCKET_BYTES, BUCKETS = 8 << 20, 4
 
 _SENT = "bucket int, kind int, anchor binary, one binary, two binary, uid binary, th binary, start binary, n binary, lead binary"
 _CUT = "bucket int, key binary, uid binary, th binary, start binary, size binary, text binary"
@@ -359,15 +361,16 @@ def remove_repeats(docs: DataFrame, spec: Units, bits: int = 64) -> DataFrame:
     """The plan above; one row per input row, with doc_id and the columns of ``spec.result``."""
     spark = docs.sparkSession
     shared.ready(spark)
-    # Buckets of 8 MB of text, and as many as the session's shuffles have partitions.
-    count = shared.buckets(shared.text_bytes(docs), 8 << 20, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # At least as many buckets as the session's shuffles have partitions.
+    count = shared.buckets(shared.text_bytes(docs), BUCKET_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = -(-count // BUCKETS)
     keyed = _keyed(docs, count)
     schema = pa.schema([("doc_id", pa.int64()), *((c.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in spec.result.split(", "))])
     sent = keyed.select("text", "uid", "th").mapInArrow(announce(spec, count, bits), _SENT)
-    settled = sent.groupBy("bucket").applyInArrow(settle(count), _SENT).checkpoint()
-    texts = keyed.groupBy("bucket")
-    asked = settled.where(F.col("kind") == _ASKED).groupBy("bucket")
+    settled = shared.spread(sent, "bucket", parts).groupBy("bucket").applyInArrow(settle(count), _SENT).checkpoint()
+    texts = shared.spread(keyed, "bucket", parts).groupBy("bucket")
+    asked = shared.spread(settled.where(F.col("kind") == _ASKED), "bucket", parts).groupBy("bucket")
     strings = texts.cogroup(asked).applyInArrow(cut(spec, count, bits), _CUT)
-    verified = strings.groupBy("bucket").applyInArrow(verify(spec, count), _SENT)
-    repeats = settled.where(F.col("kind") == _SETTLED).unionByName(verified).groupBy("bucket")
+    verified = shared.spread(strings, "bucket", parts).groupBy("bucket").applyInArrow(verify(spec, count), _SENT)
+    repeats = shared.spread(settled.where(F.col("kind") == _SETTLED).unionByName(verified), "bucket", parts).groupBy("bucket")
     return texts.cogroup(repeats).applyInArrow(finish(spec, schema), f"doc_id long, {spec.result}")

@@ -81,6 +81,11 @@ def buckets(total_bytes: int, each: int = 16 << 20, least: int = 4) -> int:
     return max(least, -(-total_bytes // each))
 
 
+def spread(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """rows dealt by key to ``parts`` partitions, if the session's shuffles have fewer: tasks then do not grow with the input."""
+    return rows.repartition(parts, key) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def text_array(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, nulls as empty, and the row offsets in them."""
     if isinstance(column, pa.ChunkedArray):

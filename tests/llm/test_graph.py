@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 
 from quillgraph.llm.op5_graph import nearest
 
@@ -40,3 +43,33 @@ def test_few_rows(spark):
     assert nearest(none).collect() == []
     assert nearest(spark.createDataFrame([(0, [1.0])], none.schema)).collect() == []
     assert [tuple(r) for r in nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 1.0])], none.schema)).collect()] == [(0, 1, 1, 2.0)]
+
+
+def recall(spark, rows, **more):
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got, kept = {}, [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    for r in nearest(d, k=20, every=20, **more).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    ids, v = np.array([i for i, _ in kept]), np.array([x for _, x in kept])
+    hits = total = 0
+    for q in ids[ids % 20 == 0].tolist():
+        score = v @ v[np.flatnonzero(ids == q)[0]]
+        best = [i for i in ids[np.lexsort((ids, -score))].tolist() if i != q][:20]
+        hits, total = hits + len(got[q] & set(best)), total + len(best)
+    return hits / total
+
+
+def test_recall_on_clusters_in_blocks_of_queries(spark, monkeypatch):
+    from quillgraph.llm import op5_graph
+
+    monkeypatch.setattr(op5_graph, "QUERIES", 60)
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(40, 24))
+    rows = [(i, (centers[i % 40] + 0.2 * rng.normal(size=24)).tolist()) for i in range(4000)]
+    assert recall(spark, rows, shard=1500) >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_recall_on_the_table(spark):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect() if r.embedding]
+    assert recall(spark, rows, shard=800) >= 0.9

@@ -86,3 +86,14 @@ def test_a_text_of_several_megabytes(spark):
     got = {r.doc_id: r for r in remove_repeated_substrings(df).collect()}
     same = len(" ".join(words[:200]))
     assert same <= got[1].n_removed <= same + 2 and got[1].n_spans == 1
+
+
+def test_more_tasks_than_the_session_has(spark, monkeypatch):
+    """Small buckets make more partitions than the session's shuffles have."""
+    from quillgraph.llm import repeats
+
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 1000)
+    rows = corpus(3)
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA).repartition(5)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeated_windows(df).collect())
+    assert got == [(*r[:4], r[5]) for r in brute(rows, 20, bytes.split, b" ".join)]
