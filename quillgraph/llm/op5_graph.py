@@ -82,6 +82,9 @@ def prune(x: np.ndarray, own: np.ndarray, candidates: np.ndarray, degree: int, a
     by = np.argsort(d, axis=1, kind="stable")
     order, d, vectors = np.take_along_axis(order, by, 1), np.take_along_axis(d, by, 1), np.take_along_axis(vectors, by[:, :, None], 1)
     alive = np.isfinite(d)
+    # Distances among a row's candidates, by one matrix product a row.
+    square = (vectors**2).sum(axis=2)
+    apart = np.maximum(square[:, :, None] + square[:, None, :] - 2 * (vectors @ vectors.transpose(0, 2, 1)), 0)
     out = np.full((m, degree), -1, dtype=np.int64)
     rows = np.arange(m)
     for k in range(degree):
@@ -90,9 +93,7 @@ def prune(x: np.ndarray, own: np.ndarray, candidates: np.ndarray, degree: int, a
         if not has.any():
             break
         out[has, k] = order[rows, first][has]
-        chosen = vectors[rows, first]
-        between = ((vectors - chosen[:, None]) ** 2).sum(axis=2)
-        alive &= ~((alpha * alpha * between <= d) & has[:, None])
+        alive &= ~((alpha * alpha * apart[rows, first] <= d) & has[:, None])
         alive[rows, first] = False
     return out
 
@@ -119,8 +120,8 @@ def build(v: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
         by = np.argsort(target, kind="stable")
         source, target = source[by], target[by]
         who, first, count = np.unique(target, return_index=True, return_counts=True)
-        for lo in range(0, len(who), 2048):
-            w, f, c = who[lo : lo + 2048], first[lo : lo + 2048], count[lo : lo + 2048]
+        for lo in range(0, len(who), 1024):
+            w, f, c = who[lo : lo + 1024], first[lo : lo + 1024], count[lo : lo + 1024]
             # A target that very many chose is offered the new ones in rounds.
             for r in range(0, int(c.max()), 2 * degree):
                 some = c > r
