@@ -60,16 +60,36 @@ def fixed_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> t
     return name, verdict
 
 
+def twins(labelled: DataFrame, support: float) -> list[tuple[str, str]]:
+    """(token, first) of frequent tokens that stand in exactly the pages that a smaller token stands in.
+
+    One of them is enough to mine: n such tokens alone would make 2 ** n combinations. Frequent
+    tokens number at most the mean tokens of a page / support, so their list is bounded.
+    """
+    page = F.concat_ws(" ", F.col("bad").cast("string"), F.array_join("tokens", " "))
+    total = lambda seed: F.sum(F.xxhash64(page, F.lit(seed)).cast("decimal(38,0)"))
+    rows = labelled.withColumn("token", F.explode("tokens"))
+    where = rows.groupBy("token").agg(F.count("*").alias("n"), total(1).alias("x"), total(2).alias("y")).where(F.col("n") >= support * F.lit(labelled.count()))
+    first = where.groupBy("n", "x", "y").agg(F.min("token").alias("first"), F.count("*").alias("c")).where("c > 1")
+    return sorted((r["token"], r["first"]) for r in where.join(first, ["n", "x", "y"]).where("token <> first").select("token", "first").collect())
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, length: int = LENGTH) -> DataFrame:
-    """Rules (rule long, tokens array, confidence, n) for labelled pages (tokens array, bad boolean)."""
+    """Rules (rule long, tokens array, same array of arrays, confidence, n) for labelled pages (tokens array, bad boolean).
+
+    Tokens that always stand together count as one, the smallest of them; ``same`` lists each
+    token of a rule with those that stand for it.
+    """
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
     total = labelled.count()
-    schema = "rule long, tokens array<string>, confidence double, n long"
+    schema = "rule long, tokens array<string>, same array<array<string>>, confidence double, n long"
     if not total or labelled.where("bad").isEmpty():
         return spark.createDataFrame([], schema)
-    baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(_BAD))).otherwise(F.col("tokens")).alias("items"))
+    one = twins(labelled, support)
+    few = F.array_except("tokens", F.array(*(F.lit(t) for t, _ in one))) if one else F.col("tokens")
+    baskets = labelled.select("bad", few.alias("tokens")).select(F.when(F.col("bad"), F.array_append("tokens", F.lit(_BAD))).otherwise(F.col("tokens")).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=max(support, 2 / total), numPartitions=8).fit(baskets).freqItemsets.where(F.size("items") <= length + 1)
     sets = sets.withColumn("bad", F.array_contains("items", _BAD)).withColumn("key", F.array_join(F.array_sort(F.array_remove("items", _BAD)), " "))
     both = sets.where("bad and key <> ''").select("key", F.col("freq").alias("hits"))
@@ -79,17 +99,24 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     part = rules.where(F.size("tokens") > 1).select("key", "confidence", F.explode("tokens").alias("drop"), "tokens")
     part = part.select("key", "confidence", F.array_join(F.array_remove("tokens", F.col("drop")), " ").alias("sub"))
     dull = part.join(rules.select(F.col("key").alias("sub"), F.col("confidence").alias("c")), "sub").where("c >= confidence").select("key").distinct()
-    return rules.join(dull, "key", "left_anti").select(F.xxhash64("key").alias("rule"), "tokens", "confidence", "n")
+    kept = rules.join(dull, "key", "left_anti").select(F.xxhash64("key").alias("rule"), "tokens", "confidence", "n")
+    groups: dict[str, list[str]] = {}
+    for token, first in one:
+        groups.setdefault(first, [first]).append(token)
+    lists = spark.createDataFrame(sorted(groups.items()), "token string, own array<string>")
+    each = kept.select("rule", F.explode("tokens").alias("token")).join(F.broadcast(lists), "token", "left")  # bounded as twins() says
+    same = each.groupBy("rule").agg(F.collect_list(F.coalesce("own", F.array("token"))).alias("same"))  # LENGTH tokens at most
+    return kept.join(same, "rule").select("rule", "tokens", "same", "confidence", "n")
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(set) of the different token sets (tokens) that meet some rule, by the inverted index from tokens to rules.
+    """(set) of the different token sets (tokens) that meet some rule, by the inverted index from tokens, and their twins, to rules.
 
     set: the tokens joined by spaces. Token sets repeat a great deal, so each is matched once.
     """
-    index = rules.select("rule", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
+    index = rules.select("rule", F.size("tokens").alias("need"), F.posexplode("same").alias("place", "any")).select("rule", "need", "place", F.explode("any").alias("token"))
     held = sets.distinct().select(F.array_join("tokens", " ").alias("set"), F.explode("tokens").alias("token"))
-    return held.join(index, "token").groupBy("set", "rule", "need").agg(F.count("*").alias("have")).where("have = need").select("set").distinct()
+    return held.join(index, "token").groupBy("set", "rule", "need").agg(F.count_distinct("place").alias("have")).where("have = need").select("set").distinct()
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:

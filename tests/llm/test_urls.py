@@ -35,3 +35,13 @@ def test_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert op7.filter_urls(pages, labels).first().verdict == "allow"
     assert op7.filter_urls(pages.limit(0), labels).collect() == []
+
+
+def test_a_long_shared_path_is_one_token(spark):
+    """Twenty segments that always stand together: over a million combinations, mined as one; each of them stands for the rule."""
+    deep = "/".join(f"seg{chr(97 + k)}" for k in range(20))
+    urls = [f"http://a.net/{deep}/{i}" for i in range(60)] + [f"http://a.net/ok{i % 7}/{i}" for i in range(200)] + ["http://b.net/segq/zz", "http://b.net/none"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 60), 0) for i in range(260)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in op7.filter_urls(pages, labels).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {*range(60), 260}
