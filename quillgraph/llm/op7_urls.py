@@ -60,7 +60,7 @@ def fixed_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> t
     return name, verdict
 
 
-def twins(labelled: DataFrame, support: float) -> list[tuple[str, str]]:
+def twins(labelled: DataFrame, support: float) -> DataFrame:
     """(token, first) of frequent tokens that stand in exactly the pages that a smaller token stands in.
 
     One of them is enough to mine: n such tokens alone would make 2 ** n combinations. Frequent
@@ -71,7 +71,7 @@ def twins(labelled: DataFrame, support: float) -> list[tuple[str, str]]:
     rows = labelled.withColumn("token", F.explode("tokens"))
     where = rows.groupBy("token").agg(F.count("*").alias("n"), total(1).alias("x"), total(2).alias("y")).where(F.col("n") >= support * F.lit(labelled.count()))
     first = where.groupBy("n", "x", "y").agg(F.min("token").alias("first"), F.count("*").alias("c")).where("c > 1")
-    return sorted((r["token"], r["first"]) for r in where.join(first, ["n", "x", "y"]).where("token <> first").select("token", "first").collect())
+    return where.join(first, ["n", "x", "y"]).where("token <> first").select("token", "first")
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, length: int = LENGTH) -> DataFrame:
@@ -88,7 +88,8 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     if not total or labelled.where("bad").isEmpty():
         return spark.createDataFrame([], schema)
     one = twins(labelled, support)
-    few = F.array_except("tokens", F.array(*(F.lit(t) for t, _ in one))) if one else F.col("tokens")
+    drop = [r["token"] for r in one.select("token").collect()]  # bounded as twins() says
+    few = F.array_except("tokens", F.array(*map(F.lit, sorted(drop)))) if drop else F.col("tokens")
     baskets = labelled.select("bad", few.alias("tokens")).select(F.when(F.col("bad"), F.array_append("tokens", F.lit(_BAD))).otherwise(F.col("tokens")).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=max(support, 2 / total), numPartitions=8).fit(baskets).freqItemsets.where(F.size("items") <= length + 1)
     sets = sets.withColumn("bad", F.array_contains("items", _BAD)).withColumn("key", F.array_join(F.array_sort(F.array_remove("items", _BAD)), " "))
@@ -100,11 +101,8 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     part = part.select("key", "confidence", F.array_join(F.array_remove("tokens", F.col("drop")), " ").alias("sub"))
     dull = part.join(rules.select(F.col("key").alias("sub"), F.col("confidence").alias("c")), "sub").where("c >= confidence").select("key").distinct()
     kept = rules.join(dull, "key", "left_anti").select(F.xxhash64("key").alias("rule"), "tokens", "confidence", "n")
-    groups: dict[str, list[str]] = {}
-    for token, first in one:
-        groups.setdefault(first, [first]).append(token)
-    lists = spark.createDataFrame(sorted(groups.items()), "token string, own array<string>")
-    each = kept.select("rule", F.explode("tokens").alias("token")).join(F.broadcast(lists), "token", "left")  # bounded as twins() says
+    lists = one.groupBy(F.col("first").alias("token")).agg(F.array_prepend(F.array_sort(F.collect_list("token")), F.col("first")).alias("own"))
+    each = kept.select("rule", F.explode("tokens").alias("token")).join(lists, "token", "left")
     same = each.groupBy("rule").agg(F.collect_list(F.coalesce("own", F.array("token"))).alias("same"))  # LENGTH tokens at most
     return kept.join(same, "rule").select("rule", "tokens", "same", "confidence", "n")
 
