@@ -40,6 +40,11 @@ def _folds() -> tuple[str, str]:
 _COMPOSED, (_MARKED, _PLAIN) = _compositions(), _folds()
 
 
+def _ascii(s: Column) -> Column:
+    """Whether a text has a byte for each character."""
+    return F.octet_length(s) == F.char_length(s)
+
+
 def nfc(s: Column) -> Column:
     """Letters and the marks after them composed as NFC does, in the JVM. Only text with marks is taken apart.
 
@@ -52,13 +57,13 @@ def nfc(s: Column) -> Column:
         return F.when((a["last"] != "") & (at > 0) & c.rlike(r"^\p{M}$"), joined).otherwise(F.struct(F.concat(a["done"], a["last"]).alias("done"), c.alias("last")))
 
     whole = F.aggregate(F.split(s, ""), F.struct(F.lit("").alias("done"), F.lit("").alias("last")), step, lambda a: F.concat(a["done"], a["last"]))
-    return F.when(s.rlike(r"\p{M}"), whole).otherwise(s)
+    return F.when(_ascii(s), s).when(s.rlike(r"\p{M}"), whole).otherwise(s)
 
 
 def fold_marks(s: Column) -> Column:
     """Lower case without combining marks; ASCII text is only lowered."""
     low = F.lower(s)
-    return F.when(low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(low, _MARKED, _PLAIN), r"\p{M}", "")).otherwise(low)
+    return F.when(_ascii(s), low).otherwise(F.regexp_replace(F.translate(low, _MARKED, _PLAIN), r"\p{M}", ""))
 
 
 def name_key(name: Column) -> Column:
