@@ -31,10 +31,13 @@ def _latin(char: str) -> bool:
 class Matcher:
     """Finds the leftmost longest names by a trie; a side of a name needs a word boundary only where its own character is Latin, a number or ``_``.
 
-    A place costs the length of the longest name that begins there, however many names there are.
+    Only places where some name can begin are looked at, and one costs the length of the longest
+    name that begins there, however many names there are.
     """
 
     def __init__(self, names: list[str]):
+        import regex
+
         self.root: dict = {}
         for n in {"".join(map(fold, n)) for n in names if n}:
             node = self.root
@@ -42,6 +45,10 @@ class Matcher:
                 node = node.setdefault(c, {})
             node[""] = _latin(n[0]), _latin(n[-1])
         self.latin: dict[str, bool] = {}
+        first = [c for c in self.root if _latin(c)], [c for c in self.root if not _latin(c)]
+        latin, other = ("".join(map(regex.escape, sorted(cs))) for cs in first)
+        either = [rf"(?<![\p{{Script=Latin}}\p{{N}}_])[{latin}]" if latin else "", f"[{other}]" if other else ""]
+        self.starts = regex.compile("|".join(filter(None, either)) or r"(?!)")
 
     def _bound(self, text: str, i: int) -> bool:
         """Whether the character at a place is such that a Latin name cannot touch it."""
@@ -54,9 +61,12 @@ class Matcher:
 
     def matches(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, text) in code points."""
-        folded = "".join(f if len(f := fold(c)) == 1 else c for c in text)
-        out, at = [], 0
-        while at < len(folded):
+        folded = text.lower() if text.isascii() else "".join(f if len(f := fold(c)) == 1 else c for c in text)
+        out, free = [], 0
+        for start in self.starts.finditer(folded):
+            at = start.start()
+            if at < free:
+                continue
             node, to, best = self.root, at, -1
             while node is not None and to < len(folded):
                 node = node.get(folded[to])
@@ -65,11 +75,9 @@ class Matcher:
                     left, right = node[""]
                     if not (left and self._bound(folded, at - 1)) and not (right and self._bound(folded, to)):
                         best = to
-            if best < 0:
-                at += 1
-            else:
+            if best >= 0:
                 out.append((at, best, text[at:best]))
-                at = best
+                free = best
         return out
 
 
