@@ -119,6 +119,20 @@ def semantic_pool(units: DataFrame, retrieval: Retrieval = Retrieval(), block: i
     return ranked.select("center", "neighbor", "similarity", "rank", F.lit(total - 1).cast("long").alias("pool_size"))
 
 
+def asked_cosines(asked: DataFrame, units: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(unit_a, unit_b, cosine) of each asked unit with every other unit; both: unit, vector (length 1).
+
+    Both sides are dealt to blocks, and every two blocks meet under a key of their own: nothing is
+    broadcast, and a task holds two blocks. The work is asked times units.
+    """
+    here, there = (max(1, -(-rows.count() // block)) for rows in (asked, units))
+    dealt = lambda n: F.pmod(F.xxhash64("unit"), F.lit(n))
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = asked.select(F.col("unit").alias("unit_a"), F.col("vector").alias("_a"), dealt(here).cast("int").alias("_i"), all_(there).alias("_j"))
+    b = units.select(F.col("unit").alias("unit_b"), F.col("vector").alias("_b"), dealt(there).cast("int").alias("_j"), all_(here).alias("_i"))
+    return a.join(b, ["_i", "_j"]).where("unit_a <> unit_b").select("unit_a", "unit_b", dot(F.col("_a"), F.col("_b")).alias("cosine"))
+
+
 def strength(similarity: Column, modality: Column | str, retrieval: Retrieval = Retrieval()) -> Column:
     """A cosine mapped to 0..1 by its modality's range."""
     kind = F.lit(modality) if isinstance(modality, str) else modality

@@ -66,7 +66,7 @@ def _centered(notes: DataFrame) -> DataFrame:
     return relations.by_center(_relations(notes).withColumn("hidden", hidden).withColumn("pinned", pinned & ~F.col("hidden")))
 
 
-POOL = Retrieval(budget=20)
+POOL = Retrieval()
 FLOOR = BoundaryPolicy(quality_floor=0.2)
 
 
@@ -212,13 +212,12 @@ def vector_check(spark, d):
     return table(spark, d, "embeddings").select(vectors.vector_status(v, 64, True).alias("status")).groupBy("status").agg(F.count("*").alias("vectors"))
 
 
-@query(sql("normed", then="SELECT a.unit AS unit_a, b.unit AS unit_b, round(list_inner_product(a.v, b.v), 9) AS cosine FROM normed a JOIN normed b ON a.unit < b.unit WHERE CAST(a.unit AS INTEGER) < 40 AND list_inner_product(a.v, b.v) >= 0.2"))
+@query(sql("normed", then="SELECT a.unit AS unit_a, b.unit AS unit_b, round(list_inner_product(a.v, b.v), 9) AS cosine FROM normed a JOIN normed b ON a.unit <> b.unit WHERE CAST(a.unit AS INTEGER) % 50 = 0 AND list_inner_product(a.v, b.v) >= 0.2"))
 def cosine_pairs(spark, d):
-    """Cosines of the first 40 units, a stated query set, with all later ones; from 0.2 on."""
-    u = _units(spark, d).select("unit", "vector")
-    asked = u.where(F.col("unit").cast("int") < 40).select(F.col("unit").alias("unit_a"), F.col("vector").alias("a"))
-    met = u.crossJoin(F.broadcast(asked)).where("unit_a < unit").withColumn("cosine", vectors.dot(F.col("a"), F.col("vector")))
-    return met.where("cosine >= 0.2").select("unit_a", F.col("unit").alias("unit_b"), F.round("cosine", 9).alias("cosine"))
+    """Cosines of every fiftieth unit, the stated query set, with all others; from 0.2 on."""
+    u = _units(spark, d)
+    met = vectors.asked_cosines(u.where(F.col("unit").cast("long") % 50 == 0), u).where("cosine >= 0.2")
+    return met.select("unit_a", "unit_b", F.round("cosine", 9).alias("cosine"))
 
 
 @query(sql("pool", then="SELECT center, neighbor, round(similarity, 9) AS similarity, rank, pool_size FROM pool"))
@@ -226,9 +225,21 @@ def semantic_pool_max(spark, d):
     return _pool(spark, d).select("center", "neighbor", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("long").alias("rank"), "pool_size")
 
 
-@query()
+@query(
+    sql(
+        "normed",
+        then=""", met AS (SELECT a.doc AS center, b.doc AS neighbor, a.section AS l, b.section AS r, greatest(-1, least(1, list_inner_product(a.v, b.v))) AS c, a.unit || b.unit AS tie FROM normed a JOIN normed b ON a.doc <> b.doc),
+one AS (SELECT center, neighbor, l, r, c FROM met QUALIFY row_number() OVER (PARTITION BY center, neighbor ORDER BY c DESC, tie) = 1),
+two AS (SELECT m.center, m.neighbor, m.l, m.r, m.c FROM met m JOIN one o USING (center, neighbor) WHERE m.l <> o.l AND m.r <> o.r QUALIFY row_number() OVER (PARTITION BY center, neighbor ORDER BY m.c DESC, tie) = 1),
+three AS (SELECT m.center, m.neighbor, m.c FROM met m JOIN one o USING (center, neighbor) JOIN two t USING (center, neighbor) WHERE m.l NOT IN (o.l, t.l) AND m.r NOT IN (o.r, t.r) QUALIFY row_number() OVER (PARTITION BY center, neighbor ORDER BY m.c DESC, tie) = 1),
+mean AS (SELECT center, neighbor, avg(c) AS similarity FROM (SELECT center, neighbor, c FROM one UNION ALL SELECT center, neighbor, c FROM two UNION ALL SELECT * FROM three) GROUP BY ALL)
+SELECT center, neighbor, round(similarity, 9) AS similarity, rank, pool_size FROM (SELECT *, row_number() OVER (PARTITION BY center ORDER BY similarity DESC, neighbor) AS rank, count(*) OVER (PARTITION BY center) AS pool_size FROM mean) WHERE rank <= 100""",
+    )
+)
 def semantic_pool_topmean(spark, d):
-    return vectors.semantic_pool(_units(spark, d), Retrieval(budget=20, aggregation="top-mean"))
+    """Pools by the mean of three matches whose sections differ on both sides."""
+    pool = vectors.semantic_pool(_units(spark, d), Retrieval(aggregation="top-mean"))
+    return pool.select("center", "neighbor", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("long").alias("rank"), "pool_size")
 
 
 @query(sql("pool", then="SELECT center, neighbor, round(least(1, greatest(0, (similarity - 0.2) / 0.7)), 9) AS strength FROM pool"))
@@ -313,11 +324,11 @@ def visible_topk_pins(spark, d):
     return explore.counters(_centered(corpora.notes(spark, d)), 80, 5)
 
 
-@query(sql("centered", then="SELECT f.center AS focus, m.node_a, m.node_b, m.score FROM marks m JOIN centered f ON f.neighbor = m.node_a AND NOT f.hidden AND CAST(f.center AS INTEGER) < 20 JOIN centered g ON g.center = f.center AND g.neighbor = m.node_b AND NOT g.hidden WHERE NOT m.hidden"))
+@query(sql("centered", then="SELECT f.center AS focus, m.node_a, m.node_b, m.score FROM marks m JOIN centered f ON f.neighbor = m.node_a AND NOT f.hidden JOIN centered g ON g.center = f.center AND g.neighbor = m.node_b AND NOT g.hidden WHERE NOT m.hidden"))
 def snapshot_cross_edges(spark, d):
-    """Relations among the neighbors of the first 20 notes, a stated set of centers."""
+    """Relations among the neighbors of every note."""
     n = corpora.notes(spark, d)
-    return explore.cross_relations(_centered(n), n.where("doc_id < 20").select("doc"))
+    return explore.cross_relations(_centered(n), n.select("doc"))
 
 
 @query("SELECT 'snap-' || CAST(doc_id AS VARCHAR) AS snapshot, CASE WHEN doc_id % 5 = 0 OR doc_id % 11 = 0 THEN 'invalid' WHEN doc_id % 3 = 0 OR doc_id % 2 = 0 THEN 'stale' ELSE 'current' END AS status, CASE WHEN doc_id % 11 = 0 THEN 'focus-removed' WHEN doc_id % 5 = 0 THEN 'focus-revision-changed' ELSE concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'index-revision-changed' END, CASE WHEN doc_id % 2 = 0 THEN 'user-declarations-changed' END) END AS reasons, CAST(0 AS BIGINT) AS invalidated FROM documents WHERE doc_id IS NOT NULL")
@@ -565,7 +576,7 @@ def path_tree(spark, d):
     return t.withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+@query(sql("notes", then="SELECT CASE doc_id % 4 WHEN 3 THEN 'discard' WHEN 0 THEN 'reuse' ELSE 'encode' END AS action, count(*) AS units, CAST(0 AS BIGINT) AS errors FROM notes GROUP BY 1"))
 def embedding_index(spark, d):
     """Notes embedded by the stand-in provider: reused where the content is stored, encoded or discarded otherwise."""
     from ..operators.indexing import HashProvider, index

@@ -77,7 +77,7 @@ SQL = {
     "units": "units AS (SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') AS unit, lpad(CAST(vec_id // 5 AS VARCHAR), 8, '0') AS doc, CAST(vec_id % 5 AS VARCHAR) AS section, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id IS NOT NULL)",
     "normed": "normed AS (SELECT unit, doc, section, label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM units)",
     "cosines": "cosines AS (SELECT a.doc AS center, b.doc AS neighbor, max(greatest(-1, least(1, list_inner_product(a.v, b.v)))) AS similarity FROM normed a JOIN normed b ON a.doc <> b.doc GROUP BY ALL)",
-    "pool": "pool AS (SELECT center, neighbor, similarity, rank, pool_size FROM (SELECT *, row_number() OVER (PARTITION BY center ORDER BY similarity DESC, neighbor) AS rank, count(*) OVER (PARTITION BY center) AS pool_size FROM cosines) WHERE rank <= 20)",
+    "pool": "pool AS (SELECT center, neighbor, similarity, rank, pool_size FROM (SELECT *, row_number() OVER (PARTITION BY center ORDER BY similarity DESC, neighbor) AS rank, count(*) OVER (PARTITION BY center) AS pool_size FROM cosines) WHERE rank <= 100)",
     "gaps": "gaps AS (SELECT *, greatest(CAST(0 AS DOUBLE), similarity - lead(similarity) OVER (PARTITION BY center ORDER BY rank)) AS gap FROM (SELECT * FROM pool))",
     "middle": "middle AS (SELECT center, count(*) AS members, coalesce(median(gap), 0) AS median_gap FROM (SELECT center, rank, CASE WHEN rank < max(rank) OVER (PARTITION BY center) THEN gap END AS gap FROM gaps) GROUP BY center)",
     "spread": "spread AS (SELECT center, coalesce(median(abs(CASE WHEN rank < members THEN gap END - median_gap)), 0) AS mad FROM gaps JOIN middle USING (center) GROUP BY center)",
