@@ -48,3 +48,80 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM lowered LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def _crc_table() -> str:
+    """A query of one row: the 256 words of crc32's table as a list t."""
+    step = "SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM ({})"
+    rows = "SELECT i, i AS c FROM range(256) r(i)"
+    for _ in range(8):
+        rows = step.format(rows)
+    return f"SELECT list(CAST(c AS BIGINT) ORDER BY i) AS t FROM ({rows})"
+
+
+def _crc(text: str) -> str:
+    """crc32 of a string's UTF-8 bytes, where crc.t is the table."""
+    code = f"list_transform(range(1, CAST(octet_length(encode({text})) AS BIGINT) + 1), lambda i: CAST(('0x' || substring(hex(encode({text})), 2 * i - 1, 2)) AS BIGINT))"
+    return f"xor(list_reduce({code}, lambda a, b: xor(a >> 8, t[1 + xor(a, b) % 256]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR)))::VARCHAR || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _level(name: str, before: str, group: str) -> str:
+    """The nodes over those of ``before`` (group, i, h, number n of the group's), and for these the siblings and places."""
+    return (
+        f"{name} AS (SELECT {group}, i // 3 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, CASE WHEN any_value(n) = 1 THEN 1 ELSE (any_value(n) + 2) // 3 END AS n,"
+        f" CASE WHEN any_value(n) = 1 THEN '' ELSE string_agg(h, '' ORDER BY i) END AS run FROM {before} GROUP BY {group}, i // 3)"
+    )
+
+
+def merkle(levels: int = 12) -> str:
+    """SQL for the manifest, for sources and source counts of up to 3 ** levels."""
+    ctes = [f"crc AS ({_crc_table()})"]
+    ctes.append(f"d AS (SELECT doc_id, coalesce('s' || source, 'n') AS g, {_leaf('text')} AS leaf, CASE WHEN {_crc('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS changed FROM documents, crc)")
+    ctes.append("l0 AS (SELECT g, CAST(row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS BIGINT) AS i, leaf AS h, count(*) OVER (PARTITION BY g) AS n, doc_id, changed FROM d)")
+    for k in range(levels):
+        ctes.append(_level(f"l{k + 1}", f"l{k}", "g"))
+    ctes.append(f"r0 AS (SELECT 0 AS o, g, CAST(row_number() OVER (ORDER BY g) - 1 AS BIGINT) AS i, h, count(*) OVER () AS n FROM l{levels})")
+    for k in range(levels):
+        ctes.append(_level(f"r{k + 1}", f"r{k}", "o"))
+    walk, joins = "SELECT l0.doc_id, l0.g, l0.h AS leaf, l0.i, '' AS proof, l0.changed AS v FROM l0", []
+    for kind in "lr":
+        for k in range(levels):
+            own, up = f"{kind}{k}", f"{kind}{k + 1}"
+            place = "(w.i % 3)"
+            key = f"{up}.g = w.g AND {up}.i = w.i // 3" if kind == "l" else f"{up}.i = w.i // 3"
+            left, right = f"substring({up}.run, 1, 64 * {place})", f"substring({up}.run, 64 * {place} + 65)"
+            walk = (
+                f"SELECT w.doc_id, w.g, w.leaf, w.i // 3 AS i, w.proof || {left} || {right} AS proof, CASE WHEN {up}.run = '' THEN w.v ELSE sha256({left} || w.v || {right}) END AS v FROM ({walk}) w JOIN {up} ON {key}"
+            )
+        if kind == "l":
+            walk = f"SELECT w.doc_id, w.g, w.leaf, r0.i, w.proof, w.v FROM ({walk}) w JOIN r0 ON r0.g = w.g"
+    ctes.append(f"walk AS ({walk})")
+    return f"WITH {', '.join(ctes)} SELECT walk.doc_id, leaf, l{levels}.h AS subroot, r{levels}.h AS root, sha256(proof) AS proof_sha256, v AS folded_root, v = r{levels}.h AS verified FROM walk JOIN l{levels} ON l{levels}.g = walk.g, r{levels}"
+
+
+OP12 = merkle()
+
+OP11 = rf"""
+WITH crc AS ({_crc_table()}),
+runs AS (SELECT doc_id, translate(w, '{UPPER}', '{LOWER}') AS w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY ALL),
+hashed AS (SELECT w, c, {_crc("doc_id || ':' || w")} AS h FROM runs, crc),
+noisy AS (SELECT CASE WHEN h % 199 = 0 THEN substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word, c FROM hashed),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM noisy WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+place AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v),
+wild AS (SELECT word, substring(word, 1, i - 1) || '*' || substring(word, i + 1) AS k FROM place),
+cut AS (SELECT DISTINCT word, substring(word, 1, i - 1) || substring(word, i + 1) AS k FROM place),
+pair AS (SELECT a.word AS x, b.word AS y FROM wild a JOIN wild b ON a.k = b.k AND a.word != b.word UNION SELECT cut.word, v.word FROM cut JOIN v ON v.word = cut.k UNION SELECT v.word, cut.word FROM cut JOIN v ON v.word = cut.k),
+best AS (SELECT x, count(*) OVER (PARTITION BY x) AS n_near, y, n AS m, row_number() OVER (PARTITION BY x ORDER BY n DESC, encode(y)) AS r FROM pair JOIN v ON v.word = y),
+form AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN y END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN best ON x = v.word AND r = 1),
+step AS (SELECT word AS start, word AS here FROM form),
+{", ".join(f"step{k} AS (SELECT start, coalesce(form, here) AS here FROM {'step' if k == 0 else f'step{k - 1}'} JOIN form ON form.word = here)" for k in range(12))}
+SELECT word, form, here AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM form JOIN step11 ON start = word
+"""

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import op9_mix, oracles
 from .op10_winnow import mark_contaminated
+from .op11_spelling import variants
+from .op12_merkle import manifest
 from .op1_substrings import remove_repeated_substrings
 from .op2_windows import remove_repeated_windows
 from .op3_minhash import near_duplicates
@@ -66,6 +68,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_contaminated(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_window_dedup": op2_window_dedup,
@@ -77,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 #: Trained models, approximate search and tokenizers have no SQL.
@@ -86,4 +98,6 @@ ORACLES: dict[str, str] = {
     "op3_near_duplicates": oracles.OP3,
     "op9_mix_sources": op9_mix.oracle(),
     "op10_decontaminate": oracles.OP10,
+    "op11_spelling_variants": oracles.OP11,
+    "op12_merkle_manifest": oracles.OP12,
 }
