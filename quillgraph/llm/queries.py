@@ -10,6 +10,7 @@ from . import op9_mix, oracles
 from .op10_winnow import mark_contaminated
 from .op11_spelling import variants
 from .op12_merkle import manifest
+from .op13_toxicity import score_toxicity
 from .op1_substrings import remove_repeated_substrings
 from .op2_windows import remove_repeated_windows
 from .op3_minhash import near_duplicates
@@ -76,6 +77,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_window_dedup": op2_window_dedup,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_toxicity": op13_toxicity,
 }
 
 #: Trained models, approximate search and tokenizers have no SQL.

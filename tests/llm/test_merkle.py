@@ -76,7 +76,7 @@ def test_stack_emits_peaks_of_unaligned_edges():
     tree = m.Range(11)
     for i in range(2, 11):
         tree.push(0, i, str(i).encode())
-    assert [s[:2] for s in tree.stack] == [(0, 2), (1, 1), (1, 2), (1, 3)]
+    assert [s[:2] for s in tree.stack] == [(0, 2), (1, 1), (1, 2), (2, 1)]
     whole = m.Range(11)
     for i in range(11):
         whole.push(0, i, str(i).encode())
