@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -49,29 +50,39 @@ def with_retry(call: Callable[[], list[list[float]]], retries: int, delay: float
     raise AssertionError
 
 
+def _embedded(provider: Provider, texts: list[str], retries: int, delay: float) -> list[tuple[list[float] | None, str | None]]:
+    """Vector and error of each text of one document's batch; if the batch fails, each text is tried alone, so a bad one fails itself only."""
+    try:
+        got = with_retry(lambda: provider.embed(texts), retries, delay)
+        if len(got) != len(texts):
+            raise ValueError("the provider returned another number of vectors")
+        return [(v, None) for v in got]
+    except Exception as e:  # the rows say so
+        if len(texts) == 1:
+            return [(None, str(e) or type(e).__name__)]
+    return [row for t in texts for row in _embedded(provider, [t], retries, delay)]
+
+
 def encode(units: DataFrame, provider: Provider, batch: int = 4, retries: int = 2, delay: float = 0.1) -> DataFrame:
-    """units (doc, unit, text, ...) with vector and error; a failed batch fails its own units alone."""
+    """units (doc, unit, text, ...) with vector and error. A batch never spans documents.
+
+    Units are sorted where they lie, so nothing is shuffled; however they lie, each has the same
+    outcome, as a failed batch is taken apart. A null doc is a document, a null text the empty one.
+    """
     names = units.columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            vectors: list = []
-            errors: list = []
-            for i in range(0, len(p), batch):
-                texts = p["text"].iloc[i : i + batch].tolist()
-                try:
-                    got = with_retry(lambda texts=texts: provider.embed(texts), retries, delay)
-                    if len(got) != len(texts):
-                        raise ValueError("the provider returned another number of vectors")
-                    vectors += got
-                    errors += [None] * len(texts)
-                except Exception as e:  # the rows say so
-                    vectors += [None] * len(texts)
-                    errors += [str(e) or type(e).__name__] * len(texts)
-            yield p.assign(vector=vectors, error=errors)[[*names, "vector", "error"]]
+            texts = p["text"].fillna("").tolist()
+            found: list[tuple[list[float] | None, str | None]] = []
+            for _, own in itertools.groupby(range(len(p)), lambda i, docs=p["doc"].tolist(): docs[i]):
+                rows = list(own)
+                for k in range(0, len(rows), batch):
+                    found += _embedded(provider, [texts[i] for i in rows[k : k + batch]], retries, delay)
+            yield p.assign(vector=[v for v, _ in found], error=[e for _, e in found])[[*names, "vector", "error"]]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields)
-    return units.mapInPandas(run, f"{fields}, vector array<double>, error string")
+    return units.sortWithinPartitions("doc", "unit").mapInPandas(run, f"{fields}, vector array<double>, error string")
 
 
 def index(units: DataFrame, stored: DataFrame, live: DataFrame, provider: Provider, normalized: bool = True) -> DataFrame:

@@ -23,6 +23,25 @@ def test_index_reuses_discards_and_isolates_errors(spark):
     assert got["u4"] == ("encode", [1.0, 0.0], None)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+@pytest.mark.parametrize("bad", range(7))
+def test_one_bad_text_fails_alone_however_units_lie(spark, parts, bad):
+    class Flaky:
+        dimensions, seen = 2, []
+
+        def embed(self, texts):
+            if "bad" in texts:
+                raise ValueError("no")
+            assert len({t[0] for t in texts}) == 1, "a batch spans documents"
+            return [[1.0, 0.0] for _ in texts]
+
+    rows = [(d, f"{d}{k}", f"{d}{k}") for d in "pq" for k in range(3)] + [("r", "r0", "r0")]
+    rows[bad] = (*rows[bad][:2], "bad")
+    units = spark.createDataFrame(rows, "doc string, unit string, text string").repartition(parts)
+    got = {r.unit: (r.vector, r.error) for r in indexing.encode(units, Flaky(), delay=0).collect()}
+    assert got == {u: (None, "no") if t == "bad" else ([1.0, 0.0], None) for _, u, t in rows}
+
+
 def test_retry_is_only_for_passing_failures():
     calls = []
 
