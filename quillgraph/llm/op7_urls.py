@@ -66,8 +66,7 @@ def twins(labelled: DataFrame, support: float) -> DataFrame:
     One of them is enough to mine: n such tokens alone would make 2 ** n combinations. Frequent
     tokens number at most the mean tokens of a page / support, so their list is bounded.
     """
-    page = F.concat_ws(" ", F.col("bad").cast("string"), F.array_join("tokens", " "))
-    total = lambda seed: F.sum(F.xxhash64(page, F.lit(seed)).cast("decimal(38,0)"))
+    total = lambda seed: F.sum(F.xxhash64("bad", "tokens", F.lit(seed)).cast("decimal(38,0)"))
     rows = labelled.withColumn("token", F.explode("tokens"))
     where = rows.groupBy("token").agg(F.count("*").alias("n"), total(1).alias("x"), total(2).alias("y")).where(F.col("n") >= support * F.lit(labelled.count()))
     first = where.groupBy("n", "x", "y").agg(F.min("token").alias("first"), F.count("*").alias("c")).where("c > 1")
@@ -77,7 +76,8 @@ def twins(labelled: DataFrame, support: float) -> DataFrame:
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, length: int = LENGTH) -> DataFrame:
     """Rules (rule long, tokens array, same array of arrays, confidence, n) for labelled pages (tokens array, bad boolean).
 
-    Tokens that always stand together count as one, the smallest of them; ``same`` lists each
+    A combination occurs in two labelled pages at least, however few there are. Token sets are
+    compared as sorted arrays, so tokens may hold any character. Tokens that always stand together count as one, the smallest of them; ``same`` lists each
     token of a rule with those that stand for it.
     """
     from pyspark.ml.fpm import FPGrowth
@@ -91,14 +91,14 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     drop = [r["token"] for r in one.select("token").collect()]  # bounded as twins() says
     few = F.array_except("tokens", F.array(*map(F.lit, sorted(drop)))) if drop else F.col("tokens")
     baskets = labelled.select("bad", few.alias("tokens")).select(F.when(F.col("bad"), F.array_append("tokens", F.lit(_BAD))).otherwise(F.col("tokens")).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=max(support, 2 / total), numPartitions=8).fit(baskets).freqItemsets.where(F.size("items") <= length + 1)
-    sets = sets.withColumn("bad", F.array_contains("items", _BAD)).withColumn("key", F.array_join(F.array_sort(F.array_remove("items", _BAD)), " "))
-    both = sets.where("bad and key <> ''").select("key", F.col("freq").alias("hits"))
+    sets = FPGrowth(itemsCol="items", minSupport=max(support, 2 / total), numPartitions=max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))).fit(baskets).freqItemsets.where(F.size("items") <= length + 1)
+    sets = sets.withColumn("bad", F.array_contains("items", _BAD)).withColumn("key", F.array_sort(F.array_remove("items", _BAD)))
+    both = sets.where("bad and size(key) > 0").select("key", F.col("freq").alias("hits"))
     rules = both.join(sets.where("not bad").select("key", F.col("freq").alias("n")), "key").withColumn("confidence", F.col("hits") / F.col("n")).where(F.col("confidence") >= confidence)
-    rules = rules.select("key", "n", "confidence", F.split("key", " ").alias("tokens"))
+    rules = rules.select("key", "n", "confidence", F.col("key").alias("tokens"))
     # A rule goes if a rule on fewer of its tokens is as confident: its subsets of one token less say so step by step.
     part = rules.where(F.size("tokens") > 1).select("key", "confidence", F.explode("tokens").alias("drop"), "tokens")
-    part = part.select("key", "confidence", F.array_join(F.array_remove("tokens", F.col("drop")), " ").alias("sub"))
+    part = part.select("key", "confidence", F.array_remove("tokens", F.col("drop")).alias("sub"))
     dull = part.join(rules.select(F.col("key").alias("sub"), F.col("confidence").alias("c")), "sub").where("c >= confidence").select("key").distinct()
     kept = rules.join(dull, "key", "left_anti").select(F.xxhash64("key").alias("rule"), "tokens", "confidence", "n")
     lists = one.groupBy(F.col("first").alias("token")).agg(F.array_prepend(F.array_sort(F.collect_list("token")), F.col("first")).alias("own"))
@@ -108,13 +108,13 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(set) of the different token sets (tokens) that meet some rule, by the inverted index from tokens, and their twins, to rules.
+    """(tokens) of the different token sets that meet some rule, by the inverted index from tokens, and their twins, to rules.
 
-    set: the tokens joined by spaces. Token sets repeat a great deal, so each is matched once.
+    sets: tokens, in one order for equal sets. They repeat a great deal, so each is matched once.
     """
     index = rules.select("rule", F.size("tokens").alias("need"), F.posexplode("same").alias("place", "any")).select("rule", "need", "place", F.explode("any").alias("token"))
-    held = sets.distinct().select(F.array_join("tokens", " ").alias("set"), F.explode("tokens").alias("token"))
-    return held.join(index, "token").groupBy("set", "rule", "need").agg(F.count_distinct("place").alias("have")).where("have = need").select("set").distinct()
+    held = sets.distinct().select("tokens", F.explode("tokens").alias("token"))
+    return held.join(index, "token").groupBy("tokens", "rule", "need").agg(F.count_distinct("place").alias("have")).where("have = need").select("tokens").distinct()
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -124,14 +124,14 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = R
     it has quality 0 or toxic 1. The longest fixed rule that fits decides; else a page is blocked
     if it meets a mined rule. A null url, or one without ``://``, has an empty host and path and
     is allowed. Pages without labels, and labels without pages, train nothing; repeated rows get
-    equal results; other columns are ignored.
+    equal results; other columns are ignored. Paths may hold spaces, tabs and any other character.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    parsed = parsed.withColumn("tokens", tokens_of(F.col("host"), F.col("path")))
+    parsed = parsed.withColumn("tokens", F.array_sort(tokens_of(F.col("host"), F.col("path"))))
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.coalesce(F.max((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)), F.lit(False)).alias("bad"))
     labelled = parsed.where(F.size("tokens") > 0).join(marks, "page_id").select("tokens", "bad")
     mined = mine(labelled, support, confidence)
     met = match(parsed.select("tokens"), mined).withColumn("met", F.lit(True))
     name, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
-    joined = parsed.withColumn("set", F.array_join("tokens", " ")).join(met, "set", "left")
+    joined = parsed.join(met, "tokens", "left")
     return joined.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("met"), "block").otherwise("allow")).alias("verdict"))

@@ -1,4 +1,8 @@
+import itertools
+import math
+import random
 import re
+from collections import Counter
 
 from quillgraph.llm import op7_urls as op7
 
@@ -45,3 +49,41 @@ def test_a_long_shared_path_is_one_token(spark):
     labels = spark.createDataFrame([(i, int(i >= 60), 0) for i in range(260)], "doc_id long, quality int, toxic int")
     got = {r.page_id: r.verdict for r in op7.filter_urls(pages, labels).collect()}
     assert {i for i, v in got.items() if v == "block"} == {*range(60), 260}
+
+
+def tokens(url):
+    host, path, _, _ = brute(url)
+    out = {f"h:{x}" for x in re.split("[.:]", host) if x} | {f"w:{x}" for x in re.split("[^a-z0-9]+", host) if len(x) > 2}
+    return frozenset(out | {f"p:{x}" for x in re.split("[/._-]+", path.lower()) if x and not re.fullmatch("[0-9]+", x)})
+
+
+def test_a_folder_with_a_space(spark):
+    urls = [f"http://a.net/{'bad area' if i % 2 else 'ok area'}/x{i}" for i in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in op7.filter_urls(pages, labels).collect()}
+    assert all(got[i] == ("block" if i % 2 else "allow") for i in range(400))
+
+
+def test_mining_and_matching_against_brute_force(spark):
+    """Segments with spaces, tabs, the tokens' own prefixes and separators of other kinds."""
+    rng = random.Random(8)
+    parts = ["a b", "a", "b", "a\tb", "p:a", "w:a", "h:net", "=bad", "\u0000", "a\u0000b", "é é", "x,y", "1 2", "12"]
+    hosts = ["one.net", "two.net", "three.one.net"]
+    urls = [f"http://{rng.choice(hosts)}/" + "/".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) for _ in range(400)]
+    bad = [("/a b" in u and "two" in u) or "\u0000" in u or rng.random() < 0.1 for u in urls]
+    labelled = range(250)
+    support, confidence = 0.02, 0.7
+    least, n, hits = math.ceil(support * len(labelled)), Counter(), Counter()
+    for i in labelled:
+        for size in range(1, op7.LENGTH + 1):
+            for combo in itertools.combinations(sorted(tokens(urls[i])), size):
+                n[combo] += 1
+                hits[combo] += bad[i]
+    rules = [set(c) for c, k in hits.items() if k >= least and k / n[c] >= confidence]
+    assert len(rules) > 5
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    labels = spark.createDataFrame([(i, int(not bad[i]), 0) for i in labelled], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in op7.filter_urls(pages, labels, support=support, confidence=confidence).collect()}
+    for i, u in enumerate(urls):
+        assert got[i] == (brute(u)[3] or ("block" if any(r <= tokens(u) for r in rules) else "allow")), u
