@@ -8,7 +8,9 @@ edges are added and pruned alike. Every query then runs a beam search in each sh
 the best of all shards are ranked by the exact inner product in double precision.
 
 Inner products become distances by one more coordinate, which brings all vectors of a
-shard to one length. Searches of a batch advance together, vectorised.
+shard to one length. That coordinate misleads a search where lengths differ much, so shards
+hold a band of lengths each, and are cut further by a hash of the id. Searches of a batch
+advance together, vectorised.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from . import shared
 DEGREE, BUILD_BEAM, BEAM, ALPHA = 32, 48, 160, 1.2
 #: Vectors of a shard, and queries sent to all shards at once.
 SHARD, QUERIES = 8_000, 20_000
+#: Longest by shortest vector of a band; bands at most, the last of which holds all shorter vectors.
+BAND, BANDS = 1.1, 96
 
 
 def _distances(x: np.ndarray, nodes: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -174,7 +178,10 @@ def _search(sent, k: int, beam: int):
             found, _ = beam_search(search, edges, start, probe, max(beam, k + 1))
             for i, own in zip(part.tolist(), found, strict=True):
                 own = own[own >= 0]
-                own = own[np.argsort(-(nodes[own] @ np.asarray(q[i], dtype=float)), kind="stable")][: k + 1]
+                near = nodes[own] @ np.asarray(q[i], dtype=float)
+                if len(own) > k + 1:  # every node as near as the last one stays, as ids decide between these
+                    cut = np.partition(near, len(near) - k - 1)[len(near) - k - 1]
+                    own = own[near >= cut - 1e-9 * abs(cut)]
                 rows = np.concatenate([by[heads[x] : min(heads[x] + k + 1, tails[x])] for x in own])
                 score = np.array([_dot(v[r], q[i]) for r in rows])
                 keep = ids[rows] != query_ids[i]
@@ -214,13 +221,19 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = BEAM,
     fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null").where(fine)
     rows = rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("size", F.size("v")).checkpoint()
-    total = rows.count()
-    shards = max(1, -(-total // shard))
     asked = rows.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-asked.count() // QUERIES))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(shards)))
+    largest = F.array_max(F.transform("v", F.abs))
+    length = largest * F.sqrt(F.aggregate(F.transform("v", lambda x: (x / largest) * (x / largest)), F.lit(0.0), lambda a, x: a + x))
+    longest = rows.agg(F.max(length)).first()[0] or 1.0
+    band = F.least(F.lit(float(BANDS)), F.floor(F.log(F.lit(longest) / length) / np.log(BAND))).cast("int")
+    banded = rows.withColumn("band", band)
+    parts = banded.groupBy("band", "size").agg(F.ceil(F.count("*") / shard).alias("parts")).checkpoint()
+    shards = int(parts.agg(F.sum("parts")).first()[0] or 1)
+    dealt = banded.join(parts, ["band", "size"]).withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(17)), F.col("parts"))).drop("parts")
     # Built once; every block of queries searches the stored graphs.
-    graphs, _ = shared.written(shared.spread(dealt, "shard", shards).groupBy("shard", "size").applyInArrow(_build, _GRAPH), "graphs")
+    built = (dealt.repartition(shards, "band", "size", "shard") if shards > int(spark.conf.get("spark.sql.shuffle.partitions")) else dealt).groupBy("band", "size", "shard").applyInArrow(_build, _GRAPH)
+    graphs, folder = shared.written(built, "graphs")
     found = None
     for b in range(blocks):  # a stated query set, in blocks of bounded size
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
@@ -228,5 +241,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = BEAM,
         got = graphs.repartition(shards).mapInArrow(_search(sent, k, beam), "query_id long, vec_id long, score double").checkpoint()
         sent.unpersist()
         found = got if found is None else found.unionByName(got)
+    shared.remove(spark, folder)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
