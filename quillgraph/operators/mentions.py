@@ -1,19 +1,32 @@
-"""Natural mentions: leftmost-longest dictionary matches in text, and the token fast path."""
+"""Natural mentions: leftmost-longest dictionary matches in text, and the token fast path.
+
+A name touches no letter, number or ``_`` beyond a side of its own that is Latin, so it consists
+of whole units of the text: maximal runs of such characters, and every other character alone.
+``dictionary_mentions`` therefore finds names by equality: every run of as many units as some name
+has is a key, the keys that a bit set of bounded size cannot rule out join the names, and a fold
+over each span keeps the leftmost longest ones. No task holds the dictionary.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hashes import Spans, bit_set, may_hold
 from ..functions.text import WORD, name_key, nfc
 from .entities import resolutions
 
-#: Names sent to all tasks at most; a larger dictionary is matched by token_mentions alone.
-NAMES = 1_000_000
+#: The bit set of names: bits for each name, and its size in powers of two at least and at most (8 MB).
+BITS_EACH, BITS = 16, (16, 26)
+#: Parts of a frequent name's places, each joined by a task of its own.
+SALTS = 8
+#: Characters that a task looks at together.
+BLOCK = 1 << 20
 
 
 def fold(char: str) -> str:
@@ -81,24 +94,146 @@ class Matcher:
         return out
 
 
-def dictionary_mentions(spans: DataFrame, entities: DataFrame, most: int = NAMES) -> DataFrame:
-    """The mentions in text spans (doc, section, block, start, text): doc, section, block, start, end, name, status, candidates, target, decorate.
+class _Folds(dict):
+    def __missing__(self, code: int) -> str:
+        f = fold(chr(code))
+        self[code] = f if len(f) == 1 else chr(code)
+        return self[code]
 
-    The dictionary is broadcast after its size was checked.
-    """
-    found = resolutions(entities).where("status <> 'suppressed'")
-    names = [r["name_key"] for r in found.select("name_key").limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError("too many names for a broadcast matcher; use token_mentions")
-    sent = spans.sparkSession.sparkContext.broadcast(names)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(sent.value)
+_FOLDS = _Folds()
+_WORDLIKE: list[np.ndarray] = []
+
+
+def folded(text: str) -> str:
+    """The text with each character folded, so places stay."""
+    return text.lower() if text.isascii() else text.translate(_FOLDS)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _wordlike(codes: np.ndarray) -> np.ndarray:
+    if not _WORDLIKE:
+        import regex
+
+        every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+        table = np.zeros(0x110000, dtype=bool)
+        table[_codes("".join(regex.findall(r"[\p{Script=Latin}\p{N}_]", every)))] = True
+        _WORDLIKE.append(table)
+    return _WORDLIKE[0][codes]
+
+
+def unit_starts(codes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Where units begin: at every head of a text, and at characters that do not continue a run."""
+    word = _wordlike(codes)
+    begins = np.ones(len(codes), dtype=bool)
+    begins[1:] = ~(word[1:] & word[:-1])
+    begins[heads[heads < len(codes)]] = True
+    return np.flatnonzero(begins)
+
+
+def _keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """key, units, h of names."""
+    for p in parts:
+        out = []
+        for n in p["name_key"]:
+            if n:
+                key = folded(n)
+                codes = _codes(key)
+                h = Spans(codes).of(np.zeros(1, np.int64), np.array([len(codes)]))
+                out.append((key, len(unit_starts(codes, np.zeros(1, np.int64))), int(h.view(np.int64)[0])))
+        yield pd.DataFrame(out, columns=["key", "units", "h"])
+
+
+def _grams(sent, lengths: list[int]):
+    def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            out = [(d, s, k, i + a, i + b, t) for d, s, k, i, x in zip(p["doc"], p["section"], p["block"], p["start"], p["text"], strict=True) for a, b, t in matcher.matches(x or "")]
-            yield pd.DataFrame(out, columns=["doc", "section", "block", "start", "end", "name"])
+            size = p["text"].str.len().fillna(0).cumsum().to_numpy()
+            at = 0
+            while at < len(p):
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK, "right")))
+                yield p.iloc[at:to]
+                at = to
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Places of the runs of units that may be names: the span's columns, at, to, key, name."""
+        known = sent.value if sent is not None else None
+        for p in blocks(parts):
+            texts = p["text"].fillna("").tolist()
+            whole = "".join(texts)
+            low = "".join(map(folded, texts))
+            offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+            codes = _codes(low)
+            starts = unit_starts(codes, offsets)
+            ends = np.append(starts[1:], len(codes))
+            row = np.searchsorted(offsets, starts, "right") - 1
+            spans, found = Spans(codes), []
+            for n in lengths:
+                if n <= len(starts):
+                    a, z, r = starts[: len(starts) - n + 1], ends[n - 1 :], row[: len(starts) - n + 1]
+                    keep = r == row[n - 1 :]
+                    if known is not None:
+                        keep[keep] = may_hold(known, spans.of(a[keep], z[keep]))
+                    found.append((a[keep], z[keep], r[keep]))
+            if not found:
+                continue
+            a, z, r = (np.concatenate(c) for c in zip(*found, strict=True))
+            cut = [(low[i:j], whole[i:j]) for i, j in zip(a.tolist(), z.tolist(), strict=True)]
+            own = p.iloc[r][["doc", "section", "block", "start"]].reset_index(drop=True)
+            yield own.assign(at=a - offsets[r], to=z - offsets[r], key=[k for k, _ in cut], name=[n for _, n in cut])
+
+    return run
+
+
+def _thin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The leftmost longest of each span's intervals, which come sorted by place and falling end."""
+    span, free = None, 0
+    for p in parts:
+        keep = []
+        for i, (*own, at, to) in enumerate(zip(p["doc"], p["section"], p["block"], p["start"], p["at"], p["to"], strict=True)):
+            if own != span:
+                span, free = own, 0
+            if at >= free:
+                keep.append(i)
+                free = to
+        got = p.iloc[keep]
+        yield pd.DataFrame({"doc": got["doc"], "section": got["section"], "block": got["block"], "start": got["start"] + got["at"], "end": got["start"] + got["to"], "name": got["name"]})
+
 
-    hits = spans.select("doc", "section", "block", "start", "text").mapInPandas(run, "doc string, section string, block string, start long, end long, name string")
+def intervals(spans: DataFrame, names: DataFrame, filtered: bool = True, salts: int = SALTS) -> DataFrame:
+    """doc, section, block, start, end, name: the leftmost longest of the names (name_key) in each span.
+
+    A bit set of at most 8 MB, whatever the number of names, spares the shuffle what is no name;
+    without it (``filtered`` false) every run of units travels, and the result is the same.
+    Places of a name are dealt to ``salts`` tasks.
+    """
+    spark = spans.sparkSession
+    keyed = names.select("name_key").mapInPandas(_keys, "key string, units int, h long").dropDuplicates(["key"])
+    sizes = {r["units"]: r["n"] for r in keyed.groupBy("units").agg(F.count("*").alias("n")).collect()}
+    sent = None
+    if filtered and sizes:
+        bits = min(max((sum(sizes.values()) * BITS_EACH - 1).bit_length(), BITS[0]), BITS[1])
+        sent = spark.sparkContext.broadcast(bit_set(keyed, bits))
+    fields = "doc string, section string, block string, start long"
+    text = spans.select("doc", F.col("section").cast("string").alias("section"), "block", F.col("start").cast("long").alias("start"), "text")
+    grams = text.mapInPandas(_grams(sent, sorted(sizes)), f"{fields}, at long, to long, key string, name string")
+    salted = grams.withColumn("salt", F.pmod(F.xxhash64("doc", "start", "at"), F.lit(salts)).cast("int"))
+    each = keyed.select("key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    found = salted.join(each, ["key", "salt"], "left_semi").drop("salt", "key")
+    span = ["doc", "section", "block", "start"]
+    return found.repartition(*span).sortWithinPartitions(*span, "at", F.desc("to")).mapInPandas(_thin, "doc string, section string, block string, start long, end long, name string")
+
+
+def dictionary_mentions(spans: DataFrame, entities: DataFrame, filtered: bool = True) -> DataFrame:
+    """The mentions in text spans (doc, section, block, start, text): doc, section, block, start, end, name, status, candidates, target, decorate.
+
+    Any number of names, of any number of words. Spans are told apart by their first four columns;
+    a null text is an empty one.
+    """
+    found = resolutions(entities).where("status <> 'suppressed'")
+    hits = intervals(spans, found, filtered)
     joined = hits.withColumn("name_key", name_key(F.col("name"))).join(found, "name_key")
     return with_decoration(joined.drop("name_key"))
 

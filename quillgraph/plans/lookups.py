@@ -14,27 +14,45 @@ from .queries import _KEPT, _MD, RULES, _centered, _links, _md_notes, _mentions,
 _FIRST = r"'^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+(?: [\p{L}\p{N}_]+){%d})', 1"
 
 
-@query(
-    sql(
-        "notes",
-        then=rf""", named AS (SELECT doc, regexp_extract(lower(markdown), {_FIRST % 2}) AS name FROM notes UNION SELECT doc, regexp_extract(lower(markdown), {_FIRST % 1}) FROM notes UNION SELECT doc, 'n' || CAST(doc_id AS VARCHAR) FROM notes),
+#: DuckDB: names of three words, of two as aliases, and of links; and where they stand in the notes' lines, the longest at the leftmost place.
+_NAMED = rf"""named AS (SELECT doc, regexp_extract(lower(markdown), {_FIRST % 2}) AS name FROM notes UNION SELECT doc, regexp_extract(lower(markdown), {_FIRST % 1}) FROM notes UNION SELECT doc, 'n' || CAST(doc_id AS VARCHAR) FROM notes),
 known AS (SELECT name AS name_key, count(*) AS candidates, min(doc) AS target FROM named WHERE length(name) >= 2 GROUP BY name),
-marked AS (SELECT string_agg(regexp_replace(name_key, '([\p{{L}}\p{{N}}_]+)', '<\1>', 'g'), '|' ORDER BY length(name_key) DESC, name_key) AS pattern FROM known),
-hits AS (SELECT doc AS source, unnest(regexp_extract_all(regexp_replace(regexp_replace(lower(markdown), '[<>]', '=', 'g'), '([\p{{L}}\p{{N}}_]+)', '<\1>', 'g'), pattern)) AS hit FROM notes, marked)
-SELECT source, name_key, CASE WHEN candidates = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN candidates = 1 THEN target END AS target, count(*) AS hits FROM (SELECT source, replace(replace(hit, '<', ''), '>', '') AS name_key FROM hits) JOIN known USING (name_key) GROUP BY ALL""",
-    )
-)
+marked AS (SELECT string_agg(regexp_replace(name_key, '([\p{{L}}\p{{N}}_]+)', '<\1>', 'g'), '|' ORDER BY length(name_key) DESC, name_key) AS pattern FROM known)"""
+_HITS = r"""found AS (SELECT doc AS source, regexp_extract_all(regexp_replace(regexp_replace(lower(markdown), '[<>]', '=', 'g'), '([\p{L}\p{N}_]+)', '<\1>', 'g'), pattern || '|' || chr(10)) AS h FROM notes, marked),
+hits AS (SELECT source, count(*) FILTER (WHERE hit = chr(10)) OVER (PARTITION BY source ORDER BY k) AS section, hit FROM (SELECT source, unnest(h) AS hit, unnest(range(len(h))) AS k FROM found)),
+pm AS (SELECT source, section, name_key, candidates, CASE WHEN candidates = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN candidates = 1 THEN target END AS target FROM (SELECT source, section, replace(replace(hit, '<', ''), '>', '') AS name_key FROM hits) JOIN known USING (name_key))"""
+
+
+def _phrases(notes):
+    """Names of three words and of links, and aliases of two words."""
+    first = lambda more: F.regexp_extract(F.lower("markdown"), rf"^[^\p{{L}}\p{{N}}_]*([\p{{L}}\p{{N}}_]+(?: [\p{{L}}\p{{N}}_]+){{{more}}})", 1)
+    names = corpora.link_names(notes).unionByName(notes.select("doc", first(2).alias("name"), F.lit("filename").alias("source")).where("name <> ''"))
+    aliases = notes.select("doc", first(1).alias("name"), F.lit(None).cast("string").alias("section"), F.lit(False).alias("allow_short")).where("name <> ''")
+    return entities.dictionary(names, aliases)
+
+
+@query(sql("notes", then=f", {_NAMED}, {_HITS} SELECT source, name_key, status, target, count(*) AS hits FROM pm GROUP BY ALL"))
 def phrase_mentions(spark, d):
     """Names of three and of two words, the longest at the leftmost place: how often each note holds each."""
     n = corpora.notes(spark, d)
-    first = lambda more: F.regexp_extract(F.lower("markdown"), rf"^[^\p{{L}}\p{{N}}_]*([\p{{L}}\p{{N}}_]+(?: [\p{{L}}\p{{N}}_]+){{{more}}})", 1)
-    names = corpora.link_names(n).unionByName(n.select("doc", first(2).alias("name"), F.lit("filename").alias("source")).where("name <> ''"))
-    aliases = n.select("doc", first(1).alias("name"), F.lit(None).cast("string").alias("section"), F.lit(False).alias("allow_short")).where("name <> ''")
     spans = n.select("doc", F.lit("root").alias("section"), F.col("doc").alias("block"), F.lit(0).alias("start"), F.col("markdown").alias("text"))
-    met = mentions.dictionary_mentions(spans, entities.dictionary(names, aliases))
+    met = mentions.dictionary_mentions(spans, _phrases(n))
     return met.groupBy(F.col("doc").alias("source"), entities.name_key(F.col("name")).alias("name_key"), "status", "target").agg(F.count("*").alias("hits"))
 
 
+_AGAIN = lambda name: corpora.SQL[name].replace("FROM mentions", "FROM pm").replace("evidence", "evidence2").replace("cands", "cands2").replace("rels AS", "rels2 AS")
+
+
+@query(sql("notes", "links", then=f", {_NAMED}, {_HITS}, {_AGAIN('evidence')}, {_AGAIN('cands')}, {_AGAIN('rels')} SELECT node_a, node_b, sections, mentions, links, mention, explicit, score FROM rels2"))
+def phrase_relations(spark, d):
+    """The relations that names of several words and aliases make, with the explicit links."""
+    n = corpora.notes(spark, d)
+    spans = corpora.note_lines(n).select("doc", F.col("section").cast("string").alias("section"), F.concat_ws("/", "doc", F.col("section").cast("string")).alias("block"), F.lit(0).alias("start"), "text")
+    met = mentions.dictionary_mentions(spans, _phrases(n)).select(F.lit("mention").alias("kind"), F.col("doc").alias("source"), "section", "status", "target")
+    links = _links(n).select(F.lit("explicit").alias("kind"), "source", F.lit("links").alias("section"), "status", "target")
+    return relations.score(relations.candidates(met.unionByName(links))).select("node_a", "node_b", "sections", "mentions", "links", "mention", "explicit", "score")
+
+
 @query(sql("notes", then="SELECT 'a' || CAST(doc_id // 2 AS VARCHAR) AS name_key, CASE WHEN count(DISTINCT doc) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CAST(count(DISTINCT doc) AS BIGINT) AS candidates, CASE WHEN count(DISTINCT doc) = 1 THEN min(doc) END AS target FROM notes WHERE doc_id % 3 <> 0 GROUP BY 1"))
 def aliases_resolved(spark, d):
     """Aliases that two documents share; those of documents that are gone do not count."""

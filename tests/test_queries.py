@@ -14,7 +14,7 @@ from quillgraph.plans import registry
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = __spark_entry__.DATA
-HELD = ("names_dictionary", "mentions_decorate", "relation_scores", "visible_relations", "boundary_decisions", "search_text_bm25", "ingest_classify", "eval_calibration", "session_idle_windows", "sections_tree", "phrase_mentions", "deepest_section", "semantic_pool_topmean", "overrides_merged", "beyond_scope", "embedding_index")
+HELD = ("names_dictionary", "mentions_decorate", "relation_scores", "visible_relations", "boundary_decisions", "search_text_bm25", "ingest_classify", "eval_calibration", "session_idle_windows", "sections_tree", "phrase_mentions", "phrase_relations", "deepest_section", "semantic_pool_topmean", "overrides_merged", "beyond_scope", "embedding_index")
 needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
