@@ -220,19 +220,21 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = BEAM,
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null").where(fine)
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("size", F.size("v")).checkpoint()
-    asked = rows.where(F.col("vec_id") % every == 0)
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("size", F.size("v"))
+    large = rows.withColumn("large", F.array_max(F.transform("v", F.abs)))
+    sized = large.withColumn("length", F.col("large") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("large")) * (x / F.col("large"))))).drop("large").checkpoint()
+    asked = sized.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-asked.count() // QUERIES))
-    largest = F.array_max(F.transform("v", F.abs))
-    length = largest * F.sqrt(F.aggregate(F.transform("v", lambda x: (x / largest) * (x / largest)), F.lit(0.0), lambda a, x: a + x))
-    longest = rows.agg(F.max(length)).first()[0] or 1.0
-    band = F.least(F.lit(float(BANDS)), F.floor(F.log(F.lit(longest) / length) / np.log(BAND))).cast("int")
-    banded = rows.withColumn("band", band)
+    longest = sized.agg(F.max("length")).first()[0] or 1.0
+    band = F.least(F.lit(float(BANDS)), F.floor(F.log(F.lit(longest) / F.col("length")) / np.log(BAND))).cast("int")
+    banded = sized.withColumn("band", band).drop("length")
     parts = banded.groupBy("band", "size").agg(F.ceil(F.count("*") / shard).alias("parts")).checkpoint()
     shards = int(parts.agg(F.sum("parts")).first()[0] or 1)
     dealt = banded.join(parts, ["band", "size"]).withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(17)), F.col("parts"))).drop("parts")
     # Built once; every block of queries searches the stored graphs.
-    built = (dealt.repartition(shards, "band", "size", "shard") if shards > int(spark.conf.get("spark.sql.shuffle.partitions")) else dealt).groupBy("band", "size", "shard").applyInArrow(_build, _GRAPH)
+    # Dealt to a fixed number of tasks: a shard is small beside the work on it, so they must not be put together.
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    built = dealt.repartition(max(shards, least), "band", "size", "shard").groupBy("band", "size", "shard").applyInArrow(_build, _GRAPH)
     graphs, folder = shared.written(built, "graphs")
     found = None
     for b in range(blocks):  # a stated query set, in blocks of bounded size
