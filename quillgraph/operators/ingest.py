@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -96,22 +97,23 @@ class Store:
     def generation(self) -> int:
         return self._pointer()["generation"]
 
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self._pointer()["tables"][table])
+    def read(self, table: str, schema: str | None = None) -> DataFrame:
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(self._pointer()["tables"][table])
 
     def tables(self) -> list[str]:
         return sorted(self._pointer()["tables"])
 
-    def commit(self, tables: dict[str, DataFrame], expected: int) -> int:
-        """Write the given tables as the next generation; the others are carried forward without a copy."""
+    def commit(self, tables: dict[str, DataFrame], expected: int, by: dict[str, list[str]] | None = None, drop: Iterable[str] = ()) -> int:
+        """Write the given tables as the next generation, in folders by the columns named; the others are carried forward without a copy, but for dropped ones."""
         now = self._pointer()
         if now["generation"] != expected:
             raise Conflict(f"generation {now['generation']} is published, not {expected}")
-        paths = dict(now["tables"])
+        paths = {k: v for k, v in now["tables"].items() if k not in set(drop)}
         folder = f"{self.root}/generation={expected + 1}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             paths[name] = f"{folder}/{name}"
-            df.write.parquet(paths[name])
+            df.write.parquet(paths[name], partitionBy=(by or {}).get(name))
         fresh = self._path(f"{folder}/pointer.json")
         out = self._fs.create(fresh, True)
         out.write(bytearray(json.dumps({"generation": expected + 1, "tables": paths}).encode()))

@@ -1,4 +1,4 @@
-"""Full-text search: postings with BM25, literal, exact and browser modes."""
+"""Full-text search by scans: BM25, literal, exact and browser modes; ``postings`` has the stored index."""
 
 from __future__ import annotations
 
@@ -19,19 +19,15 @@ def check_query(query: str, limit: int) -> None:
         raise ValueError("limit must be from 1 to 1000")
 
 
+def without_marks(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+
+
 def search_terms(query: str) -> list[str]:
     """The different words of a query, lower case and without marks."""
     import regex
 
-    plain = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
-    return sorted(set(regex.findall(WORD, plain)))
-
-
-def postings(documents: DataFrame) -> DataFrame:
-    """(term, doc, field, tf) of documents (doc, title, body)."""
-    fields = F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("body").alias("field"), F.col("body").alias("text"))))
-    words = documents.select("doc", fields.alias("f")).select("doc", "f.field", F.explode(F.regexp_extract_all(fold_marks(F.col("f.text")), F.lit(WORD), F.lit(0))).alias("term"))
-    return words.groupBy("term", "doc", "field").agg(F.count("*").alias("tf"))
+    return sorted(set(regex.findall(WORD, without_marks(query))))
 
 
 def search_text(documents: DataFrame, query: str, limit: int = 20) -> DataFrame:
