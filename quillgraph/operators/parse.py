@@ -1,12 +1,13 @@
 """Markdown notes to sections, text spans, links and media, with exact offsets.
 
-A scanner for the subset that matters here: YAML frontmatter, ATX and setext headings, fenced
-and indented code, inline code, links, images, autolinks, HTML, WikiLinks, embeds and bare
-addresses. Offsets are characters of the source; functions.text.utf16_length converts.
+``blocks`` gives the leaves of a note's nested blocks; within these inline code, links, images,
+autolinks, HTML, footnote marks, WikiLinks, embeds and bare addresses are told from text. Offsets
+are characters of the source; functions.text.utf16_length converts.
 """
 
 from __future__ import annotations
 
+import html
 import json
 import re
 import unicodedata
@@ -18,20 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import blocks
+
 VERSION = "1"
 
-_FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
-_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-_SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
-_DEFINITION = re.compile(r" {0,3}\[([^\]]+)\]:[ \t]*(\S+)")
-_BREAK = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
-_ITEM = re.compile(r"[ \t]{0,3}(?:[-*+]|\d{1,9}[.)]|>)[ \t]+")
 _CODE = re.compile(r"(`+)(?!`)(?:(?!\1(?!`)).|\n)*?(?<!`)\1(?!`)", re.S)
 _WIKI = re.compile(r"(!?)\[\[([^\[\]\n|]+)(?:\|([^\[\]\n]*))?\]\]")
 _IMAGE = re.compile(r"!\[([^\]]*)\](?:\(\s*<?([^\s)>]*)>?(?:\s+[\"'(][^)]*[\"')])?\s*\)|\[([^\]]*)\])")
 _LINK = re.compile(r"\[(?:[^\[\]\n]|\[[^\[\]]*\])*\](?:\([^()\n]*(?:\([^()]*\)[^()\n]*)*\)|\[[^\]\n]*\])")
 _AUTO = re.compile(r"<[A-Za-z][A-Za-z0-9+.-]*:[^\s<>]*>|<[^\s<>@]+@[^\s<>]+>")
 _HTML = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
+_NOTE = re.compile(r"\[\^[^\]\s]+\]")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>]+", re.I)
 
 
@@ -94,62 +92,8 @@ def parse(doc: str, path: str, text: str) -> Parsed:
     at = 1 if text.startswith("﻿") else 0
     title, at = _frontmatter(text, at, out)
     out.content_start = at
-    blocks: list[tuple[str, int, int, int]] = []  # kind, start, end, depth
-    heads: list[tuple[int, int, str]] = []
-    definitions: dict[str, str] = {}
-    fence, open_, blank = None, None, True
-
-    def close(end: int) -> None:
-        nonlocal open_
-        if open_ is not None:
-            blocks.append(("paragraph", open_, end, 0))
-        open_ = None
-
-    place = at
-    for line in text[at:].splitlines(keepends=True):
-        start, place = place, place + len(line)
-        bare = line.rstrip("\r\n")
-        if fence:
-            if re.fullmatch(rf" {{0,3}}{re.escape(fence[0])}{{{len(fence)},}}[ \t]*", bare):
-                fence = None
-            continue
-        if m := _FENCE.match(bare):
-            close(start)
-            fence = m[1]
-        elif not bare.strip():
-            close(start)
-            blank = True
-            continue
-        elif open_ is None and blank and re.match(r"(?: {4}|\t)", bare):
-            continue  # indented code
-        elif m := _ATX.match(bare):
-            close(start)
-            name = (m[2] or "").strip()
-            inner = start + bare.find(name, m.end(1)) if name else start + len(bare)
-            heads.append((start, len(m[1]), name))
-            blocks.append(("heading", inner, inner + len(name), len(m[1])))
-        elif open_ is not None and (m := _SETEXT.match(bare)):
-            name = text[open_:start].strip()
-            heads.append((open_, 1 if m[1][0] == "=" else 2, name))
-            blocks.append(("heading", open_, start, 1))
-            open_ = None
-        elif _BREAK.match(bare):
-            close(start)
-        elif open_ is None and (m := _DEFINITION.match(bare)):
-            definitions[m[1].strip().lower()] = m[2]
-        elif bare.lstrip().startswith("|"):
-            close(start)
-            for cell in re.finditer(r"(?:\\.|[^|\\])+", bare):
-                if cell[0].strip() and not re.fullmatch(r"[\s:-]+", cell[0]):
-                    blocks.append(("cell", start + cell.start(), start + cell.end(), 0))
-        else:
-            if m := _ITEM.match(bare):
-                close(start)
-                open_ = start + m.end()
-            elif open_ is None:
-                open_ = start
-        blank = False
-    close(place)
+    leaves, definitions = blocks.scan(text, at)
+    heads = [(b.start, b.depth, b.text(text)) for b in leaves if b.kind == "heading"]
 
     out.sections.append({"section": f"{doc}:root", "title": "", "path": [], "depth": 0, "start": 0, "end": len(text)})
     stack: list[tuple[int, str]] = []
@@ -158,7 +102,8 @@ def parse(doc: str, path: str, text: str) -> Parsed:
         while stack and stack[-1][0] >= depth:
             stack.pop()
         plain = _LINK.sub(lambda m: m[0][1 : m[0].index("]")], _WIKI.sub(lambda m: m[3] or m[2], name))
-        plain = re.sub(r"[*_`]+", "", plain).strip()
+        plain = re.sub(r"\\([!-/:-@\[-`{-~])|[*_`]+", lambda m: m[1] or "", plain)
+        plain = " ".join(html.unescape(re.sub(r"&(?![A-Za-z0-9#]+;)", "&amp;", plain)).split())
         stack.append((depth, plain))
         key = json.dumps([unicodedata.normalize("NFC", t) for _, t in stack], ensure_ascii=False, separators=(",", ":"))
         number = seen.get(key, 0)
@@ -181,30 +126,30 @@ def parse(doc: str, path: str, text: str) -> Parsed:
 
         return out.sections[bisect.bisect_right(starts, offset) - 1]["section"]
 
-    for _, start, end, _ in blocks:
-        piece, block = text[start:end], f"{doc}:block:{start}"
+    for leaf in leaves:
+        piece, block, place = leaf.text(text), f"{doc}:block:{leaf.start}", leaf.places()
         holes = [m.span() for m in _CODE.finditer(piece)]
         inside = lambda a: any(x <= a < y for x, y in holes)  # noqa: E731, B023
-        for pattern in (_WIKI, _IMAGE, _LINK, _AUTO, _HTML, _URL):
+        for pattern in (_WIKI, _IMAGE, _LINK, _AUTO, _HTML, _NOTE, _URL):
             for m in pattern.finditer(piece):
                 if inside(m.start()) or _escaped(piece, m.start()):
                     continue
                 holes.append(m.span())
-                a, b = start + m.start(), start + m.end()
+                a, b = place.of(m.start()), place.end(m.end())
                 if pattern is _WIKI and not m[1]:
                     out.links.append({"start": a, "end": b, "target": m[2].strip(), "label": (m[3] or m[2]).strip(), "section": section_at(a), "block": block})
                 elif pattern is _WIKI:
                     size = re.fullmatch(r"\d+(?:x\d+)?", (m[3] or "").strip())
                     out.media.append({"source": m[2].strip(), "alt": "" if size else (m[3] or "").strip(), "start": a, "end": b, "section": section_at(a)})
                 elif pattern is _IMAGE:
-                    source = m[2] or definitions.get((m[3] or m[1]).strip().lower())
+                    source = m[2] or definitions.get(" ".join((m[3] or m[1]).lower().split()))
                     if source:
                         out.media.append({"source": source, "alt": m[1], "start": a, "end": b, "section": section_at(a)})
         for a, b in _subtract(0, len(piece), holes):
             # Emphasis marks split a block's text.
             for m in re.finditer(r"[^*~\n]+", piece[a:b]):
                 if m[0].strip():
-                    s = start + a + m.start()
+                    s = place.of(a + m.start())
                     out.spans.append({"start": s, "end": s + len(m[0]), "section": section_at(s), "block": block, "text": m[0]})
     out.spans.sort(key=lambda s: s["start"])
     out.links.sort(key=lambda s: s["start"])
