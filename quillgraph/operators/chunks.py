@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -83,3 +84,68 @@ def knowledge_units(sections: DataFrame, chunking: Chunking = Chunking(), count:
             yield pd.DataFrame(out, columns=["doc", "section", "unit", "start", "end", "text", "tokens", "content_hash", "error"])
 
     return sections.select("doc", "title", "section", "path", "start", "text").mapInPandas(run, "doc string, section string, unit string, start long, end long, text string, tokens long, content_hash string, error string")
+
+
+def source_text(markdown: str, start: int, end: int, media: list[dict]) -> str:
+    """A slice of a note as it is embedded: images inside it are their alternative texts, WikiLinks their labels."""
+    text = markdown[start:end]
+    for m in sorted((m for m in media if m["start"] >= start and m["end"] <= end), key=lambda m: -m["start"]):
+        text = text[: m["start"] - start] + m["alt"] + text[m["end"] - start :]
+    return re.sub(r"\[\[([^\]\n]+)\]\]", lambda m: m[1].split("|", 1)[1] if "|" in m[1] else m[1], text)
+
+
+def image_window(markdown: str, image: dict, media: list[dict], bounds: tuple[int, int], prefix: str, chunking: Chunking, count: Callable[[str, int], int]) -> tuple[int, int, str, int]:
+    """(start, end, text, tokens) of the widest window around an image that fits: the configured width, halved until it does, or none at last."""
+    width = chunking.image_context
+    while True:
+        start, end = max(bounds[0], image["start"] - width), min(bounds[1], image["end"] + width)
+        text = prefix + source_text(markdown, start, end, media)
+        tokens = count(text, 1)
+        if tokens <= chunking.max_tokens:
+            return start, end, text, tokens
+        if not width:
+            raise ValueError("image and title exceed the token budget")
+        width //= 2
+
+
+def image_units(parsed: DataFrame, notes: DataFrame, images: DataFrame, chunking: Chunking = Chunking(), count: Callable[[str, int], int] = lambda text, images: len(text.encode()) + 32) -> DataFrame:
+    """A row for each image of a note: doc, section, unit, start, end, text, tokens, content_hash, source, media_hash, code, error.
+
+    parsed: as parse_notes gives; notes: doc, markdown; images: doc, source, hash, mime of those that
+    were found. A unit is the image with the text of its section around it, within the token
+    budget; ``count`` takes a text and a number of images. An image that was not found, or that
+    fits with no context at all, has a code (MEDIA, LIMIT) and an error instead. A source that is
+    found twice for a document counts once, with the smallest hash. A note's text travels once,
+    however many images it has.
+    """
+    found = images.groupBy("doc", "source").agg(F.min(F.struct("hash", "mime")).alias("m")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("source", "m"))).alias("images"))
+    rows = parsed.where(F.size("media") > 0).select("doc", "title", "sections", "media").join(notes.select("doc", "markdown"), "doc").join(found, "doc", "left")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for doc, title, sections, media, markdown, known in zip(p["doc"], p["title"], p["sections"], p["media"], p["markdown"], p["images"], strict=True):
+                place = {s["section"]: k for k, s in enumerate(sections)}
+                for image in media:
+                    k = place[image["section"]]
+                    bounds = sections[k]["start"], sections[k + 1]["start"] if k + 1 < len(sections) else len(markdown)
+                    prefix = " > ".join(dict.fromkeys([title, *sections[k]["path"]])) + "\n\n"
+                    held = dict(known).get(image["source"]) if known is not None else None
+                    base = (doc, image["section"])
+                    if held is None:
+                        out.append((*base, None, image["start"], image["end"], None, 0, None, image["source"], None, "MEDIA", "the image was not found"))
+                        continue
+                    try:
+                        start, end, text, tokens = image_window(markdown, image, list(media), bounds, prefix, chunking, count)
+                    except ValueError as e:
+                        out.append((*base, None, image["start"], image["end"], None, 0, None, image["source"], held["hash"], "LIMIT", str(e)))
+                        continue
+                    unit = _digest([image["section"], int(start), int(end), [image["source"]]])
+                    out.append((*base, f"{doc}:unit:{unit}", start, end, text, tokens, _digest([text, [[held["hash"], held["mime"]]]]), image["source"], held["hash"], None, None))
+            yield pd.DataFrame(out, columns=["doc", "section", "unit", "start", "end", "text", "tokens", "content_hash", "source", "media_hash", "code", "error"])
+
+    return rows.mapInPandas(run, "doc string, section string, unit string, start long, end long, text string, tokens long, content_hash string, source string, media_hash string, code string, error string")
+
+
+def _digest(value: list) -> str:
+    return hashlib.sha256(json.dumps(value, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import entities, explore, mentions, panels, parse, relations, upkeep, vectors
+from ..functions.policy import Chunking
+from ..operators import chunks, entities, explore, mentions, panels, parse, relations, upkeep, vectors
 from ..sources import corpora, vault
 from ..sources.corpora import sql
 from .queries import _KEPT, _MD, RULES, _centered, _links, _md_notes, _mentions, _override_flags, _relations, query
@@ -244,3 +245,30 @@ def evidence_allowed(spark, d):
     n = corpora.notes(spark, d)
     places = _locators(n)
     return upkeep.allowed(places, n.where("doc_id % 3 <> 0"), places.where("start % 2 = 0")).select("relation", "doc", "section", "start")
+
+
+_IMAGED = "md AS (SELECT doc, doc_id, 'n' || CAST(doc_id AS VARCHAR) AS name, '# n' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) || markdown || chr(10) || chr(10) AS a, '![alt ' || CAST(doc_id % 9 AS VARCHAR) || '](p' || CAST(doc_id % 7 AS VARCHAR) || '.png)' AS i, ' of n' || CAST(doc_id AS VARCHAR) || '. ' || repeat('tail ', 20 + CAST(doc_id % 60 AS INTEGER)) AS t FROM notes)"
+
+
+@query(
+    sql(
+        "notes",
+        then=f""", {_IMAGED},
+tried AS (SELECT *, greatest(0, length(a) - w) AS s, least(length(a || i || t), length(a || i) + w) AS e FROM (SELECT *, CASE WHEN k = 9 THEN 0 ELSE 400 >> k END AS w FROM md, range(10) r(k))),
+sized AS (SELECT *, octet_length(encode(name || chr(10) || chr(10) || substring(a, s + 1) || 'alt ' || CAST(doc_id % 9 AS VARCHAR) || substring(t, 1, e - length(a || i)))) + 32 AS tokens FROM tried),
+best AS (SELECT doc, max(w) AS w FROM sized WHERE tokens <= 512 AND doc_id % 7 <> 5 GROUP BY doc)
+SELECT md.doc, 'p' || CAST(doc_id % 7 AS VARCHAR) || '.png' AS source, CASE WHEN b.w IS NULL THEN length(a) ELSE z.s END AS start, CASE WHEN b.w IS NULL THEN length(a || i) ELSE z.e END AS end_, CASE WHEN b.w IS NULL THEN 0 ELSE z.tokens END AS tokens, CASE WHEN doc_id % 7 = 5 THEN 'MEDIA' WHEN b.w IS NULL THEN 'LIMIT' END AS code
+FROM md LEFT JOIN best b ON b.doc = md.doc LEFT JOIN (SELECT doc, w, any_value(s) AS s, any_value(e) AS e, any_value(tokens) AS tokens FROM sized GROUP BY doc, w) z ON z.doc = b.doc AND z.w = b.w""",
+    )
+)
+def image_context_units(spark, d):
+    """The widest window of text around each note's image, under a budget in bytes; every seventh image is not found."""
+    n = corpora.notes(spark, d)
+    k = F.col("doc_id").cast("string")
+    alt, source = (F.col("doc_id") % 9).cast("string"), F.concat(F.lit("p"), (F.col("doc_id") % 7).cast("string"), F.lit(".png"))
+    image = F.concat(F.lit("![alt "), alt, F.lit("]("), source, F.lit(")"))
+    tail = F.concat(F.lit(" of n"), k, F.lit(". "), F.repeat(F.lit("tail "), (20 + F.col("doc_id") % 60).cast("int")))
+    notes = n.select("doc", "doc_id", "path", F.concat(F.lit("# n"), k, F.lit("\n\n"), "markdown", F.lit("\n\n"), image, tail).alias("markdown"))
+    images = n.where("doc_id % 7 <> 5").select("doc", source.alias("source"), F.sha2(source, 256).alias("hash"), F.lit("image/png").alias("mime"))
+    got = chunks.image_units(parse.parse_notes(notes), notes, images, Chunking(max_tokens=512, image_context=400))
+    return got.select("doc", "source", "start", F.col("end").alias("end_"), "tokens", "code")

@@ -86,3 +86,48 @@ def test_parser_on_nested_notes():
     assert [(m["source"], m["alt"]) for m in p.media] == [("p.png", "pic")]
     inside = next(s for s in p.spans if s["text"].startswith("SSRF"))
     assert inside["section"].endswith('["Top & *x*","In"]:0') and inside["block"] == f"d:block:{text.index('SSRF')}"
+
+
+def test_image_units_against_every_width(spark):
+    """The window is that of the first width of the halving series that fits; what a label or an alternative text stands for is counted."""
+    from quillgraph.functions.policy import Chunking
+    from quillgraph.operators.chunks import image_units, source_text
+    from quillgraph.operators.parse import parse_notes
+
+    rng = random.Random(3)
+    word = lambda: rng.choice(["wé", "[[Alpha|a]]", "[[B]]", "![i](q.png)", "text", "中文", "\n"])
+    rows = []
+    for i in range(12):
+        body = " ".join(word() for _ in range(rng.randint(5, 80)))
+        rows.append((f"d{i}", f"d{i}.md", f"# T{i}\n\n{body}\n\n## S\n\n![x y](p.png) {body}\n\n![gone](none.png)\n"))
+    notes = spark.createDataFrame(rows, "doc string, path string, markdown string").repartition(3)
+    images = spark.createDataFrame([(r[0], s, s + h, "image/png") for r in rows for s in ("p.png", "q.png") for h in "ab"], "doc string, source string, hash string, mime string")
+    for budget, width in ((90, 64), (40, 50), (36, 7), (5, 9)):
+        chunking = Chunking(max_tokens=budget, image_context=width)
+        got = {(r.doc, r.source, r.start, r.end): r for r in image_units(parse_notes(notes), notes, images, chunking, lambda t, n: len(t) + 8 * n).collect()}
+        total = 0
+        for doc, path, text in rows:
+            p = parse(doc, path, text)
+            for m in p.media:
+                total += 1
+                k = next(k for k, s in enumerate(p.sections) if s["section"] == m["section"])
+                end = p.sections[k + 1]["start"] if k + 1 < len(p.sections) else len(text)
+                prefix = " > ".join(dict.fromkeys([p.title, *p.sections[k]["path"]])) + "\n\n"
+                if m["source"] == "none.png":
+                    assert got[doc, "none.png", m["start"], m["end"]].code == "MEDIA"
+                    continue
+                tries, w = [], width
+                while True:
+                    a, z = max(p.sections[k]["start"], m["start"] - w), min(end, m["end"] + w)
+                    if len(prefix + source_text(text, a, z, p.media)) + 8 <= budget:
+                        tries.append((a, z))
+                    if not w:
+                        break
+                    w //= 2
+                if tries:
+                    r = got[doc, m["source"], *tries[0]]
+                    assert r.text == prefix + source_text(text, *tries[0], p.media) and r.tokens == len(r.text) + 8 <= budget and r.media_hash == m["source"] + "a"
+                else:
+                    assert got[doc, m["source"], m["start"], m["end"]].code == "LIMIT"
+        assert total == len(got) or budget == 90
+    assert image_units(parse_notes(notes.limit(0)), notes, images).collect() == []
