@@ -3,7 +3,8 @@ r"""Benchmark decontamination by winnowing.
 The smallest hash among the GRAM-word grams of a 13-word window is its fingerprint,
 so two equal windows always share it. The fingerprints of the items' windows are
 joined with those of the documents' windows, and a hit is extended to the whole
-window: its words are compared with those of the items' windows, as bytes. Items of
+window: its words are compared with those of the items' windows, as bytes; of the windows
+with a common fingerprint only those of one hash of all words are compared. Items of
 fewer words than a window are one window of their own length, its fingerprint that of
 all its words.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +64,19 @@ def _prints(levels: list[np.ndarray], size: int, mask: np.uint64) -> np.ndarray:
     return (fingerprints(levels) if size == WINDOW else _whole(levels, size)) & mask
 
 
+@dataclass
+class Windows:
+    """An items' block's windows of one length: their fingerprints, and sorted by a hash of the whole window that hash, place and item of each."""
+
+    prints: np.ndarray
+    whole: np.ndarray
+    begin: np.ndarray
+    close: np.ndarray
+    item: np.ndarray
+
+
 class Items:
-    """The windows of a block of items: by length, the fingerprints, and the words of each window with the items that hold it."""
+    """The windows of a block of items as sorted arrays beside the items' packed words: some four times the text's bytes, here and in every task."""
 
     def __init__(self, ids: list[str], texts: list[str | None], bits: int = 64):
         self.mask = U((1 << bits) - 1)
@@ -71,17 +84,23 @@ class Items:
         base, rows, begin, close, packed = _words(flat, offsets)
         levels = shared.gram_levels(base, GRAM_BITS)
         sizes = np.diff(rows)
-        self.ids = np.array(ids, dtype=object)
-        self.windows: dict[int, tuple[np.ndarray, dict[bytes, set[int]]]] = {}
+        self.ids, self.packed = np.array(ids, dtype=object), np.frombuffer(packed, np.uint8)
+        item = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.windows: dict[int, Windows] = {}
         for size in sorted({min(WINDOW, n) for n in sizes.tolist() if n}):
             hashes = _prints(levels, size, self.mask)
-            item = np.repeat(np.arange(len(sizes)), sizes)[: len(hashes)]
-            fits = (sizes[item] >= size) if size == WINDOW else (sizes[item] == size)
-            at = np.flatnonzero(fits & (np.arange(len(hashes)) + size <= rows[item + 1]))
-            held: dict[bytes, set[int]] = {}
-            for a, z, i in zip(begin[at].tolist(), close[at + size - 1].tolist(), item[at].tolist(), strict=True):
-                held.setdefault(bytes(packed[a:z]), set()).add(i)
-            self.windows[size] = np.unique(hashes[at]), held
+            own = item[: len(hashes)]
+            fits = (sizes[own] >= size) if size == WINDOW else (sizes[own] == size)
+            at = np.flatnonzero(fits & (np.arange(len(hashes)) + size <= rows[own + 1]))
+            whole = _whole(levels, size)[at] & self.mask
+            by = np.argsort(whole, kind="stable")
+            at, whole = at[by], whole[by]
+            self.windows[size] = Windows(np.unique(hashes[at]), whole, begin[at].astype(np.int32), close[at + size - 1].astype(np.int32), item[at])
+
+    def holding(self, w: Windows, lo: int, hi: int, text: memoryview) -> set[int]:
+        """The items of the windows lo to hi, all of one hash, whose words are the given ones."""
+        raw = memoryview(self.packed)
+        return {int(w.item[k]) for k in range(lo, hi) if raw[w.begin[k] : w.close[k]] == text}
 
 
 def fingerprints(levels: list[np.ndarray]) -> np.ndarray:
@@ -101,14 +120,17 @@ def find_hits(items: Items, flat: np.ndarray, offsets: np.ndarray):
     if len(base):
         levels = shared.gram_levels(base, GRAM_BITS)
         row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-        for size, (prints, held) in items.windows.items():
+        for size, held in items.windows.items():
             hashes = _prints(levels, size, items.mask)
             at = np.arange(len(hashes))
-            at = at[_member(prints, hashes) & (at + size <= rows[row[: len(at)] + 1])]
+            at = at[_member(held.prints, hashes) & (at + size <= rows[row[: len(at)] + 1])]
+            whole = _whole(levels, size)[at] & items.mask
+            lo, hi = np.searchsorted(held.whole, whole, "left"), np.searchsorted(held.whole, whole, "right")
+            at, lo, hi = (x[hi > lo] for x in (at, lo, hi))
             met = []
-            for place, a, z, r in zip(at.tolist(), begin[at].tolist(), close[at + size - 1].tolist(), row[at].tolist(), strict=True):
-                own = held.get(bytes(packed[a:z]))
-                if own is not None:
+            for place, a, z, r, x, y in zip(at.tolist(), begin[at].tolist(), close[at + size - 1].tolist(), row[at].tolist(), lo.tolist(), hi.tolist(), strict=True):
+                own = items.holding(held, x, y, packed[a:z])
+                if own:
                     met.append(place)
                     found.setdefault(r, set()).update(own)
             met = np.array(met, np.int64)

@@ -79,3 +79,16 @@ def test_clashing_names(spark, block):
     assert sorted((r.doc_id, r.key, r.n_words, r.n_hit, r.contaminated) for r in got.collect()) == [(1, "k", 15, 13, True), (2, "k", 2, 0, False), (2, "k", 2, 0, False)]
     kept = keep_clean(df, items, block)
     assert kept.columns == names and [tuple(r) for r in kept.collect()] == rows[1:]
+
+
+def test_a_block_of_items_takes_little_memory():
+    """16 MB of items: the arrays that every task gets."""
+    import pickle
+
+    from quillgraph.llm.op10_winnow import BLOCK_BYTES, Items
+
+    rng = random.Random(2)
+    text = " ".join(rng.choice("abcdefgh") * rng.randint(2, 9) + str(rng.randint(0, 99)) for _ in range(300))
+    texts = [text[k % 700 :] + f" {k}" for k in range(BLOCK_BYTES // (len(text) - 350))]
+    items = Items([str(k) for k in range(len(texts))], texts)
+    assert len(items.windows[13].whole) > 1_500_000 and len(pickle.dumps(items)) < 100 << 20
