@@ -63,13 +63,18 @@ def lens_grid(centered: DataFrame, grid: tuple[int, ...] = (0, 25, 50, 75, 100))
 def cross_relations(centered: DataFrame, focuses: DataFrame) -> DataFrame:
     """(focus, node_a, node_b, score): relations among the neighbors of each focus, confirmed from both ends, with the lower score.
 
-    A relation's ends come from its own centers; hidden ones count for neither side.
+    A relation's ends come from its own centers; hidden ones count for neither side. Each relation
+    is met with the focuses of the end that has fewer, so a hub's neighbors are not paired.
     """
     shown = centered.where(~F.col("hidden"))
     around = shown.join(focuses.select(F.col("doc").alias("center")), "center", "left_semi").select(F.col("center").alias("focus"), F.col("neighbor").alias("_n"))
     both = shown.groupBy("node_a", "node_b").agg(F.countDistinct("center").alias("_ends"), F.min("score").alias("score")).where("_ends = 2").drop("_ends")
-    left = both.join(around.withColumnRenamed("_n", "node_a"), "node_a")
-    return left.join(around.select("focus", F.col("_n").alias("node_b")), ["focus", "node_b"]).select("focus", "node_a", "node_b", "score")
+    degree = around.groupBy("_n").agg(F.count("*").alias("_d"))
+    sized = both.join(degree.select(F.col("_n").alias("node_a"), F.col("_d").alias("_da")), "node_a").join(degree.select(F.col("_n").alias("node_b"), F.col("_d").alias("_db")), "node_b")
+    low = F.col("_da") <= F.col("_db")
+    turned = sized.select("node_a", "node_b", "score", F.when(low, F.col("node_a")).otherwise(F.col("node_b")).alias("_few"), F.when(low, F.col("node_b")).otherwise(F.col("node_a")).alias("_many"))
+    wedges = turned.join(around.withColumnRenamed("_n", "_few"), "_few")
+    return wedges.join(around.withColumnRenamed("_n", "_many"), ["focus", "_many"], "left_semi").select("focus", "node_a", "node_b", "score")
 
 
 def snapshot_status(headers: DataFrame, live: DataFrame, index_revision: int, policy_revision: int, score_version: str | None = None, space: str | None = None, relations: DataFrame | None = None) -> DataFrame:

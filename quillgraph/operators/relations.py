@@ -77,16 +77,31 @@ def global_nodes(documents: DataFrame, edges: DataFrame) -> DataFrame:
     return documents.join(degree, "doc", "left").fillna(0, ["degree"])
 
 
+#: Ranges that a global rank is counted in at most, and sampled rows for each.
+RANGES, SAMPLED = 128, 16
+
+
+def _range_of(rows: DataFrame) -> Column:
+    """The range of a row in the order of falling degree, then of doc, between a few sampled rows: those with the least hashes."""
+    some = rows.select("degree", "doc").orderBy(F.xxhash64("doc"), "doc").limit(RANGES * SAMPLED).collect()
+    cuts = sorted({(-r["degree"], r["doc"]) for r in some})[SAMPLED - 1 :: SAMPLED]
+    beyond = [(F.col("degree") < -d) | ((F.col("degree") == -d) & (F.col("doc") > x)) for d, x in cuts]
+    return sum((b.cast("int") for b in beyond), F.lit(0))
+
+
 def label_rank(nodes: DataFrame, fraction: float = 0.3, least: int = 3) -> DataFrame:
     """Nodes whose label a zoom tier shows: the first part of them by degree, ties by id, and ``least`` at least.
 
-    Ranks are counted per degree first, so no task sorts all nodes.
+    The order is cut into ranges at sampled rows, so equal degrees are spread too; a range's rows
+    are ranked in one task, after the rows of the ranges before it are counted.
     """
-    by_degree = nodes.groupBy("degree").agg(F.count("*").alias("_n"))
-    before = by_degree.withColumn("_before", F.sum("_n").over(W.orderBy(F.desc("degree")).rowsBetween(W.unboundedPreceding, -1))).fillna(0, ["_before"])
-    total = nodes.agg(F.greatest(F.lit(least), F.ceil(F.count("*") * F.lit(fraction))).alias("_shown"))
-    own = F.row_number().over(W.partitionBy("degree").orderBy("doc"))
-    return nodes.join(before, "degree").withColumn("label_rank", (F.col("_before") + own).cast("long")).crossJoin(F.broadcast(total)).where("label_rank <= _shown").drop("_n", "_before", "_shown")
+    ranged = nodes.withColumn("_range", _range_of(nodes))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+    shown = F.greatest(F.lit(least), F.ceil(F.round(F.sum("_n").over(W.partitionBy()) * fraction, 9)))
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"), shown.alias("_shown")).where("_before < _shown")
+    own = F.row_number().over(W.partitionBy("_range").orderBy(F.desc("degree"), "doc"))
+    ranked = ranged.join(F.broadcast(before), "_range").withColumn("label_rank", (F.col("_before") + own).cast("long"))
+    return ranked.where(F.col("label_rank") <= F.col("_shown")).drop("_range", "_before", "_shown")
 
 
 def merge_overrides(current: DataFrame, changes: DataFrame) -> DataFrame:

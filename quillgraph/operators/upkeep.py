@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,16 +101,41 @@ def live_hits(hits: DataFrame, documents: DataFrame) -> DataFrame:
     return hits
 
 
+def _innermost(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Locators with the deepest section open at their start that reaches their end; rows come by document and place, sections first."""
+        doc, open_ = None, []
+        for b in batches:
+            rows, found = [], []
+            columns = (b.column(c).to_pylist() for c in ("_doc", "_at", "_to", "_depth", "_section", "_kind"))
+            for i, (own, at, to, depth, section, kind) in enumerate(zip(*columns, strict=True)):
+                if own != doc:
+                    doc, open_ = own, []
+                open_ = [s for s in open_ if s[3] >= at]
+                if kind == 0:
+                    open_.append((depth, at, section, to))
+                else:
+                    rows.append(i)
+                    found.append(max(((d, s, x) for d, s, x, e in open_ if e >= to), default=(0, 0, None))[2])
+            kept = b.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array(found, pa.string())], [*names, "section"])
+
+    return run
+
+
 def deepest_sections(locators: DataFrame, sections: DataFrame) -> DataFrame:
     """locators (doc, start, end, ...) with section: the deepest one that holds the span, null if none does.
 
-    sections: doc, section, s, e, depth. A document's sections meet its locators by its key.
+    sections: doc, section, s, e, depth. One sort of both by document and place; a document's
+    locators pass the sections that are open where they begin, few as sections nest.
     """
-    rows = locators.withColumn("_id", F.monotonically_increasing_id())
-    inside = rows.select("_id", "doc", "start", "end").join(sections.select("doc", F.col("section").alias("_section"), "s", "e", "depth"), "doc").where((F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end")))
-    best = inside.groupBy("_id").agg(F.max_by("_section", F.struct("depth", "s", "_section")).alias("section"))
     keep = [c for c in locators.columns if c != "section"]
-    return rows.select("_id", *keep).join(best, "_id", "left").select(*keep, "section")
+    null = lambda c: F.lit(None).cast(locators.schema[c].dataType).alias(c)
+    place = [F.col("start").cast("long").alias("_at"), F.col("end").cast("long").alias("_to"), F.lit(None).cast("int").alias("_depth"), F.lit(None).cast("string").alias("_section"), F.lit(1).alias("_kind")]
+    own = locators.select(F.col("doc").alias("_doc"), *place, *keep)
+    opens = sections.select(F.col("doc").alias("_doc"), F.col("s").cast("long").alias("_at"), F.col("e").cast("long").alias("_to"), F.col("depth").cast("int").alias("_depth"), F.col("section").alias("_section"), F.lit(0).alias("_kind"), *map(null, keep))
+    fields = ", ".join(f"`{c}` {locators.schema[c].dataType.simpleString()}" for c in keep)
+    return own.unionByName(opens).repartition("_doc").sortWithinPartitions("_doc", "_at", "_kind", "_depth").mapInArrow(_innermost(keep), f"{fields}, section string")
 
 
 def allowed(locators: DataFrame, documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
