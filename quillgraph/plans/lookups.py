@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.policy import Chunking
-from ..operators import chunks, entities, explore, mentions, panels, parse, relations, upkeep, vectors
+from ..operators import bundle, chunks, entities, explore, mentions, panels, parse, relations, upkeep, vectors
 from ..sources import corpora, vault
 from ..sources.corpora import sql
-from .queries import _KEPT, _MD, RULES, _centered, _links, _md_notes, _mentions, _override_flags, _relations, query
+from .queries import _KEPT, _MD, FLOOR, POOL, RULES, _centered, _links, _md_notes, _mentions, _override_flags, _pool, _relations, query
 
 # -- names ----------------------------------------------------------------------
 
@@ -272,3 +274,32 @@ def image_context_units(spark, d):
     images = n.where("doc_id % 7 <> 5").select("doc", source.alias("source"), F.sha2(source, 256).alias("hash"), F.lit("image/png").alias("mime"))
     got = chunks.image_units(parse.parse_notes(notes), notes, images, Chunking(max_tokens=512, image_context=400))
     return got.select("doc", "source", "start", F.col("end").alias("end_"), "tokens", "code")
+
+
+_POOLED = ("pool", "gaps", "middle", "spread", "diag", "cuts", "decided", "hybrid")
+
+
+def _of_bundle(name: str) -> str:
+    """A named expression over the bundle's pool instead of the table's."""
+    text = corpora.SQL[name]
+    for n in _POOLED:
+        text = re.sub(rf"(?<=\bFROM )(\(SELECT \* FROM )?{n}\b|(?<=\bJOIN ){n}\b|^{n}\b", lambda m, n=n: m[0][: len(m[0]) - len(n)] + n + "2", text)
+    return text
+
+
+@query(
+    sql(
+        "pool", "centered",
+        then=f""", signals AS (SELECT least(center, neighbor) AS a, greatest(center, neighbor) AS b, max(similarity) AS s FROM pool JOIN notes x ON x.doc = center JOIN notes y ON y.doc = neighbor WHERE length(x.markdown) >= 200 AND length(y.markdown) >= 200 GROUP BY ALL),
+pool2 AS (SELECT center, neighbor, similarity, rank, pool_size FROM (SELECT *, row_number() OVER (PARTITION BY center ORDER BY similarity DESC, neighbor) AS rank, count(*) OVER (PARTITION BY center) AS pool_size FROM (SELECT a AS center, b AS neighbor, s AS similarity FROM signals UNION ALL SELECT b, a, s FROM signals)) WHERE rank <= 100),
+{", ".join(_of_bundle(n) for n in _POOLED[1:])}
+SELECT center, neighbor, round(greatest(m, s) + CAST(0.3 AS DOUBLE) * e * (1 - greatest(m, s)), 9) AS score FROM hybrid2""",
+    )
+)
+def bundle_relations(spark, d):
+    """Relations of a bundle read back: signals whose evidence, the first 200 characters of both notes, does not fit a text do not count."""
+    n = corpora.notes(spark, d)
+    span = lambda c: F.struct(F.col(c).alias("doc"), F.lit("root").alias("section"), F.lit(0).cast("long").alias("start"), F.lit(200).cast("long").alias("end"))
+    signals = _pool(spark, d).select(F.concat_ws(":", "center", "neighbor").alias("id"), F.col("center").alias("doc_a"), F.col("neighbor").alias("doc_b"), "similarity", F.array(span("center"), span("neighbor")).alias("evidence"))
+    fitting = signals.join(bundle.evidence_faults(signals, n), "id", "left_anti")
+    return bundle.neighborhoods(bundle.pools(fitting, POOL), _centered(n), POOL, FLOOR).select("center", "neighbor", F.round("score", 9).alias("score"))
