@@ -107,3 +107,38 @@ def stream(events: DataFrame) -> DataFrame:
 
     rows = events.where("user_id is not null").select("user_id", "ts", "event_id", "event_type", "value")
     return rows.groupBy("user_id").applyInPandasWithState(run, _OUT, "actions long, session string", "update", GroupStateTimeout.NoTimeout)
+
+
+def evicting(events: DataFrame, watermark: str = "10 minutes", idle: str = IDLE) -> DataFrame:
+    """As stream, but a session that is idle goes: once the watermark passes its last event by ``idle`` its state is removed, and a row says so (status expired).
+
+    A user who comes back later starts anew; events later than the watermark do not count.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    columns = [c.split()[0] for c in _OUT.split(", ")]
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            actions, text, _ = state.get
+            state.remove()
+            yield pd.DataFrame([(*_summary(int(key[0]), actions, Session.restore(text)), "expired")], columns=[*columns, "status"])
+            return
+        actions, text, last = state.get if state.exists else (0, Session().export(), 0)
+        session = Session.restore(text)
+        for pdf in parts:
+            for r in pdf.sort_values(["ts", "event_id"]).itertuples():
+                at = int(r.ts.timestamp() * 1000)
+                if actions and at - last > wait:
+                    actions, session = 0, Session()  # the gap lies within one batch
+                actions, last = actions + 1, max(last, at)
+                action = ACTIONS.get(r.event_type)
+                if action:
+                    session.apply(action, _value(action, r.value, r.event_id))
+        state.update((actions, session.export(), last))
+        state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*_summary(int(key[0]), actions, session), "active")], columns=[*columns, "status"])
+
+    rows = events.where("user_id is not null").select("user_id", "ts", "event_id", "event_type", "value").withWatermark("ts", watermark)
+    return rows.groupBy("user_id").applyInPandasWithState(run, f"{_OUT}, status string", "actions long, session string, last long", "update", GroupStateTimeout.EventTimeTimeout)
