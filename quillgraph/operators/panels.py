@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,6 +60,42 @@ def path_tree(paths: DataFrame) -> DataFrame:
     return nodes.withColumn("place", F.row_number().over(w.orderBy(F.desc("folder"), "path"))).withColumn("siblings", F.count("*").over(w))
 
 
+#: Digits that a number is filled up to, so that equal lengths compare as numbers do; longer ones compare as text.
+DIGITS = 40
+#: Ranges that siblings are counted in at most, and sampled rows for each.
+RANGES, SAMPLED = 64, 16
+
+
+def natural_key(name: Column, locale: str = "zh") -> Column:
+    """A key that orders names as a file tree shows them: by the locale's collation, with runs of digits as numbers."""
+    number = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    parts = F.transform(F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), lambda x: F.when(x.rlike("^[0-9]"), F.when(F.char_length(number(x)) <= DIGITS, F.lpad(number(x), DIGITS, "0")).otherwise(number(x))).otherwise(x))
+    return F.collate(F.array_join(parts, ""), locale)
+
+
+def tree_order(tree: DataFrame, locale: str = "zh") -> DataFrame:
+    """path_tree's rows with place and siblings in the order of a file tree: folders first, then by natural_key of the name, ties by path.
+
+    The order of all siblings is cut into ranges at sampled rows; the rows of a folder within a
+    range are numbered in one task, after its rows in the ranges before are counted, so a folder
+    of any size is spread.
+    """
+    rows = tree.drop("place", "siblings").withColumn("_k", natural_key(F.substring_index("path", "/", -1), locale))
+    order = [F.col("parent"), F.desc("folder"), F.col("_k"), F.col("path")]
+    some = rows.select("parent", "folder", "_k", "path", F.xxhash64("path").alias("_h")).orderBy("_h", "path").limit(RANGES * SAMPLED)
+    cuts = some.orderBy(*order).select("parent", "folder", F.col("_k").cast("string").alias("k"), "path").collect()[SAMPLED - 1 :: SAMPLED]
+
+    place = lambda parent, folder, key, path: F.struct(parent.alias("a"), (~folder).alias("b"), key.alias("c"), path.alias("d"))
+    limits = [place(F.lit(c["parent"]), F.lit(c["folder"]), F.collate(F.lit(c["k"]), locale), F.lit(c["path"])) for c in cuts]
+    own = place(F.col("parent"), F.col("folder"), F.col("_k"), F.col("path"))
+    ranged = rows.withColumn("_range", F.size(F.filter(F.array(*limits), lambda c: c < own)) if limits else F.lit(0))
+    counted = ranged.groupBy("parent", "_range").agg(F.count("*").alias("_n"))  # a row for each folder and range
+    of = W.partitionBy("parent")
+    before = counted.select("parent", "_range", (F.sum("_n").over(of.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(of).alias("siblings"))
+    own = F.row_number().over(W.partitionBy("parent", "_range").orderBy(*order[1:]))
+    return ranged.join(before, ["parent", "_range"]).select(*tree.drop("place", "siblings").columns, (F.col("_before") + own).cast("long").alias("place"), "siblings")
+
+
 def symmetric(centered: DataFrame) -> DataFrame:
     """Acceptance check: relations whose two ends disagree; empty for deterministic evidence."""
     return centered.groupBy("node_a", "node_b").agg(F.count("*").alias("ends"), F.min("score").alias("low"), F.max("score").alias("high")).where("ends <> 2 or low <> high")

@@ -85,8 +85,11 @@ def _range_of(rows: DataFrame) -> Column:
     """The range of a row in the order of falling degree, then of doc, between a few sampled rows: those with the least hashes."""
     some = rows.select("degree", "doc").orderBy(F.xxhash64("doc"), "doc").limit(RANGES * SAMPLED).collect()
     cuts = sorted({(-r["degree"], r["doc"]) for r in some})[SAMPLED - 1 :: SAMPLED]
-    beyond = [(F.col("degree") < -d) | ((F.col("degree") == -d) & (F.col("doc") > x)) for d, x in cuts]
-    return sum((b.cast("int") for b in beyond), F.lit(0))
+    if not cuts:
+        return F.lit(0)
+    place = lambda d, x: F.struct(d.cast("long").alias("a"), x.alias("b"))
+    own = place(-F.col("degree"), F.col("doc"))
+    return F.size(F.filter(F.array(*(place(F.lit(d), F.lit(x)) for d, x in cuts)), lambda c: c < own))
 
 
 def label_rank(nodes: DataFrame, fraction: float = 0.3, least: int = 3) -> DataFrame:

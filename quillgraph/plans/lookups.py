@@ -303,3 +303,11 @@ def bundle_relations(spark, d):
     signals = _pool(spark, d).select(F.concat_ws(":", "center", "neighbor").alias("id"), F.col("center").alias("doc_a"), F.col("neighbor").alias("doc_b"), "similarity", F.array(span("center"), span("neighbor")).alias("evidence"))
     fitting = signals.join(bundle.evidence_faults(signals, n), "id", "left_anti")
     return bundle.neighborhoods(bundle.pools(fitting, POOL), _centered(n), POOL, FLOOR).select("center", "neighbor", F.round("score", 9).alias("score"))
+
+
+@query(sql("notes", then="SELECT path, parent, depth, folder, row_number() OVER (PARTITION BY parent ORDER BY folder DESC, regexp_replace(name, '[0-9]+', ''), CAST(coalesce(nullif(regexp_extract(name, '[0-9]+'), ''), '0') AS BIGINT)) AS place, count(*) OVER (PARTITION BY parent) AS siblings FROM (SELECT path, parent, depth, folder, split_part(path, '/', -1) AS name FROM (SELECT DISTINCT split_part(path, '/', 1) AS path, '' AS parent, 1 AS depth, true AS folder FROM notes UNION ALL SELECT split_part(path, '/', 1) || '/n' || CAST(doc_id AS VARCHAR) || '.md', split_part(path, '/', 1), 2, false FROM notes))"))
+def path_tree_numeric(spark, d):
+    """The tree of notes named by their numbers, in the order that a file tree shows: n2 before n10, src2 before src10."""
+    n = corpora.notes(spark, d)
+    named = n.select(F.concat(F.substring_index("path", "/", 1), F.lit("/n"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    return panels.tree_order(panels.path_tree(named))

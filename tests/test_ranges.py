@@ -4,8 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillgraph.operators import explore, relations, upkeep
+from quillgraph.operators import explore, panels, relations, upkeep
 
 
 @pytest.mark.parametrize("sampled", [(4, 2), (128, 16)])
@@ -63,3 +64,24 @@ def test_deepest_sections_of_any_spans(spark):
     for n, doc, a, z, more, _ in locators:
         best = max(((k, s, name) for d, name, s, e, k in sections if d == doc and s <= a and e >= z), default=(0, 0, None))[2]
         assert got[n].section == best and got[n].more == more, (n, doc, a, z)
+
+
+@pytest.mark.parametrize("sampled", [(4, 2), (64, 16)])
+def test_tree_order_with_numbers_and_scripts(spark, monkeypatch, sampled):
+    """Against one sort of all siblings by the collation; and the cases that plain order gets wrong."""
+    monkeypatch.setattr(panels, "RANGES", sampled[0])
+    monkeypatch.setattr(panels, "SAMPLED", sampled[1])
+    names = ["a2.md", "a10.md", "a010.md", "a9b3.md", "a9b20.md", "b.md", "中.md", "啊.md", "á.md", "z" + "9" * 50 + ".md", "z1.md", "2.md", "10.md"] + [f"flat/{i}.md" for i in range(150)] + ["a1/x.md", "a/2/c.md", "a/10/c.md", "a/x.md"]
+    tree = panels.path_tree(spark.createDataFrame([(x,) for x in names], "path string").repartition(3))
+    got = panels.tree_order(tree).collect()
+    assert len(got) == tree.count()
+    for parent in {r.parent for r in got}:
+        own = sorted((r for r in got if r.parent == parent), key=lambda r: r.place)
+        assert [r.place for r in own] == list(range(1, len(own) + 1)) and {r.siblings for r in own} == {len(own)}
+        assert [r.folder for r in own] == sorted((r.folder for r in own), reverse=True)
+        one = tree.where(F.col("parent") == parent).orderBy(F.desc("folder"), panels.natural_key(F.substring_index("path", "/", -1)), "path").collect()
+        assert [r.path for r in own] == [r.path for r in one]
+    top = [r.path for r in sorted(got, key=lambda r: r.place) if r.parent == ""]
+    at = top.index
+    assert at("a2.md") < at("a9b3.md") < at("a9b20.md") < at("a10.md") < at("b.md") and at("2.md") < at("10.md") and at("啊.md") < at("中.md")
+    assert [r.path for r in sorted(got, key=lambda r: r.place) if r.parent == "flat"] == [f"flat/{i}.md" for i in range(150)]
