@@ -13,13 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt over all cores, if their files give fewer tasks than there are: a small file is one task, however costly its texts are to read.
+
+    An input of as many tasks as cores or more, as any large one is, stays where it lies.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def padded(n: Column) -> Column:
     return F.lpad(n.cast("string"), 8, "0")
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, doc_id, path, markdown, revision): documents as notes."""
-    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    d = spread(table(spark, sf_dir, "documents").where("doc_id is not null"))
     doc = padded(F.col("doc_id"))
     return d.select(doc.alias("doc"), "doc_id", F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), doc, F.lit(".md")).alias("path"), F.coalesce("text", F.lit("")).alias("markdown"), F.lit(1).cast("long").alias("revision"))
 
