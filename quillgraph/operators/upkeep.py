@@ -199,7 +199,10 @@ def artifact_faults(spark: SparkSession, root: str, forbidden: tuple[str, ...] =
 
 
 class MemoryStore:
-    """The interface of ingest.Store over DataFrames that this process keeps; nothing is written."""
+    """The interface of ingest.Store over tables that the session keeps: a commit copies, so what a table was made of may change.
+
+    A copy is a checkpoint where the session has a folder for these, else it is held by the executors.
+    """
 
     def __init__(self, tables: dict[str, DataFrame] | None = None):
         self._tables, self._generation = dict(tables or {}), 0
@@ -213,11 +216,19 @@ class MemoryStore:
     def tables(self) -> list[str]:
         return sorted(self._tables)
 
+    @staticmethod
+    def _copied(df: DataFrame) -> DataFrame:
+        if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", ""):
+            return df.checkpoint()
+        held = df.persist()
+        held.count()
+        return held
+
     def commit(self, tables: dict[str, DataFrame], expected: int) -> int:
         from .ingest import Conflict
 
         if expected != self._generation:
             raise Conflict(f"generation {self._generation} is published, not {expected}")
-        self._tables |= tables
+        self._tables |= {name: self._copied(df) for name, df in tables.items()}
         self._generation += 1
         return self._generation

@@ -164,3 +164,12 @@ def test_lookups(spark, tmp_path):
     (tmp_path / "app.js").write_text("see /home/someone/notes")
     (tmp_path / "ok.json").write_text("secret plan")
     assert sorted((r.path.rsplit("/", 1)[1], r.fault) for r in upkeep.artifact_faults(spark, str(tmp_path), ("secret plan",)).collect()) == [("app.js", "local path or key"), ("ok.json", "forbidden text 0"), ("x.db", "private file")]
+
+
+def test_a_memory_store_keeps_what_was_committed(spark, tmp_path):
+    place = str(tmp_path / "t")
+    spark.range(3).write.parquet(place)
+    memory = upkeep.MemoryStore()
+    memory.commit({"t": spark.read.parquet(place)}, 0)
+    spark.range(9).write.mode("overwrite").parquet(place)
+    assert memory.read("t").count() == 3 and memory.generation() == 1
