@@ -104,12 +104,12 @@ class Store:
     def tables(self) -> list[str]:
         return sorted(self._pointer()["tables"])
 
-    def commit(self, tables: dict[str, DataFrame], expected: int, by: dict[str, list[str]] | None = None, drop: Iterable[str] = ()) -> int:
-        """Write the given tables as the next generation, in folders by the columns named; the others are carried forward without a copy, but for dropped ones."""
+    def commit(self, tables: dict[str, DataFrame], expected: int, by: dict[str, list[str]] | None = None, drop: Iterable[str] = (), written: dict[str, str] | None = None) -> int:
+        """Write the given tables as the next generation, in folders by the columns named; the others are carried forward without a copy, but for dropped ones. written: tables that lie somewhere already."""
         now = self._pointer()
         if now["generation"] != expected:
             raise Conflict(f"generation {now['generation']} is published, not {expected}")
-        paths = {k: v for k, v in now["tables"].items() if k not in set(drop)}
+        paths = {k: v for k, v in now["tables"].items() if k not in set(drop)} | (written or {})
         folder = f"{self.root}/generation={expected + 1}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             paths[name] = f"{folder}/{name}"
@@ -135,3 +135,67 @@ class Store:
             if self._fs.exists(place):
                 raise Conflict("another commit was published meanwhile") from e
             raise
+
+
+class Buckets:
+    """Versioned values under keys, in buckets by a hash of the key: a write touches its keys' buckets and carries the others forward.
+
+    Every change names the hash of the value that it replaces, or none for a new key; one that
+    meets another value is refused, alone, and comes back as a row. The whole batch is one
+    generation, so of two writers of one generation the second fails as a whole.
+    """
+
+    SCHEMA = "key string, value string, hash string, version long, bucket int"
+
+    def __init__(self, store: Store, name: str = "values", buckets: int = 256):
+        self.store, self.name, self.buckets = store, name, buckets
+
+    def _paths(self) -> dict[int, str]:
+        at = f"{self.name}-"
+        return {int(k.removeprefix(at)): v for k, v in self.store._pointer()["tables"].items() if k.startswith(at)}
+
+    def _read(self, paths: Iterable[str]) -> DataFrame:
+        found, plain = list(paths), self.SCHEMA.rsplit(",", 1)[0]
+        rows = self.store.spark.read.schema(plain).parquet(*found) if found else self.store.spark.createDataFrame([], plain)
+        return rows.withColumn("bucket", self._bucket(F.col("key")))
+
+    def _bucket(self, key: Column) -> Column:
+        return (F.crc32(key.cast("binary")) % self.buckets).cast("int")
+
+    def read(self) -> DataFrame:
+        """key, value, hash, version of all live keys."""
+        return self._read(self._paths().values()).drop("bucket")
+
+    def put(self, changes: DataFrame, expected: int | None = None) -> tuple[int, DataFrame]:
+        """The generation after the changes (key, value: null deletes, expected_hash: null for a key that is not there), and key, outcome, hash, version of each.
+
+        outcome: written, unchanged, deleted, or conflict with the hash that is there. A key that
+        a batch changes twice is a conflict in all its rows; a null key is one too. Nothing is
+        published if nothing is written.
+        """
+        generation = self.store.generation() if expected is None else expected
+        rows = changes.select("key", "value", "expected_hash", self._bucket(F.coalesce("key", F.lit(""))).alias("bucket"), F.count("*").over(W.partitionBy("key")).alias("_n"))
+        touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # as many as there are buckets, at most
+        paths = self._paths()
+        old = self._read(paths[b] for b in touched if b in paths)
+        now = old.select("key", F.col("hash").alias("_hash"), F.col("version").alias("_version"))
+        met = rows.join(now, "key", "left").withColumn("_new", F.sha2(F.col("value").cast("binary"), 256))
+        refused = F.col("key").isNull() | (F.col("_n") > 1) | ~F.col("_hash").eqNullSafe(F.col("expected_hash"))
+        outcome = F.when(refused, "conflict").when(F.col("value").isNull(), F.when(F.col("_hash").isNull(), "unchanged").otherwise("deleted")).when(F.col("_new").eqNullSafe(F.col("_hash")), "unchanged").otherwise("written")
+        judged = met.withColumn("outcome", outcome)
+        moved = F.col("outcome") == "written"
+        outcomes = judged.select("key", "outcome", F.when(moved, F.col("_new")).when(F.col("outcome") == "deleted", None).otherwise(F.col("_hash")).alias("hash"), (F.coalesce("_version", F.lit(0)) + moved.cast("long")).alias("version"))
+        took = judged.where(F.col("outcome").isin("written", "deleted"))
+        hit = sorted(r["bucket"] for r in took.select("bucket").distinct().collect())
+        if not hit:
+            if self.store.generation() != generation:
+                raise Conflict(f"generation {self.store.generation()} is published, not {generation}")
+            return generation, outcomes
+        kept = old.where(F.col("bucket").isin(hit)).join(took.select("key"), "key", "left_anti")
+        new = took.where(moved).select("key", "value", F.col("_new").alias("hash"), (F.coalesce("_version", F.lit(0)) + 1).cast("long").alias("version"), "bucket")
+        folder = f"{self.store.root}/buckets-{uuid.uuid4().hex}"
+        kept.unionByName(new).repartition("bucket").write.parquet(folder, partitionBy="bucket")
+        place = self.store._path(folder)
+        lie = {int(str(f.getPath().getName()).split("=")[1]): str(f.getPath()) for f in self.store._fs.listStatus(place) if "=" in str(f.getPath().getName())}
+        emptied = [f"{self.name}-{b}" for b in hit if b not in lie]
+        return self.store.commit({}, generation, drop=emptied, written={f"{self.name}-{b}": path for b, path in lie.items()}), outcomes
