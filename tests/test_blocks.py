@@ -77,15 +77,15 @@ def test_pieces_are_ordered_and_lie_in_the_source():
 
 
 def test_parser_on_nested_notes():
-    text = "# Top &amp; \\*x\\*\n\n> - [[A|a]] word\n>   1. ![pic](p.png) tail\n>\n> ## In\n>\n> SSRF `SSRF`\n\n<div title='SSRF'>\nSSRF\n</div>\n\n- [ref][r] [^1] SSRF\n\n[r]: /SSRF\n[^1]: foot [[B]]\n"
+    text = "# Top &amp; \\*x\\*\n\n> - [[A|a]] word\n>   1. ![pic](p.png) tail\n>\n> ## In\n>\n> Lark `Lark`\n\n<div title='Lark'>\nLark\n</div>\n\n- [ref][r] [^1] Lark\n\n[r]: /Lark\n[^1]: foot [[B]]\n"
     p = parse("d", "d.md", text)
     assert [(s["title"], s["depth"]) for s in p.sections] == [("", 0), ("Top & *x*", 1), ("In", 2)]
     assert all(text[s["start"] : s["end"]] == s["text"] for s in p.spans)
-    assert sum("SSRF" in s["text"] for s in p.spans) == 2
+    assert sum("Lark" in s["text"] for s in p.spans) == 2
     assert [(x["target"], x["label"], text[x["start"] : x["end"]]) for x in p.links] == [("A", "a", "[[A|a]]"), ("B", "B", "[[B]]")]
     assert [(m["source"], m["alt"]) for m in p.media] == [("p.png", "pic")]
-    inside = next(s for s in p.spans if s["text"].startswith("SSRF"))
-    assert inside["section"].endswith('["Top & *x*","In"]:0') and inside["block"] == f"d:block:{text.index('SSRF')}"
+    inside = next(s for s in p.spans if s["text"].startswith("Lark"))
+    assert inside["section"].endswith('["Top & *x*","In"]:0') and inside["block"] == f"d:block:{text.index('Lark')}"
 
 
 def test_image_units_against_every_width(spark):

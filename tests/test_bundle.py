@@ -67,17 +67,17 @@ def test_every_published_locator_reads_the_same_text(spark):
     out.unpersist()
 
 
-@pytest.mark.parametrize("body", ["PrivateSalary is mentioned.", "[[PrivateSalary]]", "[[Missing]]", "/Users/alpha/private.md", "sk-0123456789abcdefghijklmnop", "![chart](private.png)", "<video src='p'>"])
+@pytest.mark.parametrize("body", ["HiddenLedger is mentioned.", "[[HiddenLedger]]", "[[Missing]]", "/home/someone/notes.md", "sk-ABCdef0987654321zyxwv", "![map](coast.png)", "<video src='p'>"])
 def test_what_must_not_get_out(spark, body):
-    notes, parsed = prepared(spark, [("a", "Alpha.md", f"# Alpha\n{body}\n"), ("p", "PrivateSalary.md", "# PrivateSalary\nSecret")])
+    notes, parsed = prepared(spark, [("a", "Alpha.md", f"# Alpha\n{body}\n"), ("p", "HiddenLedger.md", "# HiddenLedger\nSecret")])
     chosen = bundle.slugs(notes.where("doc = 'a'").select("doc", "title"))
-    private = spark.createDataFrame([("privatesalary",)], "k string")
+    private = spark.createDataFrame([("hiddenledger",)], "k string")
     with pytest.raises(Leak):
         bundle.rewritten(notes, chosen, bundle.link_changes(resolved(parsed, notes), chosen), private).collect()
 
 
 def published(spark):
-    docs = spark.createDataFrame([("alpha", "alpha.md", "# Alpha\nAn asynchronous outcome.\n"), ("beta", "beta.md", "# Beta\nAn operation finishes later.\n"), ("gamma", "gamma.md", "# Gamma\nThird.\n")], NOTE)
+    docs = spark.createDataFrame([("alpha", "alpha.md", "# Alpha\nTides follow the old moon.\n"), ("beta", "beta.md", "# Beta\nSails dry on the long wall.\n"), ("gamma", "gamma.md", "# Gamma\nThird.\n")], NOTE)
     e = lambda d, t, a, z: (d, f'{d}:section:["{t}"]:0', a, z)
     rows = [("s1", "alpha", "beta", 0.7, "sp", [e("alpha", "Alpha", 8, 20), e("beta", "Beta", 0, 9)]), ("s2", "beta", "alpha", 0.9, "sp", [e("beta", "Beta", 7, 20)]), ("s3", "alpha", "gamma", 0.8, "sp", [e("gamma", "Gamma", 0, 5)]), ("s4", "gamma", "beta", 0.75, "sp", [e("gamma", "Gamma", 0, 5)])]
     return docs, spark.createDataFrame(rows, "id string, doc_a string, doc_b string, similarity double, space string, evidence array<struct<doc: string, section: string, start: long, end: long>>")
@@ -101,7 +101,7 @@ def test_reading_back_and_editing(spark):
     assert {(r.center, r.neighbor) for r in around.collect()} == {(a, b) for a in ("alpha", "beta", "gamma") for b in ("alpha", "beta", "gamma") if a != b}
     met = bundle.cross(around.select("center", "neighbor", "node_a", "node_b", "score"), docs.select("doc")).collect()
     assert {(r.focus, r.node_a, r.node_b) for r in met} == {("alpha", "beta", "gamma"), ("beta", "alpha", "gamma"), ("gamma", "alpha", "beta")}
-    edited = spark.createDataFrame([("alpha", "alpha.md", "# Alpha\nAn asynchronous outcome.\n\n[[Beta]]\n")], NOTE).unionByName(docs.where("doc <> 'alpha'"))
+    edited = spark.createDataFrame([("alpha", "alpha.md", "# Alpha\nTides follow the old moon.\n\n[[Beta]]\n")], NOTE).unionByName(docs.where("doc <> 'alpha'"))
     left = bundle.still_valid(signals, docs, edited)
     assert {r.id for r in left.collect()} == {"s4"}
     now = {(r.center, r.neighbor): r for r in bundle.neighborhoods(bundle.pools(left), deterministic(spark, edited), limits=loose).collect()}
