@@ -20,13 +20,18 @@ def gaps(pool: DataFrame) -> DataFrame:
 
 def diagnostics(pool: DataFrame, policy: BoundaryPolicy = BoundaryPolicy()) -> DataFrame:
     """One row per center: members, median_gap, mad, threshold, cut_rank (null: no significant gap)."""
-    g = gaps(pool)
-    middle = g.groupBy("center").agg(F.count("*").alias("members"), F.coalesce(F.median("gap"), F.lit(0.0)).alias("median_gap"))
-    spread = g.join(middle, "center").groupBy("center").agg(F.coalesce(F.median(F.abs(F.col("gap") - F.col("median_gap"))), F.lit(0.0)).alias("mad"))
-    per = middle.join(spread, "center").withColumn("threshold", F.col("median_gap") + F.greatest(F.lit(policy.minimum_gap), F.lit(policy.mad_multiplier * MAD_SCALE) * F.col("mad")))
+    columns = ("members", "median_gap", "mad", "threshold", "cut_rank")
+    return _measured(pool, policy).where("rank = _first").select("center", *columns)
+
+
+def _measured(pool: DataFrame, policy: BoundaryPolicy) -> DataFrame:
+    """pool with the diagnostics of its center on each row, by windows over one partitioning, so the pool is computed once."""
+    one = W.partitionBy("center")
+    g = gaps(pool).withColumn("members", F.count("*").over(one)).withColumn("median_gap", F.coalesce(F.median("gap").over(one), F.lit(0.0))).withColumn("_first", F.min("rank").over(one))
+    g = g.withColumn("mad", F.coalesce(F.median(F.abs(F.col("gap") - F.col("median_gap"))).over(one), F.lit(0.0)))
+    g = g.withColumn("threshold", F.col("median_gap") + F.greatest(F.lit(policy.minimum_gap), F.lit(policy.mad_multiplier * MAD_SCALE) * F.col("mad")))
     wide = (F.col("rank") >= policy.minimum_rank) & (F.col("gap") > F.col("threshold") + EPSILON) & (F.col("members") >= policy.minimum_candidates)
-    cut = g.join(per, "center").groupBy("center").agg(F.min(F.when(wide, F.col("rank"))).alias("cut_rank"))
-    return per.join(cut, "center")
+    return g.withColumn("cut_rank", F.min(F.when(wide, F.col("rank"))).over(one))
 
 
 Strategy = Callable[[DataFrame, BoundaryPolicy], DataFrame]
@@ -34,8 +39,7 @@ Strategy = Callable[[DataFrame, BoundaryPolicy], DataFrame]
 
 def adaptive_gap(pool: DataFrame, policy: BoundaryPolicy) -> DataFrame:
     """pool with selected: the ranks before the first significant gap, or all."""
-    cut = diagnostics(pool, policy).select("center", "cut_rank")
-    return pool.join(cut, "center").withColumn("selected", F.col("cut_rank").isNull() | (F.col("rank") <= F.col("cut_rank"))).drop("cut_rank")
+    return _measured(pool, policy).select(*pool.columns, (F.col("cut_rank").isNull() | (F.col("rank") <= F.col("cut_rank"))).alias("selected"))
 
 
 def decisions(pool: DataFrame, policy: BoundaryPolicy = BoundaryPolicy(), strategy: Strategy = adaptive_gap) -> DataFrame:
