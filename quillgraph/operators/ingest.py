@@ -6,10 +6,13 @@ import json
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hashes import bit_set, may_hold
 from ..functions.text import normal_path
 
 
@@ -59,15 +62,38 @@ def three_way(local: DataFrame, base: DataFrame, source: DataFrame) -> DataFrame
     return all_.select("path", action.alias("action"))
 
 
-def leaks(documents: DataFrame, forbidden: DataFrame, n: int = 8) -> DataFrame:
-    """(doc, item): documents that hold a run of n words of a forbidden text, as an equi-join on the runs' hashes; must be empty to publish."""
+#: The bit set of forbidden runs: bits for each, and its size in powers of two at least and at most (8 MB).
+RUN_BITS, RUN_SET = 16, (16, 26)
 
-    def runs(rows: DataFrame, key: str, text: str) -> DataFrame:
-        words = rows.select(key, F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("w"))
-        starts = words.where(F.size("w") >= n).select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i"))
+
+def leaks(documents: DataFrame, forbidden: DataFrame, n: int = 8, filtered: bool = True) -> DataFrame:
+    """(doc, item): documents that hold a run of n words of a forbidden text, as an equi-join on the runs' hashes; must be empty to publish.
+
+    A bit set of at most 8 MB, whatever the number of forbidden runs, spares the shuffle the runs of
+    documents that are none; without it (``filtered`` false) all of them travel, and the result is the same.
+    """
+
+    def words(rows: DataFrame, key: str, text: str) -> DataFrame:
+        return rows.select(key, F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("w")).where(F.size("w") >= n)
+
+    def runs(rows: DataFrame, key: str, at: Column) -> DataFrame:
+        starts = rows.select(key, "w", F.explode(at).alias("i"))
         return starts.select(key, F.md5(F.array_join(F.slice("w", F.col("i"), F.lit(n)), " ")).alias("run")).distinct()
 
-    return runs(documents, "doc", "markdown").join(runs(forbidden, "item", "text"), "run").select("doc", "item").distinct()
+    every = F.sequence(F.lit(1), F.size("w") - n + 1)
+    own, banned, places = words(documents, "doc", "markdown"), words(forbidden, "item", "text"), every
+    if filtered:
+        keys = F.transform(every, lambda i: F.xxhash64(F.slice("w", i, F.lit(n))))
+        hashed = banned.select(F.explode(keys).alias("h")).distinct()
+        bits = min(max((hashed.count() * RUN_BITS).bit_length(), RUN_SET[0]), RUN_SET[1])
+        sent = documents.sparkSession.sparkContext.broadcast(bit_set(hashed, bits))
+
+        @F.pandas_udf("array<int>")
+        def possible(h: pd.Series) -> pd.Series:
+            return h.map(lambda x: np.flatnonzero(may_hold(sent.value, np.asarray(x, np.int64).view(np.uint64))) + 1)
+
+        places = possible(keys)
+    return runs(own, "doc", places).join(runs(banned, "item", every), "run").select("doc", "item").distinct()
 
 
 # -- stored generations ---------------------------------------------------------
