@@ -78,8 +78,9 @@ def review_queue(ranked: DataFrame, size: int = 40, per_node: int = 3, pool: int
 
     The ranking is read in blocks of ``pool`` pairs, the next without the nodes that are used up, until the queue is full or pairs
     end. The first pair of a block is always taken, so there are no more than ``size`` + 1 blocks.
+    The pairs are kept on the executors between blocks, so what they come from is computed once.
     """
-    pairs = ranked.select("node_a", "node_b", "score")
+    pairs = ranked.select("node_a", "node_b", "score").persist()
     used: dict[str, int] = {}
     out, rest = [], pairs
     while len(out) < size:
@@ -94,6 +95,7 @@ def review_queue(ranked: DataFrame, size: int = 40, per_node: int = 3, pool: int
         full = [n for n, k in used.items() if k >= per_node]
         after = (F.col("score") < s) | ((F.col("score") == s) & ((F.col("node_a") > a) | ((F.col("node_a") == a) & (F.col("node_b") > b))))
         rest = pairs.where(after & ~F.col("node_a").isin(full) & ~F.col("node_b").isin(full))
+    pairs.unpersist()
     return ranked.sparkSession.createDataFrame(out, "node_a string, node_b string, score double")
 
 

@@ -24,3 +24,16 @@ def test_pairs_of_either_ends_pool(spark, monkeypatch):
     made = spark.createDataFrame(pool, "center string, neighbor string, similarity double").withColumn("rank", F.lit(1))
     monkeypatch.setattr(queries, "_pool", lambda *_: made)
     assert [tuple(r) for r in queries.review_queue(spark, "").collect()] == [("a", "b", 0.9), ("a", "c", 0.8)]
+
+
+def test_what_the_pairs_come_from_is_computed_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for p in parts:
+            read.add(len(p))
+            yield p
+
+    pairs = [(f"p{i:03}", f"q{i:03}", i / 100) for i in range(90)]
+    kept = spark.createDataFrame(pairs, "node_a string, node_b string, score double").mapInPandas(count, "node_a string, node_b string, score double")
+    assert len(evaluation.review_queue(kept, pool=10).collect()) == 40 and read.value == 90
