@@ -3,7 +3,7 @@ r"""Personal data by candidate gradient boosting, in DataFrame operations alone.
 Base kinds are patterns with a check each; their spans always stay. Generators of high
 recall propose further, overlapping candidates; boosted trees score each from its format
 and its surroundings; a threshold per generator, calibrated on candidates kept from
-training, selects what is added.
+training, selects what is added. Trees, cuts and thresholds rest on all candidates.
 
 There are no labelled spans, so training is weakly supervised: a proposal counts as personal
 if a word like ``token``, ``phone`` or ``mail`` introduces it, an address or number also if it
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Candidates of a generator and label to fit and calibrate on at most, the smallest by a hash of their place.
-SAMPLE = 6000
 ROUNDS, DEPTH = 8, 3
+#: Cuts of a feature that trees may split at, at most; different examples of a task of the fit.
+CUTS, EXAMPLES = 31, 20_000
 #: Least share of positive labels among the calibration candidates over a threshold. What has neither word
 #: nor mark is labelled 0 although it may be personal, and it is what a generator is to add, so shares are low.
 PRECISION = {"address": 0.5, "number": 0.5, "secret": 0.75}
@@ -214,10 +214,14 @@ def _tree(node, f: list[Column]) -> Column:
 
 
 class Scorer:
-    """Boosted trees of each generator, and its calibrated threshold; None adds nothing."""
+    """Boosted trees of each generator, and its calibrated threshold; None adds nothing.
+
+    counts: by generator the candidates that trees and threshold rest on, (fitted on, calibrated on).
+    """
 
     def __init__(self):
         self.models: dict[str, tuple[list, list[float], float]] = {}
+        self.counts: dict[str, tuple[int, int]] = {}
 
     def selects(self, name: str, f: list[Column]) -> Column:
         if name not in self.models:
@@ -230,8 +234,32 @@ class Scorer:
         return reduce(lambda a, b: a + b, [_tree(t, f) * F.lit(w) for t, w in zip(trees, weights, strict=True)])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """Learn from the candidates of docs (doc_id, text), weakly labelled as the module says."""
+def _cuts(each: DataFrame) -> dict[str, list[list[float]]]:
+    """By generator, the cuts of each feature: all its values if they are few, else quantiles of both labels, exact and by number."""
+    values = each.select("name", "label", "c", F.posexplode("f").alias("i", "x")).groupBy("name", "label", "i", "x").agg(F.sum("c").alias("c"))
+    some = CUTS // 2
+    steps = F.array(*(F.lit(k / some) for k in range(some)))
+    of = values.groupBy("name", "i", "label").agg(F.percentile("x", steps, F.col("c")).alias("q"), F.slice(F.array_sort(F.collect_set("x")), 1, CUTS + 1).alias("x"))
+    both = of.groupBy("name", "i").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("q")))).alias("q"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("x")))).alias("x"))
+    out: dict[str, list[list[float]]] = {}
+    for r in both.orderBy("name", "i").collect():
+        out.setdefault(r["name"], []).append(r["x"] if len(r["x"]) <= CUTS else r["q"])
+    return out
+
+
+def _uncut(node, cuts: list[list[float]]):
+    """A tree over numbers of cuts below a value as one over values."""
+    if not isinstance(node, tuple):
+        return node
+    feature, threshold, left, right = node
+    return feature, cuts[feature][int(threshold)], _uncut(left, cuts), _uncut(right, cuts)
+
+
+def fit(docs: DataFrame, sample: int | None = None) -> Scorer:
+    """Learn from the candidates of docs (doc_id, text), weakly labelled as the module says.
+
+    All candidates count. ``sample`` is for trials only: about so many of a generator and label, by a hash of their place.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
@@ -251,61 +279,58 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
 
     shared.ready(docs.sparkSession)
     all_ = rows.select("doc_id", F.explode(F.concat(*(marked(n) for n in PROPOSED))).alias("x")).select("doc_id", "x.*").where("label is not null")
-    # Copies of a row count as one with their number, so a hash below a threshold takes a bounded sample.
-    each = all_.groupBy("name", "label", F.xxhash64("doc_id", "s", "name").alias("h"), "f").agg(F.count("*").alias("c")).checkpoint()
-    totals = {(r["name"], r["label"]): (r["rows"], r["n"]) for r in each.groupBy("name", "label").agg(F.count("*").alias("rows"), F.sum("c").alias("n")).collect()}
-    least = F.lit(0)
-    for (name, label), (count, _) in totals.items():
-        share = min(1.0, (sample + 6 * math.sqrt(sample) + 8) / count)
-        least = F.when((F.col("name") == name) & (F.col("label") == label), math.ceil(share * (1 << 30))).otherwise(least)
-    kept = each.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < least).collect()  # some more than ``sample`` rows a name and label
+    # Rows of one place stay together; every third place goes to calibration. Candidates alike in features count as one with their number.
+    h = F.xxhash64("doc_id", "s", "name")
+    each = all_.select("name", "label", "f", h.alias("h"), (F.pmod(F.xxhash64(h), F.lit(3)) == 1).alias("kept"))
+    if sample is not None:
+        sizes = {(r["name"], r["label"]): r["count"] for r in each.groupBy("name", "label").count().collect()}
+        share = reduce(lambda a, k: F.when((F.col("name") == k[0]) & (F.col("label") == k[1]), min(1.0, sample / sizes[k])).otherwise(a), sizes, F.lit(0.0))
+        each = each.where(F.pmod(F.xxhash64(F.xxhash64("h")), F.lit(1 << 30)) < share * (1 << 30))
+    each = each.groupBy("name", "label", "kept", "f").agg(F.count("*").alias("c")).checkpoint()
+    totals = {(r["name"], r["label"], r["kept"]): r["n"] for r in each.groupBy("name", "label", "kept").agg(F.sum("c").alias("n")).collect()}
+    cuts = _cuts(each)
     out = Scorer()
-    spark = docs.sparkSession
     for name in PROPOSED:
-        own, train, rest, weight = [], [], [], {}
-        for label in (0.0, 1.0):
-            rows = sorted((r for r in kept if r["name"] == name and r["label"] == label), key=lambda r: (r["h"], r["f"]))[:sample]
-            weight[label] = totals.get((name, label), (0, 0))[1] / max(1, sum(r["c"] for r in rows))
-            # Rows of one place stay together; every third goes to calibration.
-            places = {h: i for i, h in enumerate(dict.fromkeys(r["h"] for r in rows))}
-            own += rows
-            train += [r for r in rows if places[r["h"]] % 3 != 1]
-            rest += [r for r in rows if places[r["h"]] % 3 == 1]
-        if len({r["label"] for r in train}) < 2:
+        n = {(label, kept): totals.get((name, label, kept), 0) for label in (0.0, 1.0) for kept in (False, True)}
+        ones, own = n[1.0, False] + n[1.0, True], sum(n.values())
+        out.counts[name] = n[0.0, False] + n[1.0, False], n[0.0, True] + n[1.0, True]
+        if ones in (0, own):
             # Without examples of both labels there is nothing to tell candidates by but the smoothed share of 1.
-            ones = sum(r["label"] * r["c"] for r in own)
-            if ones and (ones + 1) / (sum(r["c"] for r in own) + 2) >= PRECISION[name]:
+            if ones and (ones + 1) / (own + 2) >= PRECISION[name]:
                 out.models[name] = ([], [], 0.0)
             continue
-        frame = spark.createDataFrame([(r["label"], weight[r["label"]] * r["c"], r["f"]) for r in train], "label double, weight double, f array<double>").coalesce(1).select("label", "weight", array_to_vector("f").alias("features"))
-        model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32, weightCol="weight").fit(frame)  # the trees live as long as this
+        # A label that is too rare for both sides has all its examples on both.
+        rare = [label for label in (0.0, 1.0) if not n[label, False] or not n[label, True]]
+        of = each.where((F.col("name") == name) & (~F.col("kept") | F.col("label").isin(rare)))
+        below = lambda c, value: F.size(F.filter(F.array(*map(F.lit, c)), lambda x: x < value)).cast("double")
+        places = F.array(*(below(c, F.col("f")[i]) for i, c in enumerate(cuts[name])))
+        frame = of.select("label", places.alias("b"), "c").groupBy("label", "b").agg(F.sum("c").cast("double").alias("weight")).checkpoint()
+        count = frame.count()
+        parts = -(-count // EXAMPLES)
+        dealt = frame.repartition(parts, "label", "b").sortWithinPartitions("b", "label").select("label", "weight", array_to_vector("b").alias("features"))
+        # Spark looks for splits in max(10,000, maxBins squared) rows: in all of them, so; the values are as few as the cuts.
+        bins = max(CUTS + 1, math.isqrt(count) + 1)
+        model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=bins, weightCol="weight").fit(dealt)  # the trees live as long as this
         java = model._java_obj
-        trees, weights = [_plain(t.rootNode()) for t in java.trees()], list(java.treeWeights())
-        scored = sorted(((_walk(trees, weights, r["f"]), r["label"], weight[r["label"]] * r["c"]) for r in rest), reverse=True)
+        trees, weights = [_uncut(_plain(t.rootNode()), cuts[name]) for t in java.trees()], list(java.treeWeights())
+        # A row for each value that the trees can give.
+        margin = Scorer.margin(trees, weights, [F.col("f")[i] for i in range(len(cuts[name]))])
+        judged = each.where((F.col("name") == name) & (F.col("kept") | F.col("label").isin(rare)))
+        scored = judged.groupBy(margin.alias("p")).agg(F.sum(F.col("label") * F.col("c")).alias("hits"), F.sum("c").alias("seen")).collect()
         hits, seen, best = 0.0, 0.0, None
-        for i, (p, label, w) in enumerate(scored):
-            hits, seen = hits + label * w, seen + w
-            if p > LEAST[name] and hits >= PRECISION[name] * seen and (i + 1 == len(scored) or scored[i + 1][0] < p):
-                best = p
+        for r in sorted(scored, key=lambda r: -r["p"]):
+            hits, seen = hits + r["hits"], seen + r["seen"]
+            if r["p"] > LEAST[name] and hits >= PRECISION[name] * seen:
+                best = r["p"]
         if best is not None:
             out.models[name] = (trees, weights, best)
     return out
 
 
-def _walk(trees, weights, f) -> float:
-    total = 0.0
-    for node, w in zip(trees, weights, strict=True):
-        while isinstance(node, tuple):
-            feature, threshold, left, right = node
-            node = left if f[feature] <= threshold else right
-        total += w * node
-    return total
-
-
 # -- the operator ---------------------------------------------------------------
 
 
-def find_personal(docs: DataFrame, scorer: Scorer | None = None, sample: int = SAMPLE) -> DataFrame:
+def find_personal(docs: DataFrame, scorer: Scorer | None = None, sample: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     docs: doc_id, text; other columns are ignored. Spans are kind:start:end in code points, end

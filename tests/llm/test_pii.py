@@ -172,3 +172,15 @@ def test_candidates_of_one_label_are_added_however_few(spark):
         assert len(found) == 2 * n and all(r.spans == "secret:9:49" for r in found)
     rows = [(i, f"plain {rng.getrandbits(160):040x} words") for i in range(40)]
     assert all(r.spans == "" for r in op8.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_trees_and_thresholds_rest_on_all_candidates(spark):
+    """Far more candidates of a label than a sample would take: all are fitted or calibrated on, whatever the partitions."""
+    rng = random.Random(11)
+    rows = [(i, f'token = "{rng.getrandbits(160):040x}" {" ".join("averylongword" + rng.choice("abcdef") * rng.randint(8, 40) for _ in range(30))}') for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = op8.fit(d.repartition(4)), op8.fit(d.repartition(7))
+    assert sum(one.counts["secret"]) == 400 * 31
+    assert one.models == two.models and "secret" in one.models
+    spans = {r.doc_id: r.spans for r in op8.find_personal(d, one).collect()}
+    assert all(spans[i] == "secret:9:49" for i in range(400))
