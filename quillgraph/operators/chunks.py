@@ -8,10 +8,14 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.policy import Chunking
+from .parse import pieces
 
 
 def upper_tokens(text: Column) -> Column:
@@ -121,10 +125,13 @@ def image_units(parsed: DataFrame, notes: DataFrame, images: DataFrame, chunking
     found = images.groupBy("doc", "source").agg(F.min(F.struct("hash", "mime")).alias("m")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("source", "m"))).alias("images"))
     rows = parsed.where(F.size("media") > 0).select("doc", "title", "sections", "media").join(notes.select("doc", "markdown"), "doc").join(found, "doc", "left")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+    fields = "doc string, section string, unit string, start long, end long, text string, tokens long, content_hash string, source string, media_hash string, code string, error string"
+    types = to_arrow_schema(_parse_datatype_string(fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "markdown"):
             out = []
-            for doc, title, sections, media, markdown, known in zip(p["doc"], p["title"], p["sections"], p["media"], p["markdown"], p["images"], strict=True):
+            for doc, title, sections, media, markdown, known in zip(*(b.column(c).to_pylist() for c in ("doc", "title", "sections", "media", "markdown", "images")), strict=True):
                 place = {s["section"]: k for k, s in enumerate(sections)}
                 for image in media:
                     k = place[image["section"]]
@@ -142,9 +149,9 @@ def image_units(parsed: DataFrame, notes: DataFrame, images: DataFrame, chunking
                         continue
                     unit = _digest([image["section"], int(start), int(end), [image["source"]]])
                     out.append((*base, f"{doc}:unit:{unit}", start, end, text, tokens, _digest([text, [[held["hash"], held["mime"]]]]), image["source"], held["hash"], None, None))
-            yield pd.DataFrame(out, columns=["doc", "section", "unit", "start", "end", "text", "tokens", "content_hash", "source", "media_hash", "code", "error"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)], schema=types)
 
-    return rows.mapInPandas(run, "doc string, section string, unit string, start long, end long, text string, tokens long, content_hash string, source string, media_hash string, code string, error string")
+    return rows.mapInArrow(run, fields)
 
 
 def _digest(value: list) -> str:
