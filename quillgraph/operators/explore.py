@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.keep import kept
 from ..functions.policy import CROSS_DEFAULT_LENS, EXCERPT
 from ..functions.text import round12
 
@@ -63,18 +64,28 @@ def lens_grid(centered: DataFrame, grid: tuple[int, ...] = (0, 25, 50, 75, 100))
 def cross_relations(centered: DataFrame, focuses: DataFrame) -> DataFrame:
     """(focus, node_a, node_b, score): relations among the neighbors of each focus, confirmed from both ends, with the lower score.
 
-    A relation's ends come from its own centers; hidden ones count for neither side. Each relation
-    is met with the focuses of the end that has fewer, so a hub's neighbors are not paired.
+    A relation's ends come from its own centers; hidden ones count for neither side. A row is a
+    triangle, seen from one corner. Each pair points from its end of fewer pairs, so a note points
+    to no more than the root of twice the pairs, and a hub's neighbors are not paired; two pairs
+    from one note meet the pair of their ends, which finds each triangle once, for all its corners.
     """
-    shown = centered.where(~F.col("hidden"))
-    around = shown.join(focuses.select(F.col("doc").alias("center")), "center", "left_semi").select(F.col("center").alias("focus"), F.col("neighbor").alias("_n"))
-    both = shown.groupBy("node_a", "node_b").agg(F.countDistinct("center").alias("_ends"), F.min("score").alias("score")).where("_ends = 2").drop("_ends")
-    degree = around.groupBy("_n").agg(F.count("*").alias("_d"))
-    sized = both.join(degree.select(F.col("_n").alias("node_a"), F.col("_d").alias("_da")), "node_a").join(degree.select(F.col("_n").alias("node_b"), F.col("_d").alias("_db")), "node_b")
-    low = F.col("_da") <= F.col("_db")
-    turned = sized.select("node_a", "node_b", "score", F.when(low, F.col("node_a")).otherwise(F.col("node_b")).alias("_few"), F.when(low, F.col("node_b")).otherwise(F.col("node_a")).alias("_many"))
-    wedges = turned.join(around.withColumnRenamed("_n", "_few"), "_few")
-    return wedges.join(around.withColumnRenamed("_n", "_many"), ["focus", "_many"], "left_semi").select("focus", "node_a", "node_b", "score")
+    shown = centered.where(~F.col("hidden")).join(focuses.select(F.col("doc").alias("center"), F.lit(True).alias("_f")).distinct(), "center", "left")
+    lists = lambda c: F.max((F.col("center") == F.col(c)) & F.coalesce("_f", F.lit(False)))
+    pairs = kept(shown.groupBy("node_a", "node_b").agg(F.when(F.countDistinct("center") == 2, F.min("score")).alias("score"), lists("node_a").alias("_la"), lists("node_b").alias("_lb")))
+    ends = F.explode(F.array(F.struct(F.col("node_a").alias("u"), F.col("node_b").alias("n"), F.col("_la").alias("ls"), F.col("_lb").alias("le"), "score"), F.struct(F.col("node_b").alias("u"), F.col("node_a").alias("n"), F.col("_lb").alias("ls"), F.col("_la").alias("le"), "score")))
+    both = pairs.select(ends.alias("_e")).select("_e.*")
+    degree = both.groupBy("u").agg(F.count("*").alias("d"))
+    sized = both.join(degree, "u").join(degree.toDF("n", "_dn"), "n")
+    out = sized.where((F.col("d") < F.col("_dn")) | ((F.col("d") == F.col("_dn")) & (F.col("u") < F.col("n")))).select("u", "n", "ls", "le", "score")
+    named = lambda k: out.select("u", *(F.col(c).alias(f"{c}_{k}") for c in ("n", "ls", "le", "score")))
+    wedges = named("a").join(named("b"), "u").where("n_a < n_b and (ls_a and ls_b or le_a or le_b)")
+    met = wedges.withColumnsRenamed({"n_a": "node_a", "n_b": "node_b"}).join(pairs, ["node_a", "node_b"])
+    seen = lambda focus, a, b, listed, score: F.when(listed & score.isNotNull(), F.struct(focus.alias("focus"), F.least(a, b).alias("node_a"), F.greatest(a, b).alias("node_b"), score.alias("score")))
+    u, a, b = F.col("u"), F.col("node_a"), F.col("node_b")
+    corners = F.array(
+        seen(u, a, b, F.col("ls_a") & F.col("ls_b"), F.col("score")), seen(a, u, b, F.col("le_a") & F.col("_la"), F.col("score_b")), seen(b, u, a, F.col("le_b") & F.col("_lb"), F.col("score_a"))
+    )
+    return met.select(F.explode(F.array_compact(corners)).alias("_x")).select("_x.*")
 
 
 def snapshot_status(headers: DataFrame, live: DataFrame, index_revision: int, policy_revision: int, score_version: str | None = None, space: str | None = None, relations: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.keep import kept
 from ..functions.policy import ScorePolicy
 from ..functions.text import round12
 
@@ -98,6 +99,7 @@ def label_rank(nodes: DataFrame, fraction: float = 0.3, least: int = 3) -> DataF
     The order is cut into ranges at sampled rows, so equal degrees are spread too; a range's rows
     are ranked in one task, after the rows of the ranges before it are counted.
     """
+    nodes = kept(nodes)  # sampled, counted and ranked
     ranged = nodes.withColumn("_range", _range_of(nodes))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
     shown = F.greatest(F.lit(least), F.ceil(F.round(F.sum("_n").over(W.partitionBy()) * fraction, 9)))
