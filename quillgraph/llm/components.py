@@ -50,31 +50,39 @@ def _shrink(batches) -> Iterator[pa.RecordBatch]:
         yield give()
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether the links (a > b, each once) are stars: no node is the larger end of two, or the larger of one and the smaller of another."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("larger")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("larger")))
+    each = ends.groupBy("node").agg(F.sum("larger").alias("n"), F.min("larger").alias("low"))
+    return each.where("n > 1 or (n = 1 and low = 0)").isEmpty()
+
+
 def connected_components(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) of every node with a link; component is the smallest node reachable.
 
     links: long columns a and b without nulls, any direction, repeats and self-links allowed.
-    Each round is two joins on a minimum per node, aggregated before its shuffle; rounds grow
-    with the logarithm of the longest path. A round's links are written, and removed after the
-    next round has been.
+    Each round is two joins on a minimum per node, aggregated before its shuffle, and a task's
+    links leave it as stars; rounds grow with the logarithm of the longest path at most, and there
+    is none once the links are stars. A round's links are written, and removed after the next
+    round has been.
     """
     spark = links.sparkSession
 
-    def mark(d: DataFrame):
-        return d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+    def star(d: DataFrame) -> DataFrame:
+        return d.where("a <> b").mapInArrow(_shrink, "a long, b long").distinct()
 
-    edges, folder = shared.written(links.where("a <> b").mapInArrow(_shrink, "a long, b long").distinct(), "links")
-    seen = mark(edges)
+    edges, folder = shared.written(star(links), "links")
     for _ in range(most):
+        if _stars(edges):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a")
-        new, place = shared.written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        new, place = shared.written(star(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))), "links")
         shared.remove(spark, folder)
-        edges, folder, before, seen = new, place, seen, mark(new)
-        if seen == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        edges, folder = new, place
+        shared.settle(spark)
     raise RuntimeError(f"components did not settle in {most} rounds")

@@ -335,6 +335,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, bits: in
         pairs = ends.where("f is null or g is null or f <> g").select("a", "b")
         wanted = wanted.unionByName(members.select("cls"))
     sets = docs.join(wanted.distinct().join(classes, "cls"), "doc_id").select("cls", "text").mapInArrow(_sets(words, avoid, bits), "cls long, n long, values binary").dropDuplicates(["cls"]).checkpoint()
+    shared.settle(spark)
     links = _verified(pairs, sets, percent)
     if families:
         links = links.unionByName(_family_links(sets, members, stars, percent))

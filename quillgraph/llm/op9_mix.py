@@ -101,8 +101,10 @@ def choose(docs: DataFrame, recipe: Recipe = DEFAULT) -> DataFrame:
     shared.ready(docs.sparkSession)
     # Cut here: texts are counted once, though rows are read twice.
     rows = docs.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in LEVELS)).where("n_tokens > 0").checkpoint()
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
-    plan = leaves.join(budgets(leaves, recipe), list(LEVELS)).select(*LEVELS, F.floor(F.col("target") / F.col("tokens")).cast("long").alias("cycles"), F.pmod("target", "tokens").alias("rest"))
+    # Cut twice more, at a row a leaf: a plan of all levels at once is planned anew at each of its stages, in the driver's memory.
+    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).checkpoint()
+    plan = leaves.join(budgets(leaves, recipe), list(LEVELS)).select(*LEVELS, F.floor(F.col("target") / F.col("tokens")).cast("long").alias("cycles"), F.pmod("target", "tokens").alias("rest")).checkpoint()
+    shared.settle(docs.sparkSession)
     rows = rows.join(plan, list(LEVELS))
     order = F.md5(F.concat_ws(":", F.lit(recipe.seed), F.col("cycles").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("place", order).withColumn("slice", F.substring("place", 1, SLICE_DIGITS))
