@@ -1,4 +1,4 @@
-"""Connected components of a link table, by alternating large and small stars."""
+"""Connected components of a link table, by hooking to the smallest neighbour and jumping over it."""
 
 from __future__ import annotations
 
@@ -32,16 +32,21 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
+_LINKS = "a long, b long, moved boolean"
+
+
 def _shrink(batches) -> Iterator[pa.RecordBatch]:
-    """A task's links, as a star for each component that it sees."""
+    """A task's links, as a star for each component that it sees; moved: whether any of them was."""
     held, have = [], 0
 
     def give() -> pa.RecordBatch:
-        a, b = spanning(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        a, b, moved = (np.concatenate(x) for x in zip(*held, strict=True))
+        a, b = spanning(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), moved.any()))], ["a", "b", "moved"])
 
     for batch in batches:
-        held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        if batch.num_rows:
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy(), batch.column("moved").to_numpy(zero_copy_only=False)))
         have += batch.num_rows
         if have > 1_000_000:
             yield give()
@@ -51,38 +56,44 @@ def _shrink(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(links: DataFrame) -> bool:
-    """Whether the links (a > b, each once) are stars: no node is the larger end of two, or the larger of one and the smaller of another."""
-    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("larger")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("larger")))
-    each = ends.groupBy("node").agg(F.sum("larger").alias("n"), F.min("larger").alias("low"))
-    return each.where("n > 1 or (n = 1 and low = 0)").isEmpty()
+    """Whether the links (a > b) are stars: no node is the larger end of two that differ, or the larger of one and the smaller of another."""
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("up")).unionByName(links.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("up")))
+    each = ends.groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.count("up").alias("ups"), F.count("*").alias("n"))
+    return each.where("low <> high or (ups > 0 and ups < n)").isEmpty()
+
+
+def _round(links: DataFrame) -> DataFrame:
+    """The links (a > b) with a's neighbours b hooked to the smallest of them, and each b replaced by its own smallest one.
+
+    moved: whether that is another link; if none is, the links are stars and each is there once.
+    """
+    near = links.groupBy("a").agg(F.collect_set("b").alias("near")).select("a", "near", F.array_min("near").alias("low"))
+    hook = F.transform("near", lambda b: F.struct(F.when(b == F.col("low"), F.col("a")).otherwise(b).alias("a"), F.col("low").alias("b"), (F.size("near") > 1).alias("moved")))
+    hooked = near.select(F.explode(hook).alias("x")).select("x.*")
+    jumps = hooked.join(near.select(F.col("a").alias("b"), F.col("low").alias("next")), "b", "left")
+    return jumps.select("a", F.coalesce("next", "b").alias("b"), (F.col("moved") | F.col("next").isNotNull()).alias("moved"))
 
 
 def connected_components(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) of every node with a link; component is the smallest node reachable.
 
     links: long columns a and b without nulls, any direction, repeats and self-links allowed.
-    Each round is two joins on a minimum per node, aggregated before its shuffle, and a task's
-    links leave it as stars; rounds grow with the logarithm of the longest path at most, and there
-    is none once the links are stars. A round's links are written, and removed after the next
-    round has been.
+    A task's links leave it as stars, so a node is the larger end of one link of a task at most,
+    and a node's neighbours in a group are no more than the tasks. Each round is one grouping and
+    one join, two shuffles; every node is hooked or hooked to, and paths halve, so rounds grow
+    with the logarithms of both; the last one finds nothing to move, and there is none if the links
+    are stars. A round's links are written, and removed after the next round has been.
     """
     spark = links.sparkSession
-
-    def star(d: DataFrame) -> DataFrame:
-        return d.where("a <> b").mapInArrow(_shrink, "a long, b long").distinct()
-
-    edges, folder = shared.written(star(links), "links")
+    edges, folder = shared.written(links.where("a <> b").select("a", "b", F.lit(True).alias("moved")).mapInArrow(_shrink, _LINKS), "links")
+    settled = _stars(edges)
+    edges = edges.dropDuplicates(["a"]) if settled else edges
     for _ in range(most):
-        if _stars(edges):
+        if settled:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a")
-        new, place = shared.written(star(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))), "links")
+        new, place = shared.written(_round(edges).mapInArrow(_shrink, _LINKS), "links")
         shared.remove(spark, folder)
         edges, folder = new, place
+        settled = edges.where("moved").isEmpty()
         shared.settle(spark)
     raise RuntimeError(f"components did not settle in {most} rounds")

@@ -50,3 +50,24 @@ def test_stars_need_no_round(spark, writes):
 def test_a_task_s_links_leave_it_as_stars(spark, writes):
     links = [(i, i + 1) for i in range(2000)]
     assert found(spark, links, 1) == union_find(links) and len(writes) == 1
+
+
+def test_few_shuffles_a_round(spark, monkeypatch):
+    """With many partitions a round costs what its shuffles cost: one of the links, one of the jumps, and a repeat of the first that is not run again."""
+    shuffles, real = [], shared.written
+    monkeypatch.setattr(shared, "written", lambda rows, name: shuffles.append(rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")) or real(rows, name))
+    links = [(i, i + 1) for i in range(40)]
+    assert found(spark, links) == union_find(links) and len(shuffles) > 1 and max(shuffles) <= 3
+
+
+@pytest.mark.parametrize("parts", (1, 7))
+def test_paths_hubs_and_trees(spark, writes, parts):
+    rng = random.Random(3)
+    name = list(range(6000))
+    rng.shuffle(name)
+    path = [(name[i], name[i + 1]) for i in range(1500)]
+    hub = [(name[2000], name[2000 + i]) for i in range(1, 1500)] + [(name[2000 + i], name[4000 + i]) for i in range(1, 700)]
+    tree = [(name[5000 + i], name[5000 + i // 2]) for i in range(1, 900)]
+    links = path + hub + tree
+    rng.shuffle(links)
+    assert found(spark, links, parts) == union_find(links) and len(writes) <= 9
