@@ -33,6 +33,8 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _LINKS = "a long, b long, moved boolean"
+#: Links of a round for each task that shrinks and writes them.
+EACH = 100_000
 
 
 def _shrink(batches) -> Iterator[pa.RecordBatch]:
@@ -86,14 +88,17 @@ def connected_components(links: DataFrame, most: int = 60) -> DataFrame:
     """
     spark = links.sparkSession
     edges, folder = shared.written(links.where("a <> b").select("a", "b", F.lit(True).alias("moved")).mapInArrow(_shrink, _LINKS), "links")
-    settled = _stars(edges)
+    settled, n = _stars(edges), edges.count()
     edges = edges.dropDuplicates(["a"]) if settled else edges
     for _ in range(most):
         if settled:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        new, place = shared.written(_round(edges).mapInArrow(_shrink, _LINKS), "links")
+        # A task for each core at least; where few links are left, more would only cost their start and a file each.
+        parts = max(spark.sparkContext.defaultParallelism, -(-n // EACH))
+        new, place = shared.written(_round(edges).coalesce(parts).mapInArrow(_shrink, _LINKS), "links")
         shared.remove(spark, folder)
         edges, folder = new, place
-        settled = edges.where("moved").isEmpty()
+        n, moved = edges.agg(F.count("*"), F.max("moved")).first()
+        settled = not moved
         shared.settle(spark)
     raise RuntimeError(f"components did not settle in {most} rounds")
